@@ -1 +1,3 @@
-PLAN_MODULES: list[str] = []
+"""Operators for language-model training data; nothing outside this package imports it."""
+
+PLAN_MODULES = ["foliant.llm.queries"]
