@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import encoding, packing, splitting
+from foliant.llm import encoding, near_duplicates, packing, splitting
 from foliant.session import load, materialize
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates.near_duplicates(load(spark, d, "chunks"), words=3, threshold=0.5)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.pairs_of_records(*_near(spark, d), "chunk_id")
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(*_near(spark, d), "chunk_id")
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(load(spark, d, "sections"), ["document_id", "ord"])
 
@@ -42,6 +54,8 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
