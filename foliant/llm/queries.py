@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import encoding, near_duplicates, packing, splitting
+from foliant.llm import encoding, near_duplicates, packing, similar_vectors, splitting
 from foliant.session import load, materialize
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    members, near = similar_vectors.nearest(load(spark, d, "chunk_embeddings"))
+    return similar_vectors.pairs(similar_vectors.neighbours(members, near))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    members, near = similar_vectors.nearest(load(spark, d, "chunk_embeddings"))
+    return similar_vectors.neighbours(members, near)
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicates(load(spark, d, "chunks"), words=3, threshold=0.5)
 
@@ -54,6 +64,8 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
