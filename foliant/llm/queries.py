@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import encoding, near_duplicates, packing, similar_vectors, splitting
+from foliant.llm import encoding, languages, near_duplicates, packing, similar_vectors, splitting
 from foliant.session import load, materialize
 
 
@@ -18,6 +18,24 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors.neighbours(members, near)
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    documents, metas, chunks, sections = (load(spark, d, t) for t in ("documents", "documents_meta", "chunks", "sections"))
+    return languages.label_rows(documents, metas, chunks, sections, languages.fit(documents))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(_labelled(spark, d))
+
+
+def p4_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d)
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    return languages.mixed_segments(documents, "doc_id", "text", languages.fit(documents))
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicates(load(spark, d, "chunks"), words=3, threshold=0.5)
 
@@ -66,6 +84,9 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
+    "p4_found": p4_found,
+    "p4_labels": p4_labels,
+    "p4_segments": p4_segments,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
