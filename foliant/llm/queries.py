@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import encoding, languages, near_duplicates, packing, similar_vectors, splitting
+from foliant.llm import abuse, encoding, languages, near_duplicates, packing, similar_vectors, splitting
 from foliant.session import load, materialize
 
 
@@ -81,6 +81,23 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def _scored(spark: SparkSession, d: str, *keys: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    return abuse.score(documents, abuse.fit(documents, load(spark, d, "review_labels")), list(keys))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, "doc_id").where("score >= 0.5").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, "doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d, "source"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
@@ -95,5 +112,8 @@ QUERIES = {
     "p7_spans": p7_spans,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 SQL = {"p6_found": "SELECT DISTINCT document_id, ord FROM sections WHERE length(content) > 1500"}
