@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import abuse, encoding, languages, near_duplicates, packing, similar_vectors, splitting
+from foliant.llm import abuse, encoding, languages, near_duplicates, packing, scans, similar_vectors, splitting
 from foliant.session import load, materialize
 
 
@@ -18,6 +18,15 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors.neighbours(members, near)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.traces(scans.decisions(load(spark, d, "sections"), load(spark, d, "documents_meta")))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    sections = load(spark, d, "sections")
+    return scans.repaired(sections, scans.decisions(sections, load(spark, d, "documents_meta")))
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     documents, metas, chunks, sections = (load(spark, d, t) for t in ("documents", "documents_meta", "chunks", "sections"))
     return languages.label_rows(documents, metas, chunks, sections, languages.fit(documents))
@@ -101,6 +110,8 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_labels": p4_labels,
     "p4_segments": p4_segments,
