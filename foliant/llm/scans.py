@@ -442,7 +442,7 @@ def repair(text: str, found: list[tuple[str, int, int, str | None, str | None]])
             glue = "\n\n"
             continue
         if out and (glue == "\n\n" or _NUMBERED.match(s) or _CODE.search(line)):
-            out.append(glue)
+            out.append("\n\n" if glue == "\n\n" else "\n")
         elif out and glue != "":
             out.append(" " if glue == " " else "\n")
         if i in cut:
