@@ -318,27 +318,37 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
         who = np.repeat(np.arange(len(qc)), lists.value_lengths().to_numpy())
         by = np.argsort(asked, kind="stable")
         asked, who = asked[by], who[by]
-        found: list = []
-        for v in np.unique(leaf):
-            rows_ = np.flatnonzero(leaf == v)
+        # the best so far of each query; a leaf touches only queries it improves
+        top = np.full((len(qc), keep), -2, np.float32)
+        at_row = np.zeros((len(qc), keep), np.int64)
+        order = np.argsort(leaf, kind="stable")
+        for rows_ in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+            v = leaf[rows_[0]]
             some = who[np.searchsorted(asked, v) : np.searchsorted(asked, v, "right")]
-            for at in range(0, len(some), 2048):
-                w = some[at : at + 2048]
+            for begin in range(0, len(some), 2048):
+                w = some[begin : begin + 2048]
                 sim = qs[w] @ xs[rows_].T
-                sim[qc[w][:, None] == xc[rows_][None, :]] = -2
+                better = sim.max(1) > top[w, 0]
+                w, sim = w[better], sim[better]
+                if not len(w):
+                    continue
+                own_row, own_column = np.nonzero(qc[w][:, None] == xc[rows_][None, :])
+                sim[own_row, own_column] = -2
                 n = min(keep, len(rows_))
                 best = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                found.append((np.repeat(w, n), rows_[best].ravel(), np.take_along_axis(sim, best, 1).ravel()))
-        if not found:
-            return search(x.slice(0, 0), q)
-        w, o, sim = (np.concatenate(c) for c in zip(*found))
+                both = np.concatenate((top[w], np.take_along_axis(sim, best, 1)), axis=1)
+                which = np.concatenate((at_row[w], rows_[best]), axis=1)
+                chosen = np.argpartition(both, n, axis=1)[:, n:]
+                both, which = np.take_along_axis(both, chosen, 1), np.take_along_axis(which, chosen, 1)
+                least = both.argmin(1)  # the worst of the best goes first
+                both[np.arange(len(w)), least], both[:, 0] = both[:, 0], both[np.arange(len(w)), least]
+                which[np.arange(len(w)), least], which[:, 0] = which[:, 0], which[np.arange(len(w)), least]
+                top[w], at_row[w] = both, which
+        w = np.repeat(np.arange(len(qc)), keep)
+        sim, o = top.ravel(), at_row.ravel()
         ok = sim > -2
         w, o, sim = w[ok], o[ok], sim[ok]
-        by = np.lexsort((xc[o], -sim, w))
-        w, o, sim = w[by], o[by], sim[by]
-        nth = np.arange(len(w)) - np.searchsorted(w, w)
-        ok = nth < keep
-        return pa.table([pa.array(qc[w[ok]]), pa.array(xc[o[ok]]), pa.array(sim[ok], pa.float32())], names=names)
+        return pa.table([pa.array(qc[w]), pa.array(xc[o]), pa.array(sim, pa.float32())], names=names)
 
     left = index.mapInArrow(place, "part int, salt int, dim int, leaf int, cid bigint, vec binary").groupBy("part", "salt")
     right = index.mapInArrow(ask, "part int, salt int, cid bigint, vec binary, leaves array<int>").groupBy("part", "salt")
