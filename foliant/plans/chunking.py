@@ -43,6 +43,8 @@ def concept_keys(s, d):
 
 _H = lambda n: f"last_value(CASE WHEN heading_level = {n} THEN heading END IGNORE NULLS) OVER w AS h{n}, last_value(CASE WHEN heading_level = {n} AND heading IS NOT NULL THEN ord END IGNORE NULLS) OVER w AS a{n}"
 SQL = {
+    "repaired_paragraphs": r"""SELECT document_id, ord, md5(trim(regexp_replace(regexp_replace(content, '(\p{Ll})-\r?\n(\p{Ll})', '\1\2', 'g'), '\s+', ' ', 'g'))) AS text_md5,
+len(regexp_extract_all(content, '[\p{L}\p{N}\p{M}_]+')) AS words FROM (SELECT DISTINCT document_id, ord, content FROM sections WHERE content IS NOT NULL)""",
     "section_paths": f"""WITH s AS (SELECT document_id, ord, max(heading) AS heading, max(heading_level) AS heading_level FROM sections WHERE document_id IS NOT NULL AND ord IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT document_id, ord, {_H(1)}, {_H(2)}, {_H(3)} FROM s WINDOW w AS (PARTITION BY document_id ORDER BY ord ROWS UNBOUNDED PRECEDING))
 SELECT document_id, ord, concat_ws(' > ', h1, CASE WHEN a1 IS NULL OR a1 <= a2 THEN h2 END, CASE WHEN (a1 IS NULL OR a1 <= a3) AND (a2 IS NULL OR a2 <= a3) THEN h3 END) AS path FROM x""",
