@@ -393,8 +393,8 @@ def label_rows(documents: DataFrame, metas: DataFrame, chunks: DataFrame, sectio
     """``(src_table, row_key, label, lang, confidence)`` of every row of the
     three tables whose text has a language."""
     def one(df: DataFrame, table: str, key: str, label: str, text: str) -> DataFrame:
-        return decided(counted(df, [key, label], text, model)).select(
-            F.lit(table).alias("src_table"), F.col(key).cast("string").alias("row_key"), F.col(label).alias("label"), "lang", "confidence")
+        named = df.select(F.col(key).cast("string").alias("row_key"), F.col(label).alias("label"), F.col(text).alias("text"))
+        return decided(counted(named, ["row_key", "label"], "text", model)).select(F.lit(table).alias("src_table"), "row_key", "label", "lang", "confidence")
 
     per_section = counted(sections, ["document_id", "ord"], "content", model).distinct()
     per_file = decided(per_section.groupBy("document_id").agg(*(F.sum(c).alias(c) for c in COUNTS)))
