@@ -100,14 +100,15 @@ class Vocabulary:
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
         self.weight: list[int] = []
-        self.ends: list[bool] = []
+        self.ends: list[int] = []  # 2: ends a sentence, 1: does so before a capital, +4: begins with one
         self.table = None
 
     def number(self, token: str) -> int:
         word = bare(token) if len(token) <= 60 else ""
         self.rows.append(self.weights[features(word)].sum(0) if word else np.zeros(L, np.float32))
         self.weight.append(len(word))
-        self.ends.append(token.rstrip("\"'»”)]")[-1:] in (".", "!", "?", "…", "。"))
+        last = token.rstrip("\"'»”)]")[-1:]
+        self.ends.append((2 if last in (".", "!", "?", "…", "。") else 1 if last in (":", ";") else 0) + 4 * token.lstrip("\"'«„“([")[:1].isupper())
         self.known[token] = n = len(self.rows) - 1
         return n
 
@@ -122,7 +123,7 @@ class Vocabulary:
 
     def arrays(self):
         if self.table is None:
-            self.table = (np.array(self.rows, np.float32).reshape(-1, L), np.array(self.weight, np.int64), np.array(self.ends, bool))
+            self.table = (np.array(self.rows, np.float32).reshape(-1, L), np.array(self.weight, np.int64), np.array(self.ends, np.int8))
         return self.table
 
 
@@ -300,7 +301,7 @@ class Tagger:
         owner = np.repeat(np.arange(len(texts)), lengths)
         stop = ends[numbers]
         new = np.ones(len(numbers), bool)
-        new[1:] = stop[:-1] | (owner[1:] != owner[:-1])
+        new[1:] = (stop[:-1] & 2 > 0) | ((stop[:-1] & 1 > 0) & (stop[1:] & 4 > 0)) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(new)
         w = weight[numbers]
         mass = np.add.reduceat(post * w[:, None], first)
