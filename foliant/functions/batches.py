@@ -40,3 +40,11 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[..., li
                 yield made(out)
 
     return df.mapInArrow(run, struct)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files give fewer tasks than there are cores (few or small
+    files), dealt to all of them; larger scans stay as they are.  Only for
+    scans: it plans the frame."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
