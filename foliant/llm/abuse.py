@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.batches import spread
+
 DIM = 1 << 18
 WINDOW = 8
 FIT_ROWS = 6_000
@@ -394,7 +396,7 @@ def score(documents: DataFrame, model: Model, keys: list[str]) -> DataFrame:
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scorer(part.column(len(keys)).to_pylist()), pa.float64())], names=[*keys, "score"])
 
-    return documents.select(*keys, "text").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", score double")
+    return spread(documents.select(*keys, "text")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", score double")
 
 
 def rates(scored: DataFrame, least: float = 0.5) -> DataFrame:

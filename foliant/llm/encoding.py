@@ -22,7 +22,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.batches import map_columns
+from foliant.functions.batches import map_columns, spread
 
 TOKENIZER_DIR = os.environ.get("FOLIANT_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k.json"
@@ -122,7 +122,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f
 
         return step
 
-    return map_columns(df.select(key, text), f"`{key}` {dict(df.dtypes)[key]}, ids array<int>", start)
+    return map_columns(spread(df.select(key, text)), f"`{key}` {dict(df.dtypes)[key]}, ids array<int>", start)
 
 
 def encode_spans(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") -> DataFrame:
@@ -140,7 +140,7 @@ def encode_spans(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
         return step
 
-    return map_columns(df.select(key, text), f"`{key}` {dict(df.dtypes)[key]}, n_tokens int, starts array<int>, restored boolean", start)
+    return map_columns(spread(df.select(key, text)), f"`{key}` {dict(df.dtypes)[key]}, n_tokens int, starts array<int>, restored boolean", start)
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZER_DIR}/{TOKENIZER}") -> DataFrame:
@@ -154,7 +154,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
         return step
 
-    return map_columns(df.select(key, text), f"`{key}` {dict(df.dtypes)[key]}, n_tokens int", start)
+    return map_columns(spread(df.select(key, text)), f"`{key}` {dict(df.dtypes)[key]}, n_tokens int", start)
 
 
 def blank_rule(df: DataFrame, text: str = "text") -> F.Column:

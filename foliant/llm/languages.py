@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.batches import spread
+
 LANGS = ("vi", "en", "fr", "de")
 L = len(LANGS)
 MIXED = 0.2
@@ -373,7 +375,7 @@ def counted(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFram
                     [*part.columns[: len(keys)], *(pa.array(found[:, k]) for k in range(2 * L))], names=[*keys, *COUNTS])
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + ", ".join(f"{c} bigint" for c in COUNTS)
-    return df.where(F.col(text).isNotNull()).select(*keys, text).mapInArrow(run, schema)
+    return spread(df.where(F.col(text).isNotNull()).select(*keys, text)).mapInArrow(run, schema)
 
 
 def decided(df: DataFrame) -> DataFrame:
@@ -426,4 +428,4 @@ def mixed_segments(df: DataFrame, key: str, text: str, model: Model) -> DataFram
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[key, "begin", "end", "lang", "confidence"])
 
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, begin bigint, end bigint, lang string, confidence double")
+    return spread(df.where(F.col(text).isNotNull()).select(key, text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, begin bigint, end bigint, lang string, confidence double")

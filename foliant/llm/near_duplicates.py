@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.batches import spread
 from foliant.session import materialize
 
 FAMILIES, BUCKETS, MANTISSA, ROWS = 6, 64, 10, 4
@@ -174,7 +175,7 @@ def sketches(records: DataFrame, key: str, content: str, words: int) -> DataFram
                 )
 
     kind = dict(records.dtypes)[key]
-    return records.select(key, content).mapInArrow(run, f"`{key}` {kind}, sig bigint, n int, regs binary, shingles binary")
+    return spread(records.select(key, content)).mapInArrow(run, f"`{key}` {kind}, sig bigint, n int, regs binary, shingles binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.batches import spread
 from foliant.session import materialize
 
 # Characters that scanning software takes for one another.
@@ -205,7 +206,7 @@ def vocabulary(sections: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    counted = sections.where(F.length("content") > 0).select("content").mapInArrow(run, "word string, n bigint")
+    counted = spread(sections.where(F.length("content") > 0).select("content")).mapInArrow(run, "word string, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -325,7 +326,7 @@ def observed(sections: DataFrame, known: frozenset) -> DataFrame:
 
     rows = sections.where(F.length(F.btrim("content", F.lit(" \t\r\n"))) > 0).select(
         "document_id", F.col("ord").cast("int"), "content", "page_number", "element_type", F.xxhash64("content"))
-    return rows.mapInArrow(run, _TYPES)
+    return spread(rows).mapInArrow(run, _TYPES)
 
 
 def _files(metas: DataFrame) -> DataFrame:
