@@ -110,7 +110,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, group_item
         out[key] = out[key].astype(pdf[key].dtype)
         return out
 
-    return dealt.groupBy("grp").applyInPandas(fill, f"`{key}` {kind}, part_no int, first int, n int, container bigint, used int")
+    # a group is small in bytes and long in time: partitions must not be coalesced by size
+    spark = items.sparkSession
+    tasks = min(groups, 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.repartition(tasks, "grp").groupBy("grp").applyInPandas(fill, f"`{key}` {kind}, part_no int, first int, n int, container bigint, used int")
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
