@@ -59,7 +59,7 @@ _PAGE = re.compile(
 )
 _MISREAD_DIGITS = str.maketrans("lIi|!oOsSzZbBg", "11111005522889")
 # Words by which the name of an institution begins.
-INSTITUTION = "khoa bộ_môn trường đại_học học_viện viện faculty school department university institute college faculté école département université institut fakultät abteilung lehrstuhl fachbereich universität hochschule"
+INSTITUTION = "khoa bộ_môn trường đại_học học_viện viện faculty school department university institute college faculté école département université institut fakultät abteilung lehrstuhl fachbereich universität hochschule fachschule schule akademie"
 #: Most frequent words that need no second look: a bound on what is broadcast.
 KNOWN_WORDS = 30_000
 LONGEST = 25
@@ -256,10 +256,12 @@ _TYPES = "document_id string, ord int, content_hash bigint, kind string, line in
 
 def observed(sections: DataFrame, known: frozenset) -> DataFrame:
     """Possible traces, one row each.  ``kind`` and its columns: ``page``;
-    ``run`` (a: folded core, b: core, flag: begins like an institution);
+    ``run`` (a: folded core, b: core, c: ``short`` if clearly
+    shorter than the text or naming a chapter, pos: near an edge, flag: begins like an institution);
     ``cut`` (a: before, b: after, c: hyphen; pos: lines skipped in between);
     ``word`` (a: word, flag: may be a name)."""
     shared = sections.sparkSession.sparkContext.broadcast(known)
+    chapters = {folded(x) for x in ("chapter", "chương", "chapitre", "kapitel")}
     institutions = tuple(folded(x.replace("_", " ")) for x in INSTITUTION.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +280,10 @@ def observed(sections: DataFrame, known: frozenset) -> DataFrame:
             rows: list[tuple] = []
             for doc, ord_, text, page, kind, key in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = text.split("\n")
-                last = max(i for i, s in enumerate(lines) if s.strip())
-                first = min(i for i, s in enumerate(lines) if s.strip())
+                full = [i for i, s in enumerate(lines) if s.strip()]
+                first, last = full[0], full[-1]
+                edges = {*full[:2], *full[-2:]}
+                width = max(len(lines[i].strip()) for i in full)
                 table = kind in ("table", "code")
                 skip = set()
                 begin, starts = None, True
@@ -299,7 +303,7 @@ def observed(sections: DataFrame, known: frozenset) -> DataFrame:
                         core = _running_core(line)
                         f = folded(core)
                         head = core.split()[0].strip("–-—:.,")
-                        rows.append((doc, ord_, key, "run", i, int(i in (first, last)), f, core, None, folded(head) in institutions or folded(" ".join(core.split()[:2])) in institutions))
+                        rows.append((doc, ord_, key, "run", i, int(i in edges), f, core, "short" if len(s) <= 0.8 * width or folded(head) in chapters else None, folded(head) in institutions or folded(" ".join(core.split()[:2])) in institutions))
                     tokens = s.split()
                     cut = _ENDS.search(line) if i < last else None
                     for j, token in enumerate(tokens):
@@ -362,7 +366,9 @@ def decisions(sections: DataFrame, metas: DataFrame) -> DataFrame:
     widely = lines.where("flag").groupBy("a").agg(F.countDistinct("document_id", "ord").alias("wide"))
     judged = lines.join(often, ["document_id", "a"], "left").join(widely, "a", "left")
     three = F.size(F.split(F.col("b"), r"\s+")) >= 3
-    runs = judged.where(titled | (three & F.col("flag") & ((F.coalesce("times", F.lit(0)) >= 2) | (F.coalesce("wide", F.lit(0)) >= 2))) | (three & (F.col("times") >= 3) & (F.col("pos") == 1)))
+    # a file whose title is not known: what its pages repeat at their edges
+    untitled = F.col("t1").isNull() & (F.col("times") >= 2) & (F.col("pos") == 1) & (F.col("c") == "short") & three
+    runs = judged.where(titled | untitled | (three & F.col("flag") & ((F.coalesce("times", F.lit(0)) >= 2) | (F.coalesce("wide", F.lit(0)) >= 2))) | (three & (F.col("times") >= 3) & (F.col("pos") == 1) & (F.col("c") == "short")))
     gone = materialize(
         seen.where("kind = 'page'").select(*KEY, F.lit("page_number").alias("kind"), "line").unionByName(runs.select(*KEY, F.lit("running_line").alias("kind"), "line")).distinct(), "lines")
 
