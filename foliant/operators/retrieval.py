@@ -38,14 +38,21 @@ def top_k(rows: DataFrame, query: list[float], k: int = 10, threshold: float = 0
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # k rows
 
 
-def rank_all(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """The k best rows for each of a small set of queries (checked to be at
-    most 10 000, and broadcast); ranking is cut on the map side."""
-    n = queries.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("too many queries for exact search; use the tree of llm.similar_vectors")
-    asked = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
-    scored = rows.join(asked, F.size("vector") == F.size("_q")).select("query_id", key, V.cosine(F.col("vector"), F.col("_q")).alias("score"))
+def rank_all(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", most_broadcast: int = 10_000, block: int = 2_000) -> DataFrame:
+    """The k best rows for each query; ranking is cut on the map side.
+
+    Up to ``most_broadcast`` queries are broadcast.  More are cut into blocks
+    of about ``block``; every row meets every block in a task of the two's."""
+    asked = queries.select("query_id", F.col("vector").alias("_q"))
+    n = queries.count()
+    if n <= most_broadcast:
+        pairs = rows.join(F.broadcast(asked), F.size("vector") == F.size("_q"))
+    else:
+        blocks = math.ceil(n / block)
+        placed = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        spread = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = spread.join(placed, (spread["_b"] == placed["_b"]) & (F.size("vector") == F.size("_q")))
+    scored = pairs.select("query_id", key, V.cosine(F.col("vector"), F.col("_q")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

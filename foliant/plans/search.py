@@ -41,13 +41,15 @@ def vector_threshold(s, d):
     return _ranked(T.top_k(_usable(s, d), QUERY, 50, 0.2))
 
 
-def _queries(rows):
-    return rows.where(F.substring("chunk_id", 1, 1) == "0").orderBy("chunk_id").limit(20).select(F.col("chunk_id").alias("query_id"), "vector")
+def _labelled(s, d):
+    """The labelled vectors; the queries are those whose id is divisible by 50."""
+    rows = load(s, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector", F.col("label").alias("wanted"))
 
 
 def rank_for_queries(s, d):
-    rows = _usable(s, d)
-    return T.rank_all(rows, _queries(rows), 6).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    rows, asked = _labelled(s, d)
+    return T.rank_all(rows, asked, 6, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 def unit_vectors(s, d):
@@ -101,30 +103,29 @@ def quiz_context(s, d):
 
 
 def _evaluated(s, d):
-    """Each query's own document is relevant to it."""
-    rows = _usable(s, d)
-    asked = _queries(rows)
-    ranked = T.rank_all(rows, asked, 11).join(rows.select("chunk_id", "document_id"), "chunk_id")
-    of = asked.join(rows.select(F.col("chunk_id").alias("query_id"), F.col("document_id").alias("wanted")), "query_id").select("query_id", "wanted")
-    relevant = rows.groupBy(F.col("document_id").alias("wanted")).agg((F.count("*") - 1).alias("relevant"))
-    return ranked.where("chunk_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))), of.join(relevant, "wanted")
+    """Vectors of a query's label are relevant to it, itself left out."""
+    rows, asked = _labelled(s, d)
+    ranked = T.rank_all(rows, asked, 11, "vec_id").where("vec_id <> query_id").join(rows.select("vec_id", "label"), "vec_id")
+    relevant = rows.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("relevant"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return ranked.withColumn("rank", place), asked.select("query_id", "wanted").join(relevant, "wanted")
 
 
 def retrieval_eval(s, d):
     ranked, of = _evaluated(s, d)
-    hits = ranked.join(of, "query_id").where("document_id = wanted")
+    hits = ranked.join(of, "query_id").where("label = wanted")
     first = hits.groupBy("query_id").agg(F.min("rank").alias("first"))
     found = hits.where("rank <= 6").groupBy("query_id").agg(F.count("*").alias("found"))
     return T.hit_metrics(first, of, found)
 
 
 def retrieval_paired(s, d):
-    """Reciprocal ranks of the exact search against a shuffled one."""
+    """Reciprocal ranks of the exact search against the same finds shuffled."""
     ranked, of = _evaluated(s, d)
-    base = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.md5("chunk_id"))))
+    base = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("vec_id"))))
 
     def rr(r, name):
-        return of.select("query_id", "wanted").join(r, "query_id").groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("document_id") == F.col("wanted"), 1 / F.col("rank"))), F.lit(0.0)).alias(name))
+        return of.join(r, "query_id").groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("label") == F.col("wanted"), 1 / F.col("rank"))), F.lit(0.0)).alias(name))
 
     return T.paired_bootstrap(rr(base, "base").join(rr(ranked, "other"), "query_id"))
 
@@ -147,7 +148,8 @@ e AS (SELECT e0.chunk_id, CAST(e0.vector AS DOUBLE[]) AS vector, c.document_id,
   WHERE c.deleted_at IS NULL AND (c.document_id IS NULL OR c.document_id NOT IN (SELECT document_id FROM d WHERE deleted_at IS NOT NULL OR lms_published IS FALSE))),
 q AS (SELECT CAST({QUERY} AS DOUBLE[]) AS qv)"""
 _TOP = "SELECT chunk_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, chunk_id) AS rank FROM (SELECT chunk_id, list_cosine_similarity(vector, qv) AS s FROM e, q WHERE {w} ORDER BY s DESC, chunk_id LIMIT {k})"
-_ASKED = "a AS (SELECT chunk_id AS query_id, vector AS qv FROM e WHERE substring(chunk_id, 1, 1) = '0' ORDER BY chunk_id LIMIT 20)"
+_ASKED = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vector, label FROM embeddings WHERE embedding IS NOT NULL), a AS (SELECT vec_id AS query_id, vector AS qv, label AS wanted FROM v WHERE vec_id % 50 = 0),
+r0 AS (SELECT query_id, wanted, vec_id, label, list_cosine_similarity(vector, qv) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vector, qv) DESC, vec_id) AS rank FROM v, a)"""
 _MATCH = """p AS (SELECT d.chapter_code AS code, first(e.vector ORDER BY e.chunk_id) AS pv FROM e JOIN d ON d.document_id = e.document_id WHERE d.chapter_code IS NOT NULL GROUP BY 1),
 s AS (SELECT chunk_id AS text_id, code, list_cosine_similarity(vector, pv) AS score FROM e, p), r AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, code DESC) AS rn FROM s),
 t AS (SELECT text_id, max(CASE WHEN rn = 1 THEN code END) AS code, max(CASE WHEN rn = 1 THEN score END) AS score, coalesce(max(CASE WHEN rn = 2 THEN score END), 0.0) AS runner_up FROM r GROUP BY 1)
@@ -155,17 +157,14 @@ SELECT text_id, code, round(score, 5) AS score, round(runner_up, 5) AS runner_up
 _OC = """m AS (SELECT chunk_id, lo_id, max(confidence) AS confidence FROM chunk_lo_mappings WHERE lo_id IS NOT NULL GROUP BY 1, 2),
 oc AS (SELECT m.lo_id, m.chunk_id, c.content, row_number() OVER (PARTITION BY m.lo_id ORDER BY coalesce(v.role = 'reference', false), m.confidence DESC NULLS LAST, c.sort_order NULLS LAST, m.chunk_id) AS rank
 FROM m JOIN c ON c.chunk_id = m.chunk_id JOIN visible v ON v.document_id = c.document_id WHERE c.deleted_at IS NULL)"""
-_EVAL = f"""{_E}, {_ASKED}, r0 AS (SELECT query_id, chunk_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vector, qv) DESC, chunk_id) AS rank FROM e, a),
-r AS (SELECT query_id, chunk_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r0 WHERE rank <= 11 AND chunk_id <> query_id),
-w AS (SELECT a.query_id, e.document_id AS wanted FROM a JOIN e ON e.chunk_id = a.query_id), rel AS (SELECT document_id AS wanted, count(*) - 1 AS relevant FROM e GROUP BY 1),
-o AS (SELECT query_id, w.wanted, relevant FROM w JOIN rel ON rel.wanted = w.wanted),
-h AS (SELECT o.query_id, o.relevant, min(CASE WHEN r.document_id = o.wanted THEN rank END) AS first, count(CASE WHEN r.document_id = o.wanted AND rank <= 6 THEN 1 END) AS found FROM o LEFT JOIN r ON r.query_id = o.query_id GROUP BY 1, 2)"""
+_EVAL = f"""{_ASKED}, r AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r0 WHERE rank <= 11 AND vec_id <> query_id),
+rel AS (SELECT label AS wanted, count(*) - 1 AS relevant FROM v GROUP BY 1), o AS (SELECT query_id, a.wanted, relevant FROM a JOIN rel ON rel.wanted = a.wanted),
+h AS (SELECT o.query_id, o.relevant, min(CASE WHEN r.label = o.wanted THEN rank END) AS first, count(CASE WHEN r.label = o.wanted AND rank <= 6 THEN 1 END) AS found FROM o LEFT JOIN r ON r.query_id = o.query_id GROUP BY 1, 2)"""
 SQL = {
     "vector_topk": WITH + f", {_E} " + _TOP.format(w="true", k=10),
     "vector_topk_filtered": WITH + f", {_E} " + _TOP.format(w="language = 'en' AND coalesce(content_type NOT IN ('toc', 'table'), true)", k=10),
     "vector_threshold": WITH + f", {_E} " + _TOP.format(w="list_cosine_similarity(vector, qv) >= 0.2", k=50),
-    "rank_for_queries": WITH + f""", {_E}, {_ASKED} SELECT query_id, chunk_id, round(s, 6) AS score, rank FROM (SELECT query_id, chunk_id, list_cosine_similarity(vector, qv) AS s,
-row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vector, qv) DESC, chunk_id) AS rank FROM e, a) WHERE rank <= 6""",
+    "rank_for_queries": f"WITH {_ASKED} SELECT query_id, vec_id, round(s, 6) AS score, rank FROM r0 WHERE rank <= 6",
     "unit_vectors": WITH + f", {_E} SELECT chunk_id, round(sqrt(list_dot_product(vector, vector)), 5) AS norm, round(1.0, 6) AS unit_norm FROM e",
     "chapter_match": WITH + f", {_E}, " + _MATCH.format(a=0.65, b=0.05),
     "chapter_match_strict": WITH + f", {_E}, " + _MATCH.format(a=0.70, b=0.08),
@@ -177,7 +176,7 @@ x AS (SELECT pl.chunk_id, lw.lo_id, len(list_distinct(list_intersect(pw, ow))) >
 SELECT chunk_id, lo_id, CASE WHEN bool_or(shared) THEN 0.7 ELSE 0.5 END AS confidence, CASE WHEN bool_or(shared) THEN 'document+heading' ELSE 'document' END AS source FROM x GROUP BY 1, 2""",
     "quiz_context": WITH + f""", {_OC}, k AS (SELECT *, row_number() OVER (PARTITION BY lo_id ORDER BY rank) AS place, sum(least(length(content), 400)) OVER (PARTITION BY lo_id ORDER BY rank) AS run
 FROM oc WHERE rank <= 20 AND length(trim(content)) > 0) SELECT lo_id, chunk_id, place, run FROM k WHERE (place = 1 OR run <= 1200) AND place <= 5""",
-    "retrieval_eval": WITH + f""", {_EVAL} SELECT count(*) AS questions, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 3) AS hit_1, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0 END), 3) AS hit_3,
+    "retrieval_eval": f"""WITH {_EVAL} SELECT count(*) AS questions, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 3) AS hit_1, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0 END), 3) AS hit_3,
 round(avg(CASE WHEN first <= 6 THEN 1.0 ELSE 0 END), 3) AS hit_6, round(avg(coalesce(found * 1.0 / nullif(relevant, 0), 0)), 3) AS recall_6, round(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END), 3) AS mrr_10 FROM h""",
     "path_eval": WITH + """, p AS (SELECT document_id, heading_path AS h, lag(heading_path) OVER (PARTITION BY document_id ORDER BY sort_order NULLS FIRST, chunk_id) AS b FROM c WHERE document_id IS NOT NULL)
 SELECT document_id, count(*) AS pairs, count(*) FILTER (h[1:greatest(least(len(h), len(b)), 1)] = b[1:greatest(least(len(h), len(b)), 1)]) AS agree FROM p WHERE b IS NOT NULL GROUP BY 1""",

@@ -67,6 +67,14 @@ def test_hidden_vector_does_not_take_a_place(spark):
     assert [r.chunk_id for r in T.top_k(df.where("chunk_id <> 'a'"), [1.0, 0.0, 0.0], 2).orderBy("rank").collect()] == ["b", "c"]
 
 
+def test_many_queries_are_ranked_in_blocks(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(60)], "chunk_id int, vector array<double>")
+    asked = rows.select(F.col("chunk_id").alias("query_id"), "vector")
+    once = sorted(tuple(r) for r in T.rank_all(rows, asked, 5).collect())
+    assert sorted(tuple(r) for r in T.rank_all(rows, asked, 5, most_broadcast=10, block=7).collect()) == once and len(once) == 300
+
+
 def test_ambiguous_chapters_abstain(spark):
     profiles = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.99, 0.14])], "code string, vector array<double>")
     texts = spark.createDataFrame([("t", [1.0, 0.05])], "text_id string, vector array<double>")
