@@ -6,7 +6,8 @@ word pairs, and the text has its highest window's score.  The model is linear,
 so all windows of a text are differences of one running sum.
 
 It is fitted on at most ``FIT_ROWS`` reviewed texts (those with the smallest
-hash) and a few built-in sentences.  Reviews are of whole texts: the passage
+hash; of each the sentences up to ``FIT_WORDS`` words, while scoring always
+reads whole texts) and a few built-in sentences.  Reviews are of whole texts: the passage
 is found by alternating between choosing the window that carries the label of
 a flagged text, at first by the log-odds of its words and pairs, and fitting
 on these windows and all of the unflagged texts, each half of the texts judged

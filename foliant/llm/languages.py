@@ -8,7 +8,8 @@ are learned with them by forward-backward.  Words are summed up by sentence
 second language with ``MIXED`` of the characters makes it ``mixed``.
 
 The model is fitted on at most ``FIT_ROWS`` labelled texts, as many of each
-label (those with the smallest hash).  Labels are noisy: texts that contradict
+label (those with the smallest hash; of each a window of ``FIT_WORDS`` words,
+while labelling always reads whole texts).  Labels are noisy: texts that contradict
 their label leave the sample, at first by a model of the lexicons alone, then
 by one fitted on the rest; what stays, joined into code-switched sequences and
 partly stripped of marks, fits the final model.  Without any labelled text the
