@@ -41,3 +41,18 @@ def heading_paths(sections: DataFrame, key: str = "document_id", order: str = "o
             stands = stands & (a.isNull() | (a <= mine["at"]))
         parts.append(F.when(stands, mine["title"]))
     return carried.withColumn("path", F.array_compact(F.array(*parts))).drop(*names, *(f"last_{n}" for n in names))
+
+
+def next_value(df: DataFrame, key: str, order: str, value: str, block: int = 4096) -> DataFrame:
+    """The value of the next row of the key, as ``next_<value>``: by ``order``
+    (an integer, nulls last), then value; null for the last row."""
+    last = 1 << 40
+    at = F.floor(F.coalesce(F.col(order).cast("long"), F.lit(last * block)) / block)
+    df = df.withColumn("_block", at)
+    inner = Window.partitionBy(key, "_block").orderBy(F.col(order).asc_nulls_last(), value)
+    firsts = df.groupBy(key, "_block").agg(F.min(F.struct(F.coalesce(F.col(order).cast("long"), F.lit(last * block)).alias("o"), F.col(value).alias("v"))).alias("_f"))
+    after = Window.partitionBy(key).orderBy("_block")
+    follow = firsts.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), F.lead("_f.v").over(after).alias("_next"))
+    local = df.withColumn("_mine", F.lead(value).over(inner))
+    out = local.join(follow, local[key].eqNullSafe(follow["_key"]) & (local["_block"] == follow["_b"]), "left")
+    return out.withColumn(f"next_{value}", F.coalesce("_mine", "_next")).drop("_mine", "_next", "_key", "_b", "_block")

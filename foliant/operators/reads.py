@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import doc_type
+from foliant.operators.ordered import next_value
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -106,9 +107,10 @@ def neighbours(chunks: DataFrame, docs: DataFrame, anchors: DataFrame, window: i
 
 
 def next_edges(chunks: DataFrame) -> DataFrame:
-    """Each live chunk with the one after it in its document."""
-    w = Window.partitionBy("document_id").orderBy(F.col("sort_order").asc_nulls_last(), "chunk_id")
-    return chunks.where(alive() & F.col("document_id").isNotNull()).select("document_id", "chunk_id", F.lead("chunk_id").over(w).alias("next_id")).where("next_id IS NOT NULL")
+    """Each live chunk with the one after it in its document; long documents
+    are ordered in blocks."""
+    live = chunks.where(alive() & F.col("document_id").isNotNull() & F.col("chunk_id").isNotNull()).select("document_id", "chunk_id", "sort_order")
+    return next_value(live, "document_id", "sort_order", "chunk_id").where("next_chunk_id IS NOT NULL").select("document_id", "chunk_id", F.col("next_chunk_id").alias("next_id"))
 
 
 def cards(cards_: DataFrame, chunks: DataFrame) -> DataFrame:
