@@ -51,6 +51,10 @@ HYPHENS = "-‐‑¬­"
 _STRIP = ".,;:!?()[]{}\"'`´«»„“”‚‘’…—–*•·~/\\<>=+&#%"
 _LETTER = re.compile(r"[^\W\d_]")
 _CODE = re.compile(r"^\s*(?:def |class |import |from |return|if .*:|for .*:|while .*:)|^\s{2,}\S.*[()\[\]=]|[{};]\s*$|^\s*\||_\w*\d|\w\[\d")
+_ROW = re.compile(r"^\s*\|(?:\s|$|.*\|\s*$)")
+_SENTENCE = re.compile(r"(?:^|\s)[\"'(«„“]?(?:[^\W\d_]+[,;:]?\s+){3}[^\W\d_]+")
+_EVIDENCE = re.compile(r"[()\[\]{}=<>]|_\w*\d")
+_IMPORT = re.compile(r"^\s*from [\w.]+ import [\w*]+(?: as \w+)?(?:, \w+(?: as \w+)?)*\s*$")
 _ENDS = re.compile(rf"([^\W\d_][^\s]*?)([{HYPHENS}])[ \t\r]*$")
 _NUMBERED = re.compile(r"^\s*(?:[-*•‣–]|\d{1,3}[.)])\s")
 _WORDS_FOR_PAGE = r"(?:page|p|pg|pp|trang|tr|seite|s|blatt|pagina)"
@@ -99,6 +103,26 @@ def odd(word: str) -> bool:
     return any(c in _HARD for c in word) or bool(re.search(r"[^\W\d_][0-9][^\W\d_]", word)) and letters >= 2 * (len(word) - letters) and "_" not in word
 
 
+def code_lines(lines: list[str], kind: str | None = None) -> set[int]:
+    """Which lines are code or rows of tables.  A keyword or ``;`` is not
+    enough, for prose has them too: it takes brackets or operators and no
+    sentence, a section of code, or code in the next line; a line that reads
+    like a sentence must be indented or open an indented block as well."""
+    likely = [i for i, line in enumerate(lines) if _CODE.search(line)]
+    if not likely or kind == "code":
+        return set(likely)
+    sure = {i for i in likely if _ROW.match(lines[i]) or _IMPORT.match(lines[i]) or not _SENTENCE.search(lines[i]) and _EVIDENCE.search(lines[i])}
+    indent = lambda line: len(line) - len(line.lstrip())
+    for order in (likely, reversed(likely)):
+        for i in order:
+            if i in sure or not {i - 1, i + 1} & sure:
+                continue
+            after = lines[i + 1] if i + 1 < len(lines) else ""
+            if not _SENTENCE.search(lines[i]) or indent(lines[i]) >= 2 or lines[i].rstrip().endswith(":") and indent(after) > indent(lines[i]):
+                sure.add(i)
+    return sure
+
+
 _FOLD = {
     **dict.fromkeys("li1!|¡tf†rj", "i"), **dict.fromkeys("nu", "ii"), "m": "iii", "w": "vv", **dict.fromkeys("vy¥", "v"), "d": "oi",
     **dict.fromkeys("hb68", "b"), **dict.fromkeys("ec3€¢oa0@4", "o"), **dict.fromkeys("s5§$", "s"), **dict.fromkeys("g9q", "g"),
@@ -190,9 +214,11 @@ def vocabulary(sections: DataFrame) -> DataFrame:
 
         for batch in batches:
             raw: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                for line in text.split("\n"):
-                    if not _CODE.search(line):
+            for text, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = text.split("\n")
+                code = code_lines(lines, kind)
+                for i, line in enumerate(lines):
+                    if i not in code:
                         raw.update(line.split())
             for token, n in raw.items():
                 words = known.get(token)
@@ -206,7 +232,7 @@ def vocabulary(sections: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    counted = spread(sections.where(F.length("content") > 0).select("content")).mapInArrow(run, "word string, n bigint")
+    counted = spread(sections.where(F.length("content") > 0).select("content", "element_type")).mapInArrow(run, "word string, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -286,6 +312,7 @@ def observed(sections: DataFrame, known: frozenset) -> DataFrame:
                 width = max(len(lines[i].strip()) for i in full)
                 table = kind in ("table", "code")
                 skip = set()
+                code = code_lines(lines, kind)
                 begin, starts = None, True
                 for i, line in enumerate(lines):
                     s = line.strip()
@@ -296,7 +323,7 @@ def observed(sections: DataFrame, known: frozenset) -> DataFrame:
                         rows.append((doc, ord_, key, "page", i, 0, None, None, None, None))
                         skip.add(i)
                         continue
-                    if _CODE.search(line):
+                    if i in code:
                         begin, starts = None, True
                         continue
                     if may_run(line):
@@ -427,9 +454,10 @@ def _like(right: str, seen: str) -> str:
     return right[:1].upper() + right[1:] if seen[:1].isupper() else right
 
 
-def repair(text: str, found: list[tuple[str, int, int, str | None, str | None]]) -> str:
+def repair(text: str, found: list[tuple[str, int, int, str | None, str | None]], element_type: str | None = None) -> str:
     """Text with the decisions applied and its lines joined to paragraphs."""
     lines = text.split("\n")
+    code = code_lines(lines, element_type)
     gone = {line for kind, line, *_ in found if kind in ("page_number", "running_line")}
     cut = {line for kind, line, *_ in found if kind == "broken_word"}
     words: dict[int, dict[str, str]] = {}
@@ -444,11 +472,11 @@ def repair(text: str, found: list[tuple[str, int, int, str | None, str | None]])
         if i in words:
             for a, b in words[i].items():
                 line = re.sub(re.escape(a), lambda m, b=b: _like(b, m.group()), line, flags=re.I)
-        s = line.strip() if not _CODE.search(line) else line.rstrip()
+        s = line.strip() if i not in code else line.rstrip()
         if not s:
             glue = "\n\n"
             continue
-        if out and (glue == "\n\n" or _NUMBERED.match(s) or _CODE.search(line)):
+        if out and (glue == "\n\n" or _NUMBERED.match(s) or i in code):
             out.append("\n\n" if glue == "\n\n" else "\n")
         elif out and glue != "":
             out.append(" " if glue == " " else "\n")
@@ -457,7 +485,7 @@ def repair(text: str, found: list[tuple[str, int, int, str | None, str | None]])
         elif _ENDS.search(s) and not s.endswith(" -"):
             glue = ""  # keeps its hyphen
         else:
-            glue = "\n" if _CODE.search(line) else " "
+            glue = "\n" if i in code else " "
         out.append(s)
     return "".join(out)
 
@@ -465,12 +493,12 @@ def repair(text: str, found: list[tuple[str, int, int, str | None, str | None]])
 def repaired(sections: DataFrame, decided: DataFrame) -> DataFrame:
     """``(document_id, ord, content)`` of the sections that have traces, repaired."""
     notes = decided.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("kind", "line", "pos", "a", "b"))).alias("found"))
-    rows = sections.where(F.col("content").isNotNull()).select("document_id", F.col("ord").cast("int"), F.xxhash64("content").alias("content_hash"), "content")
-    joined = rows.join(notes, KEY).dropDuplicates(KEY).select("document_id", "ord", "content", "found")
+    rows = sections.where(F.col("content").isNotNull()).select("document_id", F.col("ord").cast("int"), F.xxhash64("content").alias("content_hash"), "content", "element_type")
+    joined = rows.join(notes, KEY).dropDuplicates(KEY).select("document_id", "ord", "content", "found", "element_type")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [repair(t, [(x["kind"], x["line"], x["pos"], x["a"], x["b"]) for x in f]) for t, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = [repair(t, [(x["kind"], x["line"], x["pos"], x["a"], x["b"]) for x in f], e) for t, f, e in zip(*(c.to_pylist() for c in b.columns[2:]))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["document_id", "ord", "content"])
 
     return joined.mapInArrow(run, "document_id string, ord int, content string")

@@ -59,3 +59,20 @@ def test_anagram_hash_finds_corrections(spark):
 def test_repair_keeps_lists_and_code():
     text = "One line\ngoes on.\n- item\n- other\nitem\n\ndef f(x):\n    return x\n"
     assert X.repair(text, []) == "One line goes on.\n- item\n- other item\n\ndef f(x):\n    return x"
+
+
+def test_prose_lines_that_begin_like_code_are_read(spark):
+    scanned = "The window explains the method and we\nreturn to both in a later part of the reg-\nister. The inner graph determines\nfrom the distance of the mcthod and the wind0w;\nthe method of the register."
+    df = sections(spark, [("scan", 1, scanned, 12, "paragraph", None, None)])
+    decided = X.decisions(df, spark.createDataFrame([("scan", None, "application/pdf")], METAS))
+    assert {tuple(r) for r in X.traces(decided).collect()} == {("scan", 1, "broken_word"), ("scan", 1, "wrong_char")}
+    assert X.repaired(df, decided).first().content == (
+        "The window explains the method and we return to both in a later part of the register. The inner graph determines from the distance of the method and the window; the method of the register.")
+
+
+@pytest.mark.parametrize(("text", "kind", "code"), [
+    ("from the store if it is full. Our spanning", "paragraph", set()), ("while readers wait: Students hand in 14 pages\nclass of the same kind as the other one;", "list", set()),
+    ("from os import path\nimport sys\ndef f(x):\n    if x in y and z and w:\n        return x\nText follows here.", None, {0, 1, 2, 3, 4}),
+    ("int x = f(3);\nreturn x;", None, {0, 1}), ("return kezen", "code", {0}), ("| a word and one more word |\n|n the window of the room", None, {0})])
+def test_code_needs_evidence(text, kind, code):
+    assert X.code_lines(text.split("\n"), kind) == code
