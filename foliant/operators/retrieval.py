@@ -73,7 +73,7 @@ def match_chapters(texts: DataFrame, profiles: DataFrame, strict: bool = False)
 def chapter_numbers(paths: DataFrame, chapters: DataFrame) -> DataFrame:
     """Chapter of each chunk from numbers in its headings: the first number,
     in order of the path, that exists in its course."""
-    number = r"(?i)(?:chương|bài|chapter|chapitre|kapitel|lecture|tuần|buổi|unit)\s*0*(\d+)"
+    number = r"(?iu)(?:chương|chuong|chapter|chapitre|kapitel|bài|bai|lecture|tuần|tuan|buổi|buoi|unit)\s*[.:\-]?\s*0*(\d+)"
     found = paths.select("chunk_id", "course_id", F.posexplode(F.regexp_extract_all(F.array_join("heading_path", " / "), F.lit(number), 1)).alias("pos", "code"))
     hits = found.join(chapters.select("course_id", "code").distinct(), ["course_id", "code"])
     return hits.groupBy("chunk_id").agg(F.min_by("code", "pos").alias("chapter_code"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import vectors as V
 from foliant.operators import reads as R
 from foliant.operators import retrieval as T
+from foliant.plans import curriculum as K
 from foliant.plans.store import CHUNKS_SQL, DOCS_SQL, chunks, docs
 from foliant.session import load
 
@@ -95,6 +96,26 @@ def lo_mapping(s, d):
     return T.map_outcomes(placed, links, lo.select("lo_id", "outcome_words"))
 
 
+def lo_mapping_placed(s, d):
+    """``lo_mapping`` for every chunk that can be placed: by the strict match of
+    its own vector (reference files, which are placed by nothing else), the
+    file's chapter, a chapter number in its headings, or a title in them."""
+    lo = _outcome_words(s, d)
+    links = lo.select("course_id", F.split_part("code", F.lit("."), F.lit(3)).alias("chapter_code"), "lo_id")
+    words = F.array_distinct(F.filter(F.split(F.lower(F.array_join("heading_path", " ")), "[^a-z]+"), lambda x: F.length(x) >= 5))
+    files = docs(s, d).select("document_id", F.col("chapter_code").alias("file"), F.coalesce(F.col("role") == "reference", F.lit(False)).alias("reference"))
+    c = chunks(s, d).where(R.alive()).join(files, "document_id").select("chunk_id", "course_id", "heading_path", words.alias("path_words"), "file", "reference")
+    known = load(s, d, "documents_meta").where("chapter_code IS NOT NULL").select("course_id", F.col("chapter_code").alias("code")).unionByName(links.select("course_id", F.col("chapter_code").alias("code")))
+    section = chapter_match_strict(s, d).where("chapter IS NOT NULL").select(F.col("text_id").alias("chunk_id"), F.col("chapter").alias("section"))
+    number = T.chapter_numbers(c, known).select("chunk_id", F.col("chapter_code").alias("number"))
+    title = K.heading_titles(s, d).select("chunk_id", F.col("chapter_code").alias("title"))
+    every = c.join(section, "chunk_id", "left").join(number, "chunk_id", "left").join(title, "chunk_id", "left")
+    chapter = F.when(F.col("reference"), F.col("section")).otherwise(F.coalesce("file", "number", "title"))
+    source = F.when(F.col("reference"), "section").when(F.col("file").isNotNull(), "document").otherwise("chapter")
+    placed = every.select("chunk_id", "course_id", chapter.alias("chapter_code"), "path_words", source.alias("source"))
+    return T.map_outcomes(placed.where("chapter_code IS NOT NULL"), links, lo.select("lo_id", "outcome_words"))
+
+
 def quiz_context(s, d):
     """For each outcome its best chunks within the budget of characters."""
     best = R.chunks_for_outcomes(load(s, d, "chunk_lo_mappings").groupBy("chunk_id", "lo_id").agg(F.max("confidence").alias("confidence")), chunks(s, d), docs(s, d))
@@ -183,6 +204,19 @@ SELECT document_id, count(*) AS pairs, count(*) FILTER (h[1:greatest(least(len(h
     "chunk_stats": WITH + """SELECT content_type, count(*) AS chunks, CAST(quantile_disc(length(content), 0.5) AS INT) AS p50, CAST(quantile_disc(length(content), 0.95) AS INT) AS p95, max(length(content)) AS longest,
 count(*) FILTER (length(content) < 200) AS small, count(*) FILTER (length(content) > 1500) AS large, count(*) FILTER (page_end > page_start) AS multi_page FROM c GROUP BY 1""",
 }
+_NUMBER = r"(?i)(?:chương|chuong|chapter|chapitre|kapitel|bài|bai|lecture|tuần|tuan|buổi|buoi|unit)\s*[.:\-]?\s*0*(\d+)"
+SQL["lo_mapping_placed"] = WITH + f""", lo AS (SELECT lo_id, course_id, max(statement_en) AS st, max(code) AS code FROM learning_outcomes WHERE deleted_at IS NULL AND lo_id IS NOT NULL GROUP BY 1, 2),
+lw AS (SELECT lo_id, course_id, split_part(code, '.', 3) AS chapter_code, list_filter(regexp_split_to_array(lower(coalesce(st, '')), '[^a-z]+'), lambda x: length(x) >= 5) AS ow FROM lo),
+k AS (SELECT course_id, chapter_code AS code FROM documents_meta WHERE chapter_code IS NOT NULL UNION SELECT course_id, chapter_code FROM lw),
+b AS (SELECT c.chunk_id, c.course_id, c.heading_path, d.chapter_code AS file, coalesce(d.role = 'reference', false) AS ref FROM c JOIN d ON d.document_id = c.document_id WHERE c.deleted_at IS NULL),
+f AS (SELECT chunk_id, course_id, regexp_extract_all(array_to_string(heading_path, ' / '), '{_NUMBER}', 1) AS ns FROM b),
+nu AS (SELECT f.chunk_id, first(k.code ORDER BY i) AS number FROM (SELECT chunk_id, course_id, unnest(ns) AS code, generate_subscripts(ns, 1) AS i FROM f) f JOIN k ON k.course_id = f.course_id AND k.code = f.code GROUP BY 1),
+ti AS ({K.SQL['heading_titles']}), se AS ({SQL['chapter_match_strict']}),
+pl AS (SELECT b.chunk_id, b.course_id, CASE WHEN ref THEN se.chapter ELSE coalesce(file, number, ti.chapter_code) END AS chapter_code,
+  CASE WHEN ref THEN 'section' WHEN file IS NOT NULL THEN 'document' ELSE 'chapter' END AS source, list_filter(regexp_split_to_array(lower(array_to_string(heading_path, ' ')), '[^a-z]+'), lambda x: length(x) >= 5) AS pw
+  FROM b LEFT JOIN se ON se.text_id = b.chunk_id LEFT JOIN nu ON nu.chunk_id = b.chunk_id LEFT JOIN ti ON ti.chunk_id = b.chunk_id),
+x AS (SELECT pl.chunk_id, lw.lo_id, source, coalesce(len(list_distinct(list_intersect(pw, ow))) >= 2, false) AS shared FROM pl JOIN lw ON lw.course_id = pl.course_id AND lw.chapter_code = pl.chapter_code)
+SELECT chunk_id, lo_id, CASE WHEN bool_or(shared) THEN 0.7 ELSE 0.5 END AS confidence, CASE WHEN bool_or(shared) THEN max(source) || '+heading' ELSE max(source) END AS source FROM x GROUP BY 1, 2"""
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_filtered, vector_threshold, rank_for_queries, unit_vectors, chapter_match, chapter_match_strict, section_texts, lo_mapping, quiz_context,
+    vector_topk, vector_topk_filtered, vector_threshold, rank_for_queries, unit_vectors, chapter_match, chapter_match_strict, section_texts, lo_mapping, lo_mapping_placed, quiz_context,
     retrieval_eval, retrieval_paired, path_eval, chunk_stats)}

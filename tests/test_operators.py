@@ -102,3 +102,9 @@ def test_old_generations_are_left_out(spark):
     docs = spark.createDataFrame([("d", 2)], "document_id string, processing_generation int")
     res = spark.createDataFrame([("d", 1), ("d", 2), ("e", 0)], "document_id string, generation int")
     assert {tuple(r) for r in O.current_only(res, docs).select("document_id", "generation").collect()} == {("d", 2), ("e", 0)}
+
+
+def test_chapter_numbers_read_every_spelling(spark):
+    paths = spark.createDataFrame([("a", "k", ["CHƯƠNG 03: Index"]), ("b", "k", ["Buoi: 4"]), ("c", "k", ["Lecture-9", "Tuần 3"]), ("d", "k", ["3.6 Index"])], "chunk_id string, course_id string, heading_path array<string>")
+    chapters = spark.createDataFrame([("k", "3"), ("k", "4")], "course_id string, code string")
+    assert {tuple(r) for r in T.chapter_numbers(paths, chapters).collect()} == {("a", "3"), ("b", "4"), ("c", "3")}
