@@ -31,6 +31,21 @@ def shuffled_choices(choices: DataFrame, question: str = "question_id", index: s
     return choices.withColumn("place", F.row_number().over(w) - 1)
 
 
+def placed_choices(choices: DataFrame, targets: DataFrame, question: str = "question_id", index: str = "choice") -> DataFrame:
+    """Place of each choice: the right one (``correct``) of a question at its
+    ``target`` modulo the number of choices, the others around it in an order
+    drawn from the id.  A question with no right choice, or with several,
+    keeps its order, for a validator to find it."""
+    of = Window.partitionBy(question)
+    known = choices.join(targets.select(question, "target"), question, "left").withColumns({"_n": F.count("*").over(of), "_right": F.sum(F.coalesce(F.col("correct").cast("int"), F.lit(0))).over(of)})
+    wrong = F.coalesce(~F.col("correct"), F.lit(True))
+    drawn = F.row_number().over(Window.partitionBy(question, wrong).orderBy(shuffle_key(F.col(question), F.col(index)), index)) - 1
+    at = F.pmod(F.col("target"), F.col("_n"))
+    place = F.when(~wrong, at).otherwise(drawn + (drawn >= at).cast("int"))
+    kept = F.row_number().over(of.orderBy(index)) - 1
+    return known.withColumn("place", F.when((F.col("_right") == 1) & F.col("target").isNotNull(), place).otherwise(kept).cast("int")).drop("_n", "_right", "target")
+
+
 def balanced_positions(questions: DataFrame, quiz: str, question: str, choices: int = 4) -> DataFrame:
     """Place of the right answer: every place of a quiz is used equally often
     (counts differ by one at most), in an order drawn from the ids."""

@@ -13,7 +13,9 @@ from pyspark.sql.types import ArrayType, StringType
 
 WORD = r"(?U)\w+"
 #: Abbreviations after which a full stop ends no sentence.
-ABBREVIATIONS = frozenset("ts ths pgs gs ks bs th tp hình bảng mr mrs ms dr prof st vs etc e.g i.e cf fig eq no vol pp ca bzw z.b d.h nr abb".split())
+ABBREVIATIONS = frozenset("v.v ts ths pgs gs tp tt đh e.g i.e etc vs fig no pp tr".split())
+_CLOSERS, _MARKS = "\"')]»", ".!?…"
+_SECTION_NUMBER = re.compile(r"\b\d+(?:\.\d+)+$")
 
 
 def fold_text(s: str | None) -> str | None:
@@ -125,26 +127,35 @@ def bloom_level(name: Column) -> Column:
     return given
 
 
+def _closes(word: str) -> bool:
+    """May a sentence end with this word?  It must end with a mark, closing
+    signs aside, and be no abbreviation, dotted number or ellipsis."""
+    core = word.rstrip(_CLOSERS)
+    if not core or core[-1] not in _MARKS:
+        return False
+    core = core[:-1]
+    return not core.endswith(".") and core.casefold() not in ABBREVIATIONS and not _SECTION_NUMBER.search(core)
+
+
 def split_sentences(text: str | None) -> list[str]:
-    """Sentences of a text: a mark ends one if what follows begins with a
-    capital letter or digit, and neither abbreviation nor number is cut."""
+    """Sentences of a text: one ends with a word that may close it, if the
+    next letter or digit after it is a capital or a digit."""
     if not text or not text.strip():
         return []
-    out, begin = [], 0
-    for m in re.finditer(r"(?:\.{3}|[.!?…])[\"'”»)\]]*(\s+)", text):
-        follows = text[m.end() : m.end() + 1]
-        before = re.search(r"([^\s(]+)$", text[begin : m.start()])
-        word = before.group(1).lower() if before else ""
-        if not follows or not (follows.isupper() or follows.isdigit() or "\n" in m.group(1) and follows.isalpha() is False):
-            continue
-        if text[m.start()] == "." and (word in ABBREVIATIONS or re.fullmatch(r"\w", word) and word.isalpha()):
-            continue
-        if word in ("hình", "bảng", "chương", "mục"):
-            continue
-        out.append(text[begin : m.end(1)].strip())
-        begin = m.end()
-    rest = text[begin:].strip()
-    return [s for s in [*out, rest] if s]
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    # from the end: does the text after each word begin with a capital or digit?
+    opens, ahead = [False] * len(words), False
+    for i in range(len(words) - 1, -1, -1):
+        opens[i] = ahead
+        first = next((c for c in text[words[i][0] : words[i][1]] if c.isalnum()), None)
+        if first is not None:
+            ahead = first.isupper() or first.isdigit()
+    out, begin = [], words[0][0]
+    for i, (a, b) in enumerate(words):
+        if i + 1 == len(words) or opens[i] and _closes(text[a:b]):
+            out.append(text[begin:b])
+            begin = words[i + 1][0] if i + 1 < len(words) else b
+    return out
 
 
 @F.pandas_udf(ArrayType(StringType()))

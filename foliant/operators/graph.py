@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.reads import alive, visible_documents
 from foliant.session import materialize
 
 
@@ -34,13 +35,22 @@ def heading_edges(chunks: DataFrame) -> DataFrame:
     return roots.unionByName(subs).unionByName(to_chunk)
 
 
-def degrees(relations: DataFrame) -> DataFrame:
+def course_relations(relations: DataFrame, chunks: DataFrame, docs: DataFrame, course_id: str | None = None) -> DataFrame:
+    """Relations a reader may see: of a live chunk in a visible document, of
+    one course if it is given.  Both joins are left to the size check."""
+    some = relations if course_id is None else relations.where(F.col("course_id") == course_id)
+    return some.join(chunks.where(alive()).select("chunk_id").distinct(), "chunk_id", "left_semi").join(visible_documents(docs).select("document_id"), "document_id", "left_semi")
+
+
+def degrees(relations: DataFrame, by_course: bool = False) -> DataFrame:
     """Edges at each node, counted at both ends."""
-    return relations.select(F.explode(F.array("source_key", "target_key")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+    keys = ["course_id", "key"] if by_course else ["key"]
+    return relations.select(*keys[:-1], F.explode(F.array("source_key", "target_key")).alias("key")).groupBy(*keys).agg(F.count("*").alias("degree"))
 
 
 def seeds(relations: DataFrame, concept: str, n: int = 5) -> DataFrame:
-    """Nodes that match a concept: equal ones first, then by degree."""
+    """Nodes that match a concept: equal ones first, then by degree.  The
+    relations must already be those of the reader, see ``course_relations``."""
     key = F.col("key")
     matches = (key == concept) | F.contains(key, F.lit(concept)) | ((F.length(key) >= 4) & F.contains(F.lit(concept), key))
     return degrees(relations).where(matches).orderBy((key == concept).desc(), F.desc("degree"), "key").limit(n)

@@ -27,8 +27,10 @@ def _listed(pages: DataFrame) -> DataFrame:
     return pages.select("document_id", "page").distinct().withColumn("_listed", F.lit(True))
 
 
-def mark_failure(report: DataFrame, pages: DataFrame, reason: str) -> DataFrame:
-    """Add a reason to the listed pages, once."""
+def mark_failure(report: DataFrame, pages: DataFrame, backend: str) -> DataFrame:
+    """Add ``<backend>_failed`` to the reasons of the listed pages, once; the
+    pages do not count as tried."""
+    reason = f"{backend}_failed"
     out = report.join(_listed(pages), ["document_id", "page"], "left")
     return out.withColumn("reasons", F.when(F.col("_listed"), F.array_union(F.coalesce("reasons", F.array().cast("array<string>")), F.array(F.lit(reason)))).otherwise(F.col("reasons"))).drop("_listed")
 
@@ -40,11 +42,11 @@ def mark_attempt(report: DataFrame, pages: DataFrame, backend: str) -> DataFrame
 
 
 def mark_parsed(report: DataFrame, pages: DataFrame, backend: str, layout_aware: bool) -> DataFrame:
-    """The listed pages were read by ``backend``."""
+    """The listed pages were read by ``backend``; knowing the layout is kept."""
     out = report.join(_listed(pages), ["document_id", "page"], "left")
     return out.withColumns({
         "parsed_by": F.when(F.col("_listed"), F.lit(backend)).otherwise(F.col("parsed_by")),
-        "layout_aware": F.when(F.col("_listed"), F.lit(layout_aware)).otherwise(F.col("layout_aware"))}).drop("_listed")
+        "layout_aware": F.when(F.col("_listed") & F.lit(layout_aware), F.lit(True)).otherwise(F.col("layout_aware"))}).drop("_listed")
 
 
 def reread_plan(report: DataFrame, full_share: float = 0.5, most_ranges: int = 8) -> DataFrame:

@@ -8,38 +8,44 @@ from pyspark.sql import functions as F
 from foliant.functions.text import margin_key
 
 # Thresholds of the page classes.
-MIN_CHARS, SCAN_COVERAGE, MANY_DRAWINGS = 40, 0.5, 60
+MIN_CHARS, SCAN_COVERAGE = 40, 0.5
+# Classes that need another reader, and those without usable text.
+FALLBACK, NO_TEXT = ["needs_ocr", "complex_layout"], ["needs_ocr"]
 
 
 def classify(metrics: DataFrame) -> DataFrame:
-    """``status`` of each page with the ``reasons`` for it."""
-    sparse = F.col("char_count") < MIN_CHARS
-    image = F.coalesce(F.col("image_area_ratio"), F.lit(0.0)) >= SCAN_COVERAGE
-    drawn = F.coalesce(F.col("drawing_count"), F.lit(0)) >= MANY_DRAWINGS
+    """``status`` of each page with the ``reasons`` for it.
+
+    Enough characters: text, or a complex layout with several columns or
+    tables.  Fewer: a page that an image covers, or that has any image or
+    drawing, must be read again; else what there is counts as sparse text."""
+    enough = F.coalesce(F.col("char_count"), F.lit(0)) >= MIN_CHARS
+    image = F.coalesce(F.col("image_area_ratio"), F.lit(0.0))
+    drawn = (image > 0) | (F.coalesce(F.col("drawing_count"), F.lit(0)) > 0)
     columns, tables = F.coalesce(F.col("multi_column"), F.lit(False)), F.coalesce(F.col("table_count"), F.lit(0)) > 0
+    some = F.coalesce(F.col("char_count"), F.lit(0)) > 0
     status = (
-        F.when(sparse & (image | drawn), "needs_ocr").when(sparse & (F.col("char_count") == 0), "empty")
-        .when(~sparse & (columns | tables), "complex_layout").otherwise("text")
+        F.when(enough & (columns | tables), "complex_layout").when(enough, "text").when((image >= SCAN_COVERAGE) | drawn, "needs_ocr").when(some, "text").otherwise("empty")
     )
     reasons = F.array_compact(F.array(
-        F.when(sparse & image, "image_page"), F.when(sparse & drawn & ~image, "drawn_page"), F.when(sparse & ~image & ~drawn & (F.col("char_count") > 0), "sparse_text"),
-        F.when(~sparse & columns, "multi_column"), F.when(~sparse & tables, "table")))
+        F.when(enough & columns, "multi_column"), F.when(enough & tables, "table_detected"), F.when(~enough & (image >= SCAN_COVERAGE), "image_page"),
+        F.when(~enough & (image < SCAN_COVERAGE) & drawn, "no_text_layer"), F.when(~enough & ~drawn & some, "sparse_text")))
     return metrics.withColumns({"status": status, "reasons": reasons})
 
 
 def heading_thresholds(lines: DataFrame) -> DataFrame:
-    """Font sizes from which a line is a heading of level 1, 2, 3."""
+    """Font sizes from which a line is a heading of level 1, 2, 3: steps of
+    0.8, 1.5 and 2.2 gaps above body text, a gap being a third of the way to
+    the greatest size, or 2 points where all sizes are alike."""
     per = lines.groupBy("document_id").agg(F.median("size").alias("body"), F.max("size").alias("top"))
-    step = (F.col("top") - F.col("body")) / 3
-    return per.select("document_id", "body", (F.col("top") - step).alias("h1"), (F.col("top") - 2 * step).alias("h2"), (F.col("body") + step / 2).alias("h3"))
+    gap = F.when(F.col("top") > F.col("body"), (F.col("top") - F.col("body")) / 3).otherwise(2.0)
+    return per.select("document_id", "body", *((F.col("body") + gap * step).alias(name) for name, step in (("h3", 0.8), ("h2", 1.5), ("h1", 2.2))))
 
 
 def heading_levels(lines: DataFrame) -> DataFrame:
-    """0 for body text; level 3 needs bold type."""
-    level = (
-        F.when(F.col("size") <= F.col("body"), 0).when(F.col("size") >= F.col("h1"), 1).when(F.col("size") >= F.col("h2"), 2)
-        .when((F.col("size") >= F.col("h3")) & F.coalesce(F.col("bold"), F.lit(False)), 3).otherwise(0)
-    )
+    """0 for body text; bold type above the size of body text is level 3."""
+    bold = F.coalesce(F.col("bold"), F.lit(False)) & (F.col("size") > F.col("body"))
+    level = F.when(F.col("size") >= F.col("h1"), 1).when(F.col("size") >= F.col("h2"), 2).when((F.col("size") >= F.col("h3")) | bold, 3).otherwise(0)
     return lines.join(heading_thresholds(lines), "document_id").withColumn("level", level)
 
 
@@ -72,30 +78,60 @@ def slide_decks(pages: DataFrame, mode: str = "auto") -> DataFrame:
     return pages.groupBy("document_id").agg({"auto": auto, "always": F.lit(True), "never": F.lit(False)}[mode].alias("slides"))
 
 
-def _page_columns() -> tuple[Column, Column, Column]:
-    read = F.coalesce(F.col("chars"), F.lit(0)) > 0
-    ocr = F.coalesce(F.col("status") == "needs_ocr", F.lit(False))
+def _page_columns() -> dict[str, Column]:
+    """Conditions of a report row; readers are counted by their attempts."""
     tried = F.size(F.coalesce("attempts", F.array()))
-    return read, ocr, tried
+    lost = F.col("parsed_by").isNull() & F.coalesce(F.col("status").isin(NO_TEXT), F.lit(False))
+    return {
+        "needs_fallback": F.coalesce(F.col("status").isin(FALLBACK), F.lit(False)) & (tried <= 1),
+        "unprocessed": lost & (tried <= 1),
+        "no_text": lost & (tried > 1),
+        "degraded": F.coalesce(F.col("status") == "complex_layout", F.lit(False)) & ~F.coalesce("layout_aware", F.lit(False)),
+    }
 
 
 def page_sets(report: DataFrame) -> DataFrame:
-    """Pages that need the other reader, have no text, or came out degraded."""
-    read, ocr, tried = _page_columns()
-    return report.select("document_id", "page", F.array_compact(F.array(
-        F.when(F.col("status").isin("needs_ocr", "complex_layout") & (tried < 2), "needs_fallback"),
-        F.when(F.col("parsed_by").isNull(), "unprocessed"), F.when(~read, "no_text"),
-        F.when((F.col("status") == "complex_layout") & ~F.coalesce("layout_aware", F.lit(False)), "degraded"))).alias("sets"))
+    """Sets each page belongs to: it needs the other reader, no reader tried
+    to get its missing text, a second one found none, or its layout was read
+    by no reader that knows layouts."""
+    return report.select("document_id", "page", F.array_compact(F.array(*(F.when(c, name) for name, c in _page_columns().items()))).alias("sets"))
+
 
+def coverage(report: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """One row a document: pages by status and by reader, pages of each open
+    set as ranges, resolved pages (read, or empty) and completeness.
 
-def coverage(report: DataFrame) -> DataFrame:
-    """One row a document: pages by status, resolved pages, and completeness."""
-    read, ocr, _ = _page_columns()
+    ``totals`` ``(document_id, pages_total)``: pages beyond the examined ones
+    are listed as skipped and make a document incomplete."""
+    sets = _page_columns()
+    marked = report.withColumns({f"_{k}": v for k, v in sets.items()})
     count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
-    return report.groupBy("document_id").agg(
-        F.count("*").alias("pages"), count(F.col("status") == "text", "text_pages"), count(ocr, "ocr_pages"), count(F.col("status") == "complex_layout", "complex_pages"),
-        count(F.col("status").isNull(), "unknown_pages"), count(read & F.col("parsed_by").isNotNull(), "resolved")
-    ).withColumn("complete", F.col("resolved") == F.col("pages"))
+    per = marked.groupBy("document_id").agg(
+        F.count("*").alias("pages"), count(F.col("status") == "text", "text_pages"), count(F.col("status") == "needs_ocr", "ocr_pages"),
+        count(F.col("status") == "complex_layout", "complex_pages"), count(F.col("status") == "empty", "empty_pages"), count(F.col("status").isNull(), "unknown_pages"),
+        count(F.col("parsed_by").isNotNull() | (F.col("status") == "empty"), "resolved"),
+        *(count(F.col(f"_{k}"), k) for k in ("unprocessed", "no_text", "degraded")), F.max("page").alias("_examined"))
+    readers = report.where("parsed_by IS NOT NULL").groupBy("document_id", "parsed_by").agg(F.count("*").alias("n")).groupBy("document_id").agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "parsed_by", F.col("n").cast("string")))), ",").alias("by_reader"))
+    out = per.join(readers, "document_id", "left")
+    for k in ("unprocessed", "no_text", "degraded"):
+        listed = format_ranges(page_ranges(marked.where(f"_{k}"))).withColumnRenamed("pages", f"{k}_pages")
+        out = out.join(listed, "document_id", "left")
+    if totals is not None:
+        out = out.join(totals.groupBy("document_id").agg(F.max("pages_total").alias("pages_total")), "document_id", "left")
+    else:
+        out = out.withColumn("pages_total", F.col("_examined"))
+    skipped = F.greatest(F.coalesce("pages_total", "_examined") - F.col("_examined"), F.lit(0))
+    return out.withColumn("skipped", skipped.cast("int")).withColumn(
+        "complete", (F.col("unprocessed") + F.col("no_text") + F.col("degraded") + F.col("skipped")) == 0).drop("_examined", "pages_total")
+
+
+def missing_text(report: DataFrame) -> DataFrame:
+    """Documents with pages whose text no reader tried to get: how many of
+    how many, and which."""
+    lost = report.where(_page_columns()["unprocessed"])
+    size = report.groupBy("document_id").agg(F.count("*").alias("examined"))
+    return format_ranges(page_ranges(lost)).join(lost.groupBy("document_id").agg(F.count_distinct("page").alias("missing")), "document_id").join(size, "document_id")
 
 
 def page_ranges(pages: DataFrame) -> DataFrame:
@@ -146,35 +182,44 @@ def pages_at(offsets: DataFrame, spans: DataFrame) -> DataFrame:
     return last.select("document_id", F.col("at").alias("offset"), F.when(F.col("at") <= F.col("span.end"), F.col("span.page")).alias("page"))
 
 
-# Headings of a table of contents.
-TOC_WORDS = r"(?i)^\s*(?:table of contents|contents|mục lục|table des matières|sommaire|inhaltsverzeichnis|inhalt)\b"
+# Words that name a table of contents.
+TOC_WORDS = ["mục lục", "table of contents", "danh mục"]
 _LEADER = r"\.{3,}\s*\d+\s*$"
+#: Every line end that text may have.
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+_BLANK = " \t\r\n\u000b\u000c"
 
 
 def toc_scores(sections: DataFrame) -> DataFrame:
-    """Score of each section for being part of a table of contents."""
+    """Score of each section for being part of a table of contents: 2 for its
+    words in the heading or in a content of at most 60 characters, 1 in the
+    first fifth of the document, 2 or 1 from 40 or 20 percent of lines with a
+    leader and a page, 1 for at least 5 lines, 70 percent of them short."""
     by = Window.partitionBy("document_id")
-    lines = F.filter(F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    named = lambda c: F.coalesce(F.forall(F.lit(TOC_WORDS), lambda w: ~F.contains(F.lower(c), w)), F.lit(True))
+    text = F.btrim(F.coalesce("content", F.lit("")), F.lit(_BLANK))
+    lines = F.filter(F.transform(F.split(text, LINE_END), lambda x: F.btrim(x, F.lit(_BLANK))), lambda x: x != "")
     n = F.size("lines")
     share = lambda c: F.when(n > 0, c / n).otherwise(0.0)
     leader = share(F.size(F.filter("lines", lambda x: x.rlike(_LEADER))))
-    short = share(F.size(F.filter("lines", lambda x: F.length(x) <= 60)))
-    word = F.coalesce(F.col("heading").rlike(TOC_WORDS), F.lit(False)) | F.coalesce(F.substring("content", 1, 60).rlike(TOC_WORDS), F.lit(False))
+    short = share(F.size(F.filter("lines", lambda x: F.length(x) < 80)))
+    word = ~named(F.coalesce("heading", F.lit(""))) | ((F.length("text") <= 60) & ~named(F.col("text")))
     idx = F.row_number().over(Window.partitionBy("document_id").orderBy("ord")) - 1
-    placed = sections.withColumns({"lines": lines, "idx": idx, "total": F.count("*").over(by)})
+    placed = sections.withColumns({"text": text, "lines": lines, "idx": idx, "total": F.count("*").over(by)})
     score = (
         F.when(word, 2).otherwise(0) + F.when(F.col("idx") <= 0.2 * F.col("total"), 1).otherwise(0)
         + F.when(leader >= 0.4, 2).when(leader >= 0.2, 1).otherwise(0) + F.when((n >= 5) & (short >= 0.7), 1).otherwise(0)
     )
-    return placed.withColumn("score", score).drop("lines")
+    return placed.withColumn("score", score).drop("lines", "text")
 
 
 def toc_sections(scored: DataFrame) -> DataFrame:
     """Sections of a table of contents: runs that score 2 or more and begin
-    in the first quarter of the document, five sections tolerated."""
+    at most five sections after the first quarter, or after the third."""
     by = Window.partitionBy("document_id").orderBy("idx")
     hit = F.col("score") >= 2
     run = F.sum((~hit).cast("int")).over(by)
     marked = scored.withColumn("run", run).where(hit)
     begins = F.min("idx").over(Window.partitionBy("document_id", "run"))
-    return marked.withColumn("begins", begins).where(F.col("begins") <= F.floor(F.col("total") * 0.25) + 5).select("document_id", "ord", "score")
+    last = F.greatest(F.lit(3), F.floor(F.col("total") * 0.25)) + 5
+    return marked.withColumn("begins", begins).where(F.col("begins") <= last).select("document_id", "ord", "score")

@@ -97,7 +97,7 @@ def replace_pending(events: DataFrame, new: DataFrame) -> DataFrame:
 
 
 # Event types of the outbox.
-EVENT_TYPES = ["DOCUMENT_INDEXED", "DOCUMENT_DELETED", "CONCEPTS_ENRICHED", "CHUNKS_UPSERTED", "DOCUMENT_ENRICHED"]
+EVENT_TYPES = ["HEADING_GRAPH_PROJECT", "CONCEPT_GRAPH_PROJECT", "DOCUMENT_DELETED", "CONTENT_GENERATION_REQUESTED", "LESSON_PUBLISHED"]
 
 
 def validated_events(events: DataFrame, types: list[str] = EVENT_TYPES) -> DataFrame:

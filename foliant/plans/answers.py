@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import answers as A
@@ -18,7 +19,12 @@ def choice_places(s, d):
 
 
 def answer_places(s, d):
-    return A.balanced_positions(load(s, d, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey").groupBy("p_brand", "place").agg(F.count("*").alias("n"))
+    """Brands as quizzes, parts as questions, the smallest supplier as the
+    right one of its choices: it must come out at its balanced place."""
+    li = load(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("choice")).distinct()
+    least = F.min("choice").over(Window.partitionBy("p_partkey"))
+    targets = A.balanced_positions(load(s, d, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey").withColumnRenamed("place", "target")
+    return A.placed_choices(li.withColumn("correct", F.col("choice") == least), targets, "p_partkey").select("p_partkey", "choice", "correct", "place")
 
 
 def parsed_answers(s, d):
@@ -59,7 +65,10 @@ bb AS (SELECT *, x0 + l_discount * 450 AS x1 FROM b)"""
 SQL = {
     "choice_places": """SELECT question_id, choice, row_number() OVER (PARTITION BY question_id ORDER BY sha256(question_id || ':' || choice), choice) - 1 AS place
 FROM (SELECT DISTINCT l_partkey AS question_id, l_suppkey AS choice FROM lineitem)""",
-    "answer_places": """SELECT p_brand, place, count(*) AS n FROM (SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY sha256(p_brand || ':' || p_partkey), p_partkey) - 1 + ascii(sha256(p_brand))) % 4 AS place FROM part) GROUP BY 1, 2""",
+    "answer_places": """WITH t AS (SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY sha256(p_brand || ':' || p_partkey), p_partkey) - 1 + ascii(sha256(p_brand))) % 4 AS target FROM part),
+c AS (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS choice FROM lineitem), k AS (SELECT *, choice = min(choice) OVER (PARTITION BY p_partkey) AS correct, count(*) OVER (PARTITION BY p_partkey) AS n FROM c),
+o AS (SELECT k.*, target % n AS tg, row_number() OVER (PARTITION BY k.p_partkey, correct ORDER BY sha256(k.p_partkey || ':' || choice), choice) - 1 AS drawn FROM k JOIN t ON t.p_partkey = k.p_partkey)
+SELECT p_partkey, choice, correct, CAST(CASE WHEN correct THEN tg WHEN drawn >= tg THEN drawn + 1 ELSE drawn END AS INT) AS place FROM o""",
     "parsed_answers": """SELECT event_type, CASE WHEN event_id % 3 = 2 THEN 'no JSON' ELSE '-' END AS error, count(*) AS n, sum(CASE WHEN event_id % 3 <> 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS k FROM events GROUP BY 1, 2""",
     "column_gutters": f"""WITH {_B}, t AS (SELECT *, 100.0 * (0.3 + (0.7 - 0.3) * i / 32) AS pos FROM bb, (SELECT unnest(range(0, 33)) AS i)),
 p AS (SELECT document_id, page, i, count(*) FILTER (NOT x1 <= pos AND NOT x0 >= pos) AS crossing, count(*) FILTER (x1 <= pos) AS nl, count(*) FILTER (x0 >= pos) AS nr,

@@ -42,7 +42,17 @@ def concept_keys(s, d):
 
 
 _H = lambda n: f"last_value(CASE WHEN heading_level = {n} THEN heading END IGNORE NULLS) OVER w AS h{n}, last_value(CASE WHEN heading_level = {n} AND heading IS NOT NULL THEN ord END IGNORE NULLS) OVER w AS a{n}"
+# A word closes a sentence if it ends with a mark, is no abbreviation, dotted number or ellipsis, and the next letter or digit is a capital or digit.
+_ABBREVIATIONS = ", ".join(f"'{a}'" for a in sorted(text.ABBREVIATIONS))
+_SENTENCES = rf"""w AS (SELECT document_id, ord, list_filter(regexp_split_to_array(content, '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: x <> '') AS ws
+  FROM (SELECT DISTINCT document_id, ord, content FROM sections WHERE content IS NOT NULL)),
+k AS (SELECT row_number() OVER () AS row, * FROM w), t AS (SELECT row, document_id, ord, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM k),
+f AS (SELECT *, regexp_extract(word, '[\p{{L}}\p{{N}}]') AS c, regexp_extract(word, '^(.*)[.!?…]["'')\]»]*$', 1) AS core, regexp_matches(word, '[.!?…]["'')\]»]*$') AS marked FROM t),
+g AS (SELECT *, first_value(CASE WHEN c <> '' THEN c END IGNORE NULLS) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead FROM f)"""
 SQL = {
+    "sentence_counts": rf"""WITH {_SENTENCES}, n AS (SELECT row, count(*) FILTER (marked AND right(core, 1) <> '.' AND lower(core) NOT IN ({_ABBREVIATIONS}) AND NOT regexp_matches(core, '\b\d+(?:\.\d+)+$')
+  AND (regexp_matches(ahead, '^\p{{N}}$') OR ahead <> lower(ahead) AND ahead = upper(ahead))) + 1 AS n FROM g GROUP BY 1)
+SELECT document_id, ord, coalesce(n, 0) AS sentences FROM k LEFT JOIN n ON n.row = k.row""",
     "repaired_paragraphs": r"""SELECT document_id, ord, md5(trim(regexp_replace(regexp_replace(content, '(\p{Ll})-\r?\n(\p{Ll})', '\1\2', 'g'), '\s+', ' ', 'g'))) AS text_md5,
 len(regexp_extract_all(content, '[\p{L}\p{N}\p{M}_]+')) AS words FROM (SELECT DISTINCT document_id, ord, content FROM sections WHERE content IS NOT NULL)""",
     "section_paths": f"""WITH s AS (SELECT document_id, ord, max(heading) AS heading, max(heading_level) AS heading_level FROM sections WHERE document_id IS NOT NULL AND ord IS NOT NULL GROUP BY 1, 2),

@@ -11,15 +11,15 @@ from foliant.session import load
 
 def page_paragraphs(s, d):
     """Lines of sections as lines of pages; those of 14 points are headings."""
-    lines = _lines(s, d).where("size <= 12").select(
-        "document_id", "page", (F.col("ord") * 10_000 + F.col("pos")).alias("ord"), F.col("ord").alias("block_index"), "text", F.when(F.col("size") == 12.0, 2).otherwise(0).alias("level"))
+    lines = _lines(s, d).select(
+        "document_id", "page", (F.col("ord") * 10_000 + F.col("pos")).alias("ord"), F.col("ord").alias("block_index"), "text", F.when(F.col("size") == 14.0, 2).otherwise(0).alias("level"))
     return L.paragraphs(lines).select("document_id", "page", "ord", "element_type", F.md5("content").alias("content_md5"))
 
 
 def report_updates(s, d):
     r = _report(s, d).withColumn("reasons", F.array().cast("array<string>"))
     ocr = r.where("status = 'needs_ocr'")
-    out = L.mark_parsed(L.mark_attempt(L.mark_failure(L.mark_failure(r, ocr, "no_text"), ocr, "no_text"), ocr, "layout"), ocr.where("page <= 2"), "layout", True)
+    out = L.mark_parsed(L.mark_attempt(L.mark_failure(L.mark_failure(r, ocr, "layout"), ocr, "layout"), ocr, "layout"), ocr.where("page <= 2"), "layout", True)
     return out.select("document_id", "page", F.array_join("reasons", ",").alias("reasons"), F.array_join("attempts", ",").alias("attempts"), "parsed_by", "layout_aware")
 
 
@@ -33,11 +33,11 @@ def joined_slides(s, d):
 
 
 SQL = {
-    "page_paragraphs": f"""WITH {_LINES}, l AS (SELECT document_id, page, ord * 10000 + pos AS ord, ord AS blk, text, CASE WHEN size = 12.0 THEN 2 ELSE 0 END AS level FROM lines WHERE size <= 12),
+    "page_paragraphs": f"""WITH {_LINES}, l AS (SELECT document_id, page, ord * 10000 + pos AS ord, ord AS blk, text, CASE WHEN size = 14.0 THEN 2 ELSE 0 END AS level FROM lines),
 s AS (SELECT *, CASE WHEN level > 0 OR coalesce(lag(level) OVER w, 0) > 0 OR blk IS DISTINCT FROM lag(blk) OVER w THEN 1 ELSE 0 END AS st FROM l WINDOW w AS (PARTITION BY document_id, page ORDER BY ord)),
 g AS (SELECT *, sum(st) OVER (PARTITION BY document_id, page ORDER BY ord) AS grp FROM s)
 SELECT document_id, page, min(ord) AS ord, CASE WHEN max(level) > 0 THEN 'heading' ELSE 'paragraph' END AS element_type, md5(string_agg(text, chr(10) ORDER BY ord)) AS content_md5 FROM g GROUP BY document_id, page, grp""",
-    "report_updates": f"""WITH {_R} SELECT document_id, page, CASE WHEN status = 'needs_ocr' THEN 'no_text' ELSE '' END AS reasons,
+    "report_updates": f"""WITH {_R} SELECT document_id, page, CASE WHEN status = 'needs_ocr' THEN 'layout_failed' ELSE '' END AS reasons,
 array_to_string(CASE WHEN status = 'needs_ocr' THEN list_concat(coalesce(attempts, []), ['layout']) ELSE attempts END, ',') AS attempts,
 CASE WHEN status = 'needs_ocr' AND page <= 2 THEN 'layout' ELSE parsed_by END AS parsed_by, CASE WHEN status = 'needs_ocr' AND page <= 2 THEN true ELSE layout_aware END AS layout_aware FROM r""",
     "reread_plan": f"""WITH {_R}, p AS (SELECT document_id, count(*) FILTER (status = 'needs_ocr') AS need, count(*) AS pages, min(page) AS f, max(page) AS l FROM r GROUP BY 1),

@@ -33,7 +33,7 @@ def soft_deleted_chunks(s, d):
 
 def mapping_upsert(s, d):
     m = load(s, d, "chunk_lo_mappings").where("chunk_id IS NOT NULL AND lo_id IS NOT NULL").select("chunk_id", "lo_id", "confidence", "source", "provenance", "mapped_at", "received_at")
-    late = F.unix_timestamp("received_at") - F.unix_timestamp("mapped_at") > 86400
+    late = F.coalesce(F.unix_timestamp("received_at") - F.unix_timestamp("mapped_at") > 86400, F.lit(False))
     return W.upsert_mappings(m.where(~late).drop("received_at"), m.where(late).drop("received_at"))
 
 
@@ -67,9 +67,17 @@ def outbox_replace(s, d):
     return W.replace_pending(e, new).select("event_id", "event_type", "aggregate_id", "status", "retry_count")
 
 
+def _wired(n: str = "event_id"):
+    """Types of the outbox on the rows of ``events``: canonical, as old wires
+    wrote them (lower case, blanks), and one that is none."""
+    types = F.array(*(F.lit(t) for t in (*W.EVENT_TYPES, "DOCUMENT_RENAMED")))
+    kind = F.element_at(types, (F.pmod(F.col(n).cast("bigint"), F.lit(6)) + 1).cast("int"))
+    return F.when(F.pmod(F.col(n).cast("bigint"), F.lit(4)) == 1, F.concat(F.lit(" "), F.lower(kind), F.lit(" "))).otherwise(kind)
+
+
 def event_validation(s, d):
-    e = _events(s, d).withColumn("event_type", F.when(F.length("payload") % 2 == 0, F.concat(F.lit(" "), F.lower("event_type"))).otherwise(F.col("event_type")))
-    out = W.validated_events(e, ["CLICK", "PURCHASE", "VIEW"])
+    e = _events(s, d)
+    out = W.validated_events(e.withColumn("event_type", _wired()))
     return out.groupBy("event_type", F.coalesce("error", F.lit("-")).alias("error")).agg(F.count("*").alias("n"))
 
 
@@ -113,31 +121,45 @@ def mention_projection(s, d):
 
 
 def _relations(s, d):
-    """Relations between suppliers, parts and nations as a concept graph."""
-    li = load(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag").distinct()
-    supplies = li.select(F.concat(F.lit("supplier "), "l_suppkey").alias("source_key"), F.concat(F.lit("returns "), "l_returnflag").alias("relation_type"), F.concat(F.lit("part "), "l_partkey").alias("target_key"))
-    sits = load(s, d, "supplier").select(F.concat(F.lit("nation "), "s_nationkey").alias("source_key"), F.lit("HAS").alias("relation_type"), F.concat(F.lit("supplier "), "s_suppkey").alias("target_key"))
-    every = supplies.unionByName(sits)
-    return every.select(F.md5(F.concat_ws("|", "source_key", "relation_type", "target_key")).alias("relation_id"), "source_key", "relation_type", "target_key",
-                        F.length("target_key").alias("created_at"))
+    """Relations with the course, file and chunk they were read from: a chunk's
+    last heading is about the outcomes it is mapped to, and below its first."""
+    c = chunks(s, d).where("document_id IS NOT NULL AND course_id IS NOT NULL AND size(heading_path) > 0").select(
+        "chunk_id", "document_id", "course_id", "page_number", F.col("created_at").alias("at"), F.lower(F.element_at("heading_path", -1)).alias("last"), F.lower(F.element_at("heading_path", 1)).alias("first"))
+    lo = load(s, d, "learning_outcomes").where("lo_id IS NOT NULL AND code IS NOT NULL").groupBy("lo_id").agg(F.lower(F.min("code")).alias("code"))
+    m = load(s, d, "chunk_lo_mappings").where("chunk_id IS NOT NULL AND lo_id IS NOT NULL").select("chunk_id", "lo_id").distinct().join(lo, "lo_id").select("chunk_id", "code").distinct()
+    about = c.join(m, "chunk_id").select("*", F.col("last").alias("source_key"), F.lit("ABOUT").alias("relation_type"), F.col("code").alias("target_key"))
+    below = c.where("first <> last").select("*", F.col("first").alias("source_key"), F.lit("CONTAINS").alias("relation_type"), F.col("last").alias("target_key"))
+    cols = ["chunk_id", "document_id", "course_id", "page_number", "at", "source_key", "relation_type", "target_key"]
+    every = about.select(*cols).unionByName(below.select(*cols))
+    return every.withColumn("relation_id", F.md5(F.concat_ws("|", "chunk_id", "source_key", "relation_type", "target_key"))).withColumnRenamed("at", "created_at")
+
+
+def _scoped(s, d):
+    return G.course_relations(_relations(s, d), chunks(s, d), docs(s, d), _COURSE)
 
 
 def node_degrees(s, d):
-    return G.degrees(_relations(s, d))
+    return G.degrees(G.course_relations(_relations(s, d), chunks(s, d), docs(s, d)), by_course=True)
 
 
 def relations_1hop(s, d):
-    return G.reachable(_relations(s, d), "supplier 7", 1, 40).select("relation_id", "hop", "rank")
+    return G.reachable(_scoped(s, d), "l.o.2.1", 1, 40).select("relation_id", "hop", "rank")
 
 
 def relations_2hop(s, d):
-    return G.reachable(_relations(s, d), "nation 3", 2, 60).select("relation_id", "hop", "rank")
+    return G.reachable(_scoped(s, d), "l.o.2", 2, 60).select("relation_id", "hop", "rank")
 
 
-_REL = """rel0 AS (SELECT DISTINCT 'supplier ' || l_suppkey AS source_key, 'returns ' || l_returnflag AS relation_type, 'part ' || l_partkey AS target_key FROM lineitem
-  UNION ALL SELECT 'nation ' || s_nationkey, 'HAS', 'supplier ' || s_suppkey FROM supplier),
-rel AS (SELECT md5(source_key || '|' || relation_type || '|' || target_key) AS relation_id, *, length(target_key) AS created_at FROM rel0),
-deg AS (SELECT key, count(*) AS degree FROM (SELECT source_key AS key FROM rel UNION ALL SELECT target_key FROM rel) GROUP BY key)"""
+#: The course with most files in all test data.
+_COURSE = "52b2ce19-7113-562c-b647-bf1708f9257e"
+_REL = """b AS (SELECT chunk_id, document_id, course_id, created_at, lower(heading_path[-1]) AS l, lower(heading_path[1]) AS f FROM c WHERE document_id IS NOT NULL AND course_id IS NOT NULL AND len(heading_path) > 0),
+lo AS (SELECT lo_id, lower(min(code)) AS code FROM learning_outcomes WHERE lo_id IS NOT NULL AND code IS NOT NULL GROUP BY 1),
+m AS (SELECT DISTINCT chunk_id, code FROM chunk_lo_mappings JOIN lo USING (lo_id) WHERE chunk_id IS NOT NULL),
+rel0 AS (SELECT b.chunk_id, document_id, course_id, created_at, l AS source_key, 'ABOUT' AS relation_type, code AS target_key FROM b JOIN m ON m.chunk_id = b.chunk_id
+  UNION ALL SELECT chunk_id, document_id, course_id, created_at, f, 'CONTAINS', l FROM b WHERE f <> l),
+rel AS (SELECT md5(concat_ws('|', chunk_id, source_key, relation_type, target_key)) AS relation_id, r.* FROM rel0 r
+  WHERE chunk_id IN (SELECT chunk_id FROM c WHERE deleted_at IS NULL) AND document_id IN (SELECT document_id FROM d WHERE deleted_at IS NULL AND coalesce(lms_published, true)) {course})"""
+_DEG = "deg AS (SELECT key, count(*) AS degree FROM (SELECT source_key AS key FROM rel UNION ALL SELECT target_key FROM rel) GROUP BY key)"
 
 
 def _seed_sql(concept: str) -> str:
@@ -156,9 +178,9 @@ CASE WHEN new.chunk_id IS NOT NULL THEN NULL WHEN c.deleted_at IS NULL AND touch
 CASE WHEN new.chunk_id IS NOT NULL THEN TIMESTAMPTZ '{NOW}+00' ELSE c.created_at END AS created_at
 FROM c LEFT JOIN new ON new.chunk_id = c.chunk_id LEFT JOIN touched ON touched.document_id = c.document_id""",
     "soft_deleted_chunks": WITH + "SELECT chunk_id, document_id FROM c WHERE deleted_at IS NULL AND document_id IN (SELECT document_id FROM d WHERE deleted_at IS NOT NULL)",
-    "mapping_upsert": """WITH m AS (SELECT *, epoch(date_trunc('second', received_at)) - epoch(date_trunc('second', mapped_at)) > 86400 AS late FROM chunk_lo_mappings WHERE chunk_id IS NOT NULL AND lo_id IS NOT NULL)
-SELECT chunk_id, lo_id, max(confidence) AS confidence, first(source ORDER BY late DESC, mapped_at DESC, source DESC NULLS LAST) AS source,
-CASE WHEN bool_or(provenance = 'confirmed') THEN 'confirmed' ELSE first(provenance ORDER BY late DESC, mapped_at DESC, provenance DESC NULLS LAST) END AS provenance FROM m WHERE late IS NOT NULL GROUP BY 1, 2""",
+    "mapping_upsert": """WITH m AS (SELECT *, epoch(date_trunc('second', received_at)) - epoch(date_trunc('second', mapped_at)) > 86400 AS late0, coalesce(late0, false) AS late FROM chunk_lo_mappings WHERE chunk_id IS NOT NULL AND lo_id IS NOT NULL)
+SELECT chunk_id, lo_id, max(confidence) AS confidence, first(source ORDER BY late DESC, mapped_at DESC NULLS LAST, source DESC NULLS LAST) AS source,
+CASE WHEN bool_or(provenance = 'confirmed') THEN 'confirmed' ELSE first(provenance ORDER BY late DESC, mapped_at DESC NULLS LAST, provenance DESC NULLS LAST) END AS provenance FROM m GROUP BY 1, 2""",
     "mappings_without_inferred": WITH + """, gone AS (SELECT chunk_id FROM c WHERE document_id IN (SELECT document_id FROM d WHERE deleted_at IS NOT NULL OR lms_published IS FALSE))
 SELECT DISTINCT chunk_id, lo_id, provenance FROM chunk_lo_mappings WHERE chunk_id IS NOT NULL AND (coalesce(provenance = 'confirmed', false) OR chunk_id NOT IN (SELECT chunk_id FROM gone))""",
     "concept_upsert": """WITH t AS (SELECT DISTINCT md5(code) AS concept_id, statement_vi AS vi, statement_en AS en, created_at, version FROM learning_outcomes),
@@ -169,7 +191,8 @@ FROM old FULL JOIN new ON old.concept_id = new.concept_id""",
     "outbox_replace": f"""WITH {_EVENTS}, new AS (SELECT * FROM e WHERE CAST(event_id AS BIGINT) % 10 = 0)
 SELECT event_id, event_type, aggregate_id, status, retry_count FROM e WHERE NOT (status = 'PENDING' AND EXISTS (SELECT 1 FROM new n WHERE n.event_type = e.event_type AND n.aggregate_id = e.aggregate_id))
 UNION ALL SELECT 'n' || event_id, event_type, aggregate_id, 'PENDING', 0 FROM new""",
-    "event_validation": """SELECT upper(event_type) AS event_type, CASE WHEN upper(event_type) IN ('CLICK', 'PURCHASE', 'VIEW') THEN '-' ELSE 'unknown type' END AS error, count(*) AS n FROM events GROUP BY 1, 2""",
+    "event_validation": """SELECT CASE event_id % 6 WHEN 0 THEN 'HEADING_GRAPH_PROJECT' WHEN 1 THEN 'CONCEPT_GRAPH_PROJECT' WHEN 2 THEN 'DOCUMENT_DELETED' WHEN 3 THEN 'CONTENT_GENERATION_REQUESTED'
+WHEN 4 THEN 'LESSON_PUBLISHED' ELSE 'DOCUMENT_RENAMED' END AS event_type, CASE WHEN event_id % 6 = 5 THEN 'unknown type' ELSE '-' END AS error, count(*) AS n FROM events GROUP BY 1, 2""",
     "job_dedupe": """SELECT document_id, generation, first_at, deliveries FROM (
 SELECT document_id, processing_generation AS generation, min(created_at) AS first_at, count(*) AS deliveries, max(processing_generation) OVER (PARTITION BY document_id) AS latest
 FROM documents_meta WHERE document_id IS NOT NULL AND processing_generation >= 0 GROUP BY 1, 2) WHERE generation = latest""",
@@ -185,10 +208,10 @@ UNION ALL SELECT DISTINCT 'HAS_SUBHEADING', document_id || ':' || i || ':' || ar
 UNION ALL SELECT 'HAS_CHUNK', document_id || ':' || len(heading_path) || ':' || array_to_string(heading_path, ' > '), chunk_id FROM live""",
     "mention_projection": WITH + """, m AS (SELECT DISTINCT chunk_id, lo_id FROM chunk_lo_mappings)
 SELECT CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.chunk_id = m.chunk_id) THEN 'ready' ELSE 'waiting' END AS state, count(*) AS n FROM m GROUP BY 1""",
-    "node_degrees": f"WITH {_REL} SELECT key, degree FROM deg",
-    "relations_1hop": f"""WITH {_REL}, {_seed_sql('supplier 7')}, h1 AS (SELECT * FROM rel WHERE source_key IN (SELECT key FROM seeds) OR target_key IN (SELECT key FROM seeds) ORDER BY created_at, relation_id LIMIT 40)
+    "node_degrees": WITH + f""", {_REL.format(course='')} SELECT course_id, key, count(*) AS degree FROM (SELECT course_id, source_key AS key FROM rel UNION ALL SELECT course_id, target_key FROM rel) GROUP BY 1, 2""",
+    "relations_1hop": WITH + f""", {_REL.format(course=f"AND course_id = '{_COURSE}'")}, {_DEG}, {_seed_sql('l.o.2.1')}, h1 AS (SELECT * FROM rel WHERE source_key IN (SELECT key FROM seeds) OR target_key IN (SELECT key FROM seeds) ORDER BY created_at, relation_id LIMIT 40)
 SELECT relation_id, 1 AS hop, row_number() OVER (ORDER BY created_at, relation_id) AS rank FROM h1""",
-    "relations_2hop": f"""WITH {_REL}, {_seed_sql('nation 3')}, h1 AS (SELECT *, 1 AS hop FROM rel WHERE source_key IN (SELECT key FROM seeds) OR target_key IN (SELECT key FROM seeds) ORDER BY created_at, relation_id LIMIT 60),
+    "relations_2hop": WITH + f""", {_REL.format(course=f"AND course_id = '{_COURSE}'")}, {_DEG}, {_seed_sql('l.o.2')}, h1 AS (SELECT *, 1 AS hop FROM rel WHERE source_key IN (SELECT key FROM seeds) OR target_key IN (SELECT key FROM seeds) ORDER BY created_at, relation_id LIMIT 60),
 f AS (SELECT source_key AS key FROM h1 UNION SELECT target_key FROM h1),
 h2 AS (SELECT *, 2 AS hop FROM rel WHERE (source_key IN (SELECT key FROM f) OR target_key IN (SELECT key FROM f)) AND relation_id NOT IN (SELECT relation_id FROM h1)
   ORDER BY created_at, relation_id LIMIT (SELECT 60 - count(*) FROM h1))

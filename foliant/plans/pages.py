@@ -13,8 +13,16 @@ def _report(s, d):
         F.max("status").alias("status"), F.max("chars").alias("chars"), F.max("attempts").alias("attempts"), F.max("parsed_by").alias("parsed_by"), F.max("layout_aware").alias("layout_aware"))
 
 
+def _totals(s, d):
+    return load(s, d, "documents_meta").where("document_id IS NOT NULL").select("document_id", F.col("page_count").alias("pages_total"))
+
+
 def coverage_report(s, d):
-    return P.coverage(_report(s, d))
+    return P.coverage(_report(s, d), _totals(s, d))
+
+
+def missing_text(s, d):
+    return P.missing_text(_report(s, d))
 
 
 def page_sets(s, d):
@@ -38,12 +46,15 @@ def page_ranges_text(s, d):
 
 
 def page_classification(s, d):
-    """Metrics of pages from their sections and reports."""
-    sec = load(s, d, "sections").where("page_number IS NOT NULL").select("document_id", "ord", "content", "page_number", "element_type").distinct()
+    """Metrics of pages from their sections and reports: a page that the
+    report gives to OCR is an image, others have a tenth of it for each image,
+    code stands for drawings."""
+    sec = load(s, d, "sections").where("page_number IS NOT NULL").select("document_id", "ord", "content", "page_number", "element_type", F.size(F.coalesce("images", F.array())).alias("images")).distinct()
     m = sec.groupBy("document_id", F.col("page_number").alias("page")).agg(
-        F.sum(F.coalesce(F.length("content"), F.lit(0))).cast("int").alias("char_count"), F.count_if(F.col("element_type") == "table").cast("int").alias("table_count"))
+        F.sum(F.coalesce(F.length("content"), F.lit(0))).cast("int").alias("char_count"), F.count_if(F.col("element_type") == "table").cast("int").alias("table_count"),
+        F.sum("images").alias("images"), F.count_if(F.col("element_type") == "code").alias("drawing_count"))
     m = m.join(_report(s, d).select("document_id", "page", "status"), ["document_id", "page"], "left").withColumns({
-        "image_area_ratio": F.when(F.col("status") == "needs_ocr", 0.9).otherwise(0.1), "drawing_count": F.lit(0), "multi_column": F.col("status") == "complex_layout"}).drop("status")
+        "image_area_ratio": F.when(F.col("status") == "needs_ocr", 0.9).otherwise(F.least(F.col("images") * 0.1, F.lit(0.4))), "multi_column": F.col("status") == "complex_layout"}).drop("status")
     return P.classify(m).select("document_id", "page", "char_count", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -117,34 +128,52 @@ lines AS (SELECT *, CASE WHEN length(text) < 30 THEN 14.0 WHEN length(text) < 60
   regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g') AS key FROM y WHERE trim(text) <> '')"""
 _MARG = """m AS (SELECT document_id, key, count(DISTINCT page) AS pages FROM lines WHERE margin GROUP BY 1, 2), t AS (SELECT document_id, count(DISTINCT page) AS total FROM lines GROUP BY 1),
 marg AS (SELECT m.document_id, key, pages FROM m JOIN t ON m.document_id = t.document_id WHERE pages >= greatest(3, ceil(total * 0.3)))"""
-_TOC = r"""sec AS (SELECT document_id, ord, max(content) AS content, max(heading) AS heading FROM sections GROUP BY 1, 2),
-x AS (SELECT *, list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda v: trim(v)), lambda v: v <> '') AS ls,
+_ENDS = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TOC = f"""sec AS (SELECT document_id, ord, trim(coalesce(max(content), ''), {_TRIM}) AS content, lower(coalesce(max(heading), '')) AS heading FROM sections GROUP BY 1, 2),
+x AS (SELECT *, list_filter(list_transform(regexp_split_to_array(content, {_ENDS}), lambda v: trim(v, {_TRIM})), lambda v: v <> '') AS ls,
   row_number() OVER (PARTITION BY document_id ORDER BY ord) - 1 AS idx, count(*) OVER (PARTITION BY document_id) AS total FROM sec),
-y AS (SELECT *, len(ls) AS n, coalesce(len(list_filter(ls, lambda v: regexp_matches(v, '\.{3,}\s*\d+\s*$'))) * 1.0 / nullif(len(ls), 0), 0) AS leader,
-  coalesce(len(list_filter(ls, lambda v: length(v) <= 60)) * 1.0 / nullif(len(ls), 0), 0) AS short,
-  coalesce(regexp_matches(heading, '(?i)^\s*(?:table of contents|contents|mục lục|table des matières|sommaire|inhaltsverzeichnis|inhalt)\b'), false)
-  OR coalesce(regexp_matches(substring(content, 1, 60), '(?i)^\s*(?:table of contents|contents|mục lục|table des matières|sommaire|inhaltsverzeichnis|inhalt)\b'), false) AS word FROM x),
+y AS (SELECT *, len(ls) AS n, coalesce(len(list_filter(ls, lambda v: regexp_matches(v, '\\.{{3,}}\\s*\\d+\\s*$'))) * 1.0 / nullif(len(ls), 0), 0) AS leader,
+  coalesce(len(list_filter(ls, lambda v: length(v) < 80)) * 1.0 / nullif(len(ls), 0), 0) AS short,
+  regexp_matches(heading, 'mục lục|table of contents|danh mục') OR length(content) <= 60 AND regexp_matches(lower(content), 'mục lục|table of contents|danh mục') AS word FROM x),
 scored AS (SELECT document_id, ord, idx, total, CAST(CASE WHEN word THEN 2 ELSE 0 END + CASE WHEN idx <= 0.2 * total THEN 1 ELSE 0 END
   + CASE WHEN leader >= 0.4 THEN 2 WHEN leader >= 0.2 THEN 1 ELSE 0 END + CASE WHEN n >= 5 AND short >= 0.7 THEN 1 ELSE 0 END AS INT) AS score FROM y)"""
+_SETS = """s AS (SELECT *, status IN ('needs_ocr', 'complex_layout') AND coalesce(len(attempts), 0) <= 1 AS needs_fallback, parsed_by IS NULL AND status = 'needs_ocr' AND coalesce(len(attempts), 0) <= 1 AS unprocessed,
+  parsed_by IS NULL AND status = 'needs_ocr' AND coalesce(len(attempts), 0) > 1 AS no_text, status = 'complex_layout' AND NOT coalesce(layout_aware, false) AS degraded FROM r)"""
+
+
+def _listed(name: str) -> str:
+    return f"""l_{name} AS (SELECT document_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM (SELECT document_id, min(page) AS a, max(page) AS b FROM
+  (SELECT document_id, page, page - row_number() OVER (PARTITION BY document_id ORDER BY page) AS run FROM (SELECT DISTINCT document_id, page FROM s WHERE {name} AND page IS NOT NULL)) GROUP BY document_id, run) GROUP BY 1)"""
+
+
 SQL = {
-    "coverage_report": f"""WITH {_R} SELECT *, resolved = pages AS complete FROM (SELECT document_id, count(*) AS pages, count(*) FILTER (status = 'text') AS text_pages, count(*) FILTER (status = 'needs_ocr') AS ocr_pages,
-count(*) FILTER (status = 'complex_layout') AS complex_pages, count(*) FILTER (status IS NULL) AS unknown_pages, count(*) FILTER (coalesce(chars, 0) > 0 AND parsed_by IS NOT NULL) AS resolved FROM r GROUP BY 1)""",
-    "page_sets": f"""WITH {_R} SELECT document_id, page, 'needs_fallback' AS page_set FROM r WHERE status IN ('needs_ocr', 'complex_layout') AND coalesce(len(attempts), 0) < 2
-UNION ALL SELECT document_id, page, 'unprocessed' FROM r WHERE parsed_by IS NULL UNION ALL SELECT document_id, page, 'no_text' FROM r WHERE coalesce(chars, 0) <= 0
-UNION ALL SELECT document_id, page, 'degraded' FROM r WHERE status = 'complex_layout' AND NOT coalesce(layout_aware, false)""",
+    "coverage_report": f"""WITH {_R}, {_SETS}, {_listed('unprocessed')}, {_listed('no_text')}, {_listed('degraded')},
+t AS (SELECT document_id, max(page_count) AS total FROM documents_meta WHERE document_id IS NOT NULL GROUP BY 1),
+br AS (SELECT document_id, string_agg(parsed_by || ':' || n, ',' ORDER BY parsed_by || ':' || n) AS by_reader FROM (SELECT document_id, parsed_by, count(*) AS n FROM r WHERE parsed_by IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT document_id, count(*) AS pages, count(*) FILTER (status = 'text') AS text_pages, count(*) FILTER (status = 'needs_ocr') AS ocr_pages, count(*) FILTER (status = 'complex_layout') AS complex_pages,
+  count(*) FILTER (status = 'empty') AS empty_pages, count(*) FILTER (status IS NULL) AS unknown_pages, count(*) FILTER (parsed_by IS NOT NULL OR status = 'empty') AS resolved,
+  count(*) FILTER (unprocessed) AS unprocessed, count(*) FILTER (no_text) AS no_text, count(*) FILTER (degraded) AS degraded, max(page) AS examined FROM s GROUP BY 1)
+SELECT p.* EXCLUDE (examined), by_reader, l_unprocessed.pages AS unprocessed_pages, l_no_text.pages AS no_text_pages, l_degraded.pages AS degraded_pages,
+CAST(greatest(coalesce(total, examined) - examined, 0) AS INT) AS skipped, unprocessed + no_text + degraded + greatest(coalesce(total, examined) - examined, 0) = 0 AS complete
+FROM p LEFT JOIN t USING (document_id) LEFT JOIN br USING (document_id) LEFT JOIN l_unprocessed USING (document_id) LEFT JOIN l_no_text USING (document_id) LEFT JOIN l_degraded USING (document_id)""",
+    "missing_text": f"""WITH {_R}, {_SETS}, {_listed('unprocessed')} SELECT l.document_id, l.pages, count(DISTINCT CASE WHEN unprocessed THEN page END) AS missing, count(*) AS examined
+FROM l_unprocessed l JOIN s ON s.document_id = l.document_id GROUP BY 1, 2""",
+    "page_sets": f"""WITH {_R}, {_SETS} SELECT document_id, page, unnest(list_filter([CASE WHEN needs_fallback THEN 'needs_fallback' END, CASE WHEN unprocessed THEN 'unprocessed' END,
+CASE WHEN no_text THEN 'no_text' END, CASE WHEN degraded THEN 'degraded' END], lambda x: x IS NOT NULL)) AS page_set FROM s""",
     "page_ranges": f"WITH {_RANGES} SELECT document_id, first, last FROM ranges",
     "page_ranges_capped": f"""WITH {_RANGES}, g AS (SELECT *, first - lag(last) OVER (PARTITION BY document_id ORDER BY first) AS gap FROM ranges),
 k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY gap DESC NULLS LAST, first DESC) AS rank FROM g),
 h AS (SELECT *, sum(CASE WHEN gap IS NOT NULL AND rank <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY first) AS grp FROM k)
 SELECT document_id, min(first) AS first, max(last) AS last FROM h GROUP BY document_id, grp""",
     "page_ranges_text": f"""WITH {_RANGES} SELECT document_id, string_agg(CASE WHEN first = last THEN CAST(first AS VARCHAR) ELSE first || '-' || last END, ', ' ORDER BY first) AS pages FROM ranges GROUP BY 1""",
-    "page_classification": f"""WITH {_R}, sec AS (SELECT DISTINCT document_id, ord, content, page_number, element_type FROM sections WHERE page_number IS NOT NULL),
-m AS (SELECT document_id, page_number AS page, CAST(sum(coalesce(length(content), 0)) AS INT) AS chars, count(*) FILTER (element_type = 'table') AS tables FROM sec GROUP BY 1, 2),
-x AS (SELECT m.*, r.status AS rs, m.chars < 40 AS sparse FROM m LEFT JOIN r ON r.document_id = m.document_id AND r.page = m.page)
+    "page_classification": f"""WITH {_R}, sec AS (SELECT DISTINCT document_id, ord, content, page_number, element_type, coalesce(len(images), 0) AS images FROM sections WHERE page_number IS NOT NULL),
+m AS (SELECT document_id, page_number AS page, CAST(sum(coalesce(length(content), 0)) AS INT) AS chars, count(*) FILTER (element_type = 'table') AS tables, sum(images) AS images, count(*) FILTER (element_type = 'code') AS drawings FROM sec GROUP BY 1, 2),
+x AS (SELECT m.*, m.chars >= 40 AS enough, CASE WHEN r.status = 'needs_ocr' THEN 0.9 ELSE least(images * 0.1, 0.4) END AS ratio, coalesce(r.status = 'complex_layout', false) AS cols FROM m LEFT JOIN r ON r.document_id = m.document_id AND r.page = m.page)
 SELECT document_id, page, chars AS char_count,
-CASE WHEN sparse AND rs = 'needs_ocr' THEN 'needs_ocr' WHEN chars = 0 THEN 'empty' WHEN NOT sparse AND (coalesce(rs = 'complex_layout', false) OR tables > 0) THEN 'complex_layout' ELSE 'text' END AS status,
-concat_ws(',', CASE WHEN sparse AND rs = 'needs_ocr' THEN 'image_page' END, CASE WHEN sparse AND chars > 0 AND coalesce(rs <> 'needs_ocr', true) THEN 'sparse_text' END,
-CASE WHEN NOT sparse AND rs = 'complex_layout' THEN 'multi_column' END, CASE WHEN NOT sparse AND tables > 0 THEN 'table' END) AS reasons FROM x""",
+CASE WHEN enough AND (cols OR tables > 0) THEN 'complex_layout' WHEN enough THEN 'text' WHEN ratio > 0 OR drawings > 0 THEN 'needs_ocr' WHEN chars > 0 THEN 'text' ELSE 'empty' END AS status,
+concat_ws(',', CASE WHEN enough AND cols THEN 'multi_column' END, CASE WHEN enough AND tables > 0 THEN 'table_detected' END, CASE WHEN NOT enough AND ratio >= 0.5 THEN 'image_page' END,
+CASE WHEN NOT enough AND ratio < 0.5 AND (ratio > 0 OR drawings > 0) THEN 'no_text_layer' END, CASE WHEN NOT enough AND ratio = 0 AND drawings = 0 AND chars > 0 THEN 'sparse_text' END) AS reasons FROM x""",
     "running_marginals": f"WITH {_LINES}, {_MARG} SELECT * FROM marg",
     "lines_without_marginals": f"""WITH {_LINES}, {_MARG} SELECT document_id, count(*) AS lines FROM lines l
 WHERE NOT (margin AND EXISTS (SELECT 1 FROM marg g WHERE g.document_id = l.document_id AND g.key = l.key)) GROUP BY 1""",
@@ -152,8 +181,8 @@ WHERE NOT (margin AND EXISTS (SELECT 1 FROM marg g WHERE g.document_id = l.docum
 q AS (SELECT *, sum(n) OVER (PARTITION BY document_id ORDER BY size) AS run, sum(n) OVER (PARTITION BY document_id) AS total FROM p)
 SELECT document_id, coalesce(min(CASE WHEN 2 * run >= total THEN size END), 12.0) AS body_size FROM q GROUP BY 1""",
     "heading_levels": f"""WITH {_LINES}, th AS (SELECT document_id, median(size) AS body, max(size) AS top FROM lines GROUP BY 1),
-z AS (SELECT l.document_id, CASE WHEN size <= body THEN 0 WHEN size >= top - (top - body) / 3 THEN 1 WHEN size >= top - 2 * ((top - body) / 3) THEN 2
-  WHEN size >= body + (top - body) / 3 / 2 AND bold THEN 3 ELSE 0 END AS level FROM lines l JOIN th ON th.document_id = l.document_id)
+g AS (SELECT *, CASE WHEN top > body THEN (top - body) / 3 ELSE 2.0 END AS gap FROM th),
+z AS (SELECT l.document_id, CASE WHEN size >= body + gap * 2.2::DOUBLE THEN 1 WHEN size >= body + gap * 1.5::DOUBLE THEN 2 WHEN size >= body + gap * 0.8::DOUBLE OR bold AND size > body THEN 3 ELSE 0 END AS level FROM lines l JOIN g ON g.document_id = l.document_id)
 SELECT document_id, level, count(*) AS lines FROM z GROUP BY 1, 2""",
     "slide_decks": """WITH sec AS (SELECT DISTINCT document_id, ord, content, page_number, element_type FROM sections WHERE page_number IS NOT NULL),
 p AS (SELECT document_id, page_number, sum(length(content)) AS chars, max(CASE WHEN element_type = 'slide' THEN 16.0 ELSE 8.5 END) AS width FROM sec GROUP BY 1, 2)
@@ -162,12 +191,12 @@ SELECT document_id, avg(CASE WHEN width >= 1.2 * 9.0 THEN 1.0 ELSE 0.0 END) >= 0
 SELECT document_id, ord, md5(CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.document_id = sec.document_id AND r.page = sec.page_number AND r.status = 'needs_ocr') THEN 're-read: ' || content ELSE content END) AS content_md5 FROM sec""",
     "toc_score": f"WITH {_TOC} SELECT document_id, ord, score FROM scored",
     "toc_sections": f"""WITH {_TOC}, a AS (SELECT *, sum(CASE WHEN score >= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY idx) AS run FROM scored),
-b AS (SELECT *, min(idx) OVER (PARTITION BY document_id, run) AS begins FROM a WHERE score >= 2) SELECT document_id, ord, score FROM b WHERE begins <= floor(total * 0.25) + 5""",
+b AS (SELECT *, min(idx) OVER (PARTITION BY document_id, run) AS begins FROM a WHERE score >= 2) SELECT document_id, ord, score FROM b WHERE begins <= greatest(3, floor(total * 0.25)) + 5""",
     "pages_at": """WITH sec AS (SELECT document_id, ord, max(length(content)) AS n, max(page_number) AS page FROM sections GROUP BY 1, 2 HAVING max(length(content)) > 0),
 sp AS (SELECT document_id, page, sum(n) OVER (PARTITION BY document_id ORDER BY ord) - n AS s, sum(n) OVER (PARTITION BY document_id ORDER BY ord) - 1 AS e FROM sec),
 o AS (SELECT document_id, unnest(range(0, CAST(max(e) + 1 AS BIGINT), 1000)) AS "offset" FROM sp GROUP BY document_id)
 SELECT o.document_id, o."offset", sp.page FROM o JOIN sp ON sp.document_id = o.document_id AND o."offset" BETWEEN sp.s AND sp.e""",
 }
 QUERIES = {f.__name__: f for f in (
-    coverage_report, page_sets, page_ranges, page_ranges_capped, page_ranges_text, page_classification, running_marginals, lines_without_marginals, weighted_median_size,
+    coverage_report, missing_text, page_sets, page_ranges, page_ranges_capped, page_ranges_text, page_classification, running_marginals, lines_without_marginals, weighted_median_size,
     heading_levels, slide_decks, merged_pages, toc_score, toc_sections, pages_at)}

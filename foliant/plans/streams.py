@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from foliant.plans.mutations import _wired
 from foliant.session import load, shared_dir
 from foliant.sources import markdown
 from foliant.streaming import outbox as O
@@ -35,9 +36,9 @@ def stream_jobs_once(s, d):
 
 
 def stream_event_validation(s, d):
-    e = load(s, d, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("user_id").cast("string").alias("aggregate_id"), F.col("props").alias("payload"), F.lit("PENDING").alias("status"), F.lit(0).alias("retry_count"), F.col("ts").alias("at"))
+    e = load(s, d, "events").withColumn("event_type", _wired()).select(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("user_id").cast("string").alias("aggregate_id"), F.col("props").alias("payload"), F.lit("PENDING").alias("status"), F.lit(0).alias("retry_count"), F.col("ts").alias("at"))
     path = _written(s, e, "events")
-    good, _ = O.accepted_and_rejected(O.source(s, path), ["CLICK", "PURCHASE", "VIEW"])
+    good, _ = O.accepted_and_rejected(O.source(s, path))
     return _run(s, good, "accepted").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -56,7 +57,8 @@ def markdown_sections(s, d):
 
 SQL = {
     "stream_jobs_once": "SELECT DISTINCT document_id || '-g' || processing_generation || ':PARSING' AS job_id FROM documents_meta WHERE document_id IS NOT NULL AND processing_generation >= 0",
-    "stream_event_validation": "SELECT upper(event_type) AS event_type, count(*) AS n FROM events WHERE upper(event_type) IN ('CLICK', 'PURCHASE', 'VIEW') GROUP BY 1",
+    "stream_event_validation": """SELECT CASE event_id % 6 WHEN 0 THEN 'HEADING_GRAPH_PROJECT' WHEN 1 THEN 'CONCEPT_GRAPH_PROJECT' WHEN 2 THEN 'DOCUMENT_DELETED' WHEN 3 THEN 'CONTENT_GENERATION_REQUESTED'
+ELSE 'LESSON_PUBLISHED' END AS event_type, count(*) AS n FROM events WHERE event_id % 6 < 5 GROUP BY 1""",
     "stream_document_status": "SELECT document_id, 'INDEXED' AS stage, max(processing_generation) AS generation FROM documents_meta WHERE document_id IS NOT NULL GROUP BY 1",
 }
 QUERIES = {f.__name__: f for f in (stream_jobs_once, stream_event_validation, stream_document_status, markdown_sections)}

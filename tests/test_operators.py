@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import answers as A
 from foliant.operators import curriculum as C
 from foliant.operators import graph as G
 from foliant.operators import pages as P
@@ -62,6 +63,54 @@ def test_bounded_ranges_equal_greedy_merging(spark, seed):
     assert got == greedy
 
 
+def test_pages_are_classed_by_text_then_images(spark):
+    cols = "page int, char_count int, image_area_ratio double, drawing_count int, multi_column boolean, table_count int"
+    rows = [(1, 40, 0.9, 5, False, 0), (2, 41, 0.0, 0, True, 2), (3, 39, 0.5, 0, True, 1), (4, 39, 0.01, 0, False, 0), (5, 0, 0.0, 1, False, 0), (6, 1, 0.0, 0, False, 0), (7, None, None, None, None, None)]
+    got = {r.page: (r.status, r.reasons) for r in P.classify(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {1: ("text", []), 2: ("complex_layout", ["multi_column", "table_detected"]), 3: ("needs_ocr", ["image_page"]), 4: ("needs_ocr", ["no_text_layer"]),
+                   5: ("needs_ocr", ["no_text_layer"]), 6: ("text", ["sparse_text"]), 7: ("empty", [])}
+
+
+def test_page_sets_count_the_readers(spark):
+    cols = "document_id string, page int, status string, attempts array<string>, parsed_by string, layout_aware boolean"
+    rows = [("d", 1, "needs_ocr", ["a"], None, False), ("d", 2, "needs_ocr", ["a", "b"], None, False), ("d", 3, "needs_ocr", ["a", "b"], "b", True), ("d", 4, "complex_layout", ["a"], "a", False),
+            ("d", 5, "complex_layout", ["a", "b"], "b", True), ("d", 6, "empty", ["a"], None, False), ("e", 1, "text", None, "a", None)]
+    report = spark.createDataFrame(rows, cols)
+    got = {(r.document_id, r.page): r.sets for r in P.page_sets(report).collect()}
+    assert got == {("d", 1): ["needs_fallback", "unprocessed"], ("d", 2): ["no_text"], ("d", 3): [], ("d", 4): ["needs_fallback", "degraded"], ("d", 5): [], ("d", 6): [], ("e", 1): []}
+    totals = spark.createDataFrame([("e", 3)], "document_id string, pages_total int")
+    cov = {r.document_id: r for r in P.coverage(report, totals).collect()}
+    assert (cov["d"].resolved, cov["d"].by_reader, cov["d"].unprocessed_pages, cov["d"].no_text_pages, cov["d"].complete) == (4, "a:1,b:2", "1", "2", False)
+    assert (cov["e"].skipped, cov["e"].complete) == (2, False) and P.coverage(report).where("document_id = 'e'").collect()[0].complete
+
+
+def test_contents_may_begin_after_the_third_section(spark):
+    cols = "document_id string, ord int, content string, heading string"
+    leaders = "One .... 1\nTwo .... 2"
+    rows = [("d", i, "words " * 40, None) for i in range(8)] + [("d", 8, leaders, None), ("d", 9, leaders, None)] + [("e", i, "words " * 40, None) for i in range(9)] + [("e", 9, leaders, None)]
+    rows += [("f", 0, "x" * 61 + " mục lục", "A"), ("f", 1, "Mục lục", "A"), ("f", 2, None, "Danh mục hình"), ("g", 0, None, None)]
+    got = {(r.document_id, r.ord) for r in P.toc_sections(P.toc_scores(spark.createDataFrame(rows, cols))).collect()}
+    assert got == {("d", 8), ("d", 9), ("f", 1), ("f", 2)}
+
+
+def test_traversal_sees_only_what_a_reader_may(spark):
+    rel = spark.createDataFrame([(f"r{i}", "a", "b", i, c, f, k) for i, (c, f, k) in enumerate([("c1", "d1", "k"), ("c2", "d1", "k"), ("c1", "d2", "k"), ("c1", "d3", "k"), ("c1", "d1", "other"), ("c9", "d1", "k")])],
+                                "relation_id string, source_key string, target_key string, created_at int, chunk_id string, document_id string, course_id string")
+    chunks = spark.createDataFrame([("c1", None), ("c2", T0)], "chunk_id string, deleted_at timestamp")
+    docs = spark.createDataFrame([("d1", None, None), ("d2", T0, True), ("d3", None, False)], "document_id string, deleted_at timestamp, lms_published boolean")
+    seen = G.course_relations(rel, chunks, docs, "k")
+    assert [r.relation_id for r in seen.collect()] == ["r0"] and [r.degree for r in G.degrees(seen).collect()] == [1, 1]
+
+
+def test_right_choices_take_their_place(spark):
+    choices = spark.createDataFrame([(q, i, i == 2) for q in range(6) for i in range(4)] + [(9, 0, False), (9, 1, False)], "question_id int, choice int, correct boolean")
+    targets = spark.createDataFrame([(q, q) for q in range(10)], "question_id int, target int")
+    got = A.placed_choices(choices, targets).collect()
+    assert {r.question_id: r.place for r in got if r.correct} == {q: q % 4 for q in range(6)}
+    assert all(sorted(r.place for r in got if r.question_id == q) == [0, 1, 2, 3] for q in range(6))
+    assert [r.place for r in got if r.question_id == 9] == [0, 1]
+
+
 def test_hidden_vector_does_not_take_a_place(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.9, 0.1, 0.0]), ("c", [0.8, 0.2, 0.0])], "chunk_id string, vector array<double>")
     assert [r.chunk_id for r in T.top_k(df.where("chunk_id <> 'a'"), [1.0, 0.0, 0.0], 2).orderBy("rank").collect()] == ["b", "c"]
