@@ -31,6 +31,19 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
 
 
+def unmark(s: str) -> str:
+    """Lower case without marks; blanks stay."""
+    low = s.lower()
+    if low.isascii():
+        return low
+    return "".join(c for c in unicodedata.normalize("NFD", low) if unicodedata.category(c) != "Mn").replace("đ", "d")
+
+
+@F.pandas_udf(StringType())
+def unmarked(s: pd.Series) -> pd.Series:
+    return s.map(unmark, na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

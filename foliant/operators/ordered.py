@@ -6,9 +6,11 @@ the next ones through one summary row, and only summaries of a key meet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import materialize
+
 
 def carry_forward(df: DataFrame, key: str, order: str, columns: list[str], block: int = 4096) -> DataFrame:
     """The last known value of each column up to each row, as ``last_<column>``.
@@ -56,3 +58,22 @@ def next_value(df: DataFrame, key: str, order: str, value: str, block: int = 409
     local = df.withColumn("_mine", F.lead(value).over(inner))
     out = local.join(follow, local[key].eqNullSafe(follow["_key"]) & (local["_block"] == follow["_b"]), "left")
     return out.withColumn(f"next_{value}", F.coalesce("_mine", "_next")).drop("_mine", "_next", "_key", "_b", "_block")
+
+
+def ranked(df: DataFrame, key: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Place of each row within its key, from 1, as ``name``.
+
+    Rows are sorted into ranges of key and order, so a key with any share of
+    all rows is spread over many tasks; a row's place is its place within its
+    task and key plus the key's rows in the tasks before, of which there is
+    one summary a key and task.  ``order`` must end with something unique."""
+    by = [*(F.col(k).asc_nulls_first() for k in key), *order]
+    stamped = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    task = F.shiftright("_at", 33)
+    parts = stamped.groupBy(*(F.col(k).alias(f"_{k}") for k in key), task.alias("_task")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*(f"_{k}" for k in key)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = task == F.col("_task")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return stamped.join(parts, same).select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import doc_type
-from foliant.operators.ordered import next_value
+from foliant.operators.ordered import next_value, ranked
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -121,13 +121,18 @@ def cards(cards_: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.select("document_id", "card_id", "chunk_id", (F.row_number().over(w) - 1).alias("card_index"))
 
 
-def chunks_for_outcomes(mappings: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+def chunks_for_outcomes(mappings: DataFrame, chunks: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
     """Mapped visible chunks of every outcome, ranked: lecture material before
-    references, surer ones first."""
-    w = Window.partitionBy("lo_id").orderBy(
-        F.coalesce(F.col("role") == "reference", F.lit(False)), F.col("confidence").desc_nulls_last(), F.col("sort_order").asc_nulls_last(), "chunk_id")
-    return (
+    references, surer ones first.
+
+    One outcome may hold a third of all rows: with ``most`` every task ranks
+    its own rows first and sends ``most`` of an outcome on; the whole ranking
+    is sorted in ranges, see ``ordered.ranked``."""
+    order = [F.coalesce(F.col("role") == "reference", F.lit(False)).asc(), F.col("confidence").desc_nulls_last(), F.col("sort_order").asc_nulls_last(), F.col("chunk_id").asc()]
+    rows = (
         mappings.where(F.col("lo_id").isNotNull()).join(chunks.where(alive()).select("chunk_id", "document_id", "sort_order"), "chunk_id")
-        .join(visible_documents(docs).select("document_id", "role"), "document_id")
-        .select("lo_id", "chunk_id", "confidence", "role", F.row_number().over(w).alias("rank"))
-    )
+        .join(visible_documents(docs).select("document_id", "role"), "document_id").select("lo_id", "chunk_id", "confidence", "role", "sort_order"))
+    if most is None:
+        return ranked(rows, ["lo_id"], order).drop("sort_order")
+    place = F.row_number().over(Window.partitionBy("lo_id").orderBy(*order))
+    return rows.withColumn("rank", place).where(F.col("rank") <= most).drop("sort_order")

@@ -12,6 +12,7 @@ from foliant.operators import graph as G
 from foliant.operators import pages as P
 from foliant.operators import retrieval as T
 from foliant.operators import writes as W
+from foliant.operators.ordered import ranked
 from foliant.streaming import outbox as O
 
 T0 = datetime(2024, 1, 1)
@@ -108,7 +109,7 @@ def test_right_choices_take_their_place(spark):
     got = A.placed_choices(choices, targets).collect()
     assert {r.question_id: r.place for r in got if r.correct} == {q: q % 4 for q in range(6)}
     assert all(sorted(r.place for r in got if r.question_id == q) == [0, 1, 2, 3] for q in range(6))
-    assert [r.place for r in got if r.question_id == 9] == [0, 1]
+    assert {r.choice: r.place for r in got if r.question_id == 9} == {0: 0, 1: 1}
 
 
 def test_hidden_vector_does_not_take_a_place(spark):
@@ -124,27 +125,64 @@ def test_many_queries_are_ranked_in_blocks(spark):
     assert sorted(tuple(r) for r in T.rank_all(rows, asked, 5, most_broadcast=10, block=7).collect()) == once and len(once) == 300
 
 
-def test_ambiguous_chapters_abstain(spark):
-    profiles = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.99, 0.14])], "code string, vector array<double>")
-    texts = spark.createDataFrame([("t", [1.0, 0.05])], "text_id string, vector array<double>")
-    assert T.match_chapters(texts, profiles).collect()[0].chapter is None
+def test_ambiguous_chapters_abstain_and_courses_stay_apart(spark):
+    profiles = spark.createDataFrame([("k", "1", [1.0, 0.0]), ("k", "2", [0.99, 0.14]), ("j", "9", [1.0, 0.0])], "course_id string, code string, vector array<double>")
+    texts = spark.createDataFrame([("t", "k", [1.0, 0.05]), ("u", "j", [0.0, 1.0]), ("v", "none", [1.0, 0.0])], "text_id string, course_id string, vector array<double>")
+    got = {r.text_id: (r.code, r.chapter) for r in T.match_chapters(texts, profiles).collect()}
+    assert got == {"t": ("1", None), "u": ("9", None)}
     assert T.match_chapters(texts, profiles.where("code = '1'")).collect()[0].chapter == "1"
 
 
-def test_sessions_are_numbered(spark):
-    rows = [("d", 1, "Buổi 1", "a"), ("d", 2, "", "b"), ("d", 3, "next", "c"), ("d", 4, "13 - 14", "e"), ("d", 5, "x", "f")]
-    got = [(r.session, r.text) for r in C.sessions(spark.createDataFrame(rows, "document_id string, ord int, label string, text string")).orderBy("session").collect()]
-    assert got == [(1, "a\nb"), (2, "c"), (13, "e"), (14, "e"), (15, "f")]
+def test_titles_are_found_inside_words_and_without_marks(spark):
+    chunks = spark.createDataFrame([("a", "k", ["1.Quản lý rủi ro", "x"]), ("b", "k", ["(rui ro du an)"]), ("c", "k", ["Rủi"]), ("d", "j", ["Quản lý rủi ro"]), ("e", "k", None), ("f", "k", [])], "chunk_id string, course_id string, heading_path array<string>")
+    titles = spark.createDataFrame([("k", "3", "Quản lý rủi ro"), ("k", "12", "Rủi ro dự án"), ("k", "2", "rủi ro dự án"), ("k", "1", "Rủi ro"), ("k", "7", None)], "course_id string, code string, title string")
+    assert {r.chunk_id: r.chapter_code for r in T.title_chapters(chunks, titles).collect()} == {"a": "3", "b": "2"}
 
 
-def test_syllabus_links(spark):
-    lines = [("d", 1, "Chương 1: Nhập môn (Introduction)"), ("d", 2, "covers L.O.1.1 [A.O.1, A.O.2.1] and L.O.2"), ("d", 3, "Chapter 2 Next"), ("d", 4, "L.O.2 [A.O.1]"), ("d", 5, "L.O.1.1: Giải thích X (Explain X)")]
-    df = spark.createDataFrame(lines, "document_id string, ord int, text string")
-    assert {(r.chapter, r.lo_code) for r in C.chapter_outcome_links(df).collect()} == {("1", "L.O.1.1"), ("1", "L.O.2"), ("2", "L.O.2"), ("2", "L.O.1.1")}
-    assert {(r.lo_code, r.ao_code) for r in C.outcome_assessment_links(df).collect()} == {("L.O.1.1", "A.O.1"), ("L.O.1.1", "A.O.2.1"), ("L.O.2", "A.O.1")}
-    assert [(r.code, r.title, r.title_en) for r in C.chapters(df).orderBy("ord").collect()] == [("1", "Nhập môn", "Introduction"), ("2", "Next", None)]
-    o = next(r for r in C.outcomes(df).collect() if r.code == "L.O.1.1")
-    assert (o.statement_vi, o.statement_en, o.bloom_level, o.parent_code) == ("Giải thích X", "Explain X", 2, None) or o.parent_code == "L.O.1"
+@pytest.mark.parametrize("seed", range(3))
+def test_titles_equal_comparing_all(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abé ") for _ in range(rng.randrange(1, 9)))
+    chunks = [(i, "k", [word() for _ in range(rng.randrange(4))]) for i in range(60)]
+    titles = [("k", str(i), word() + word()) for i in range(25)]
+    want = {}
+    for i, _, path in chunks:
+        met = [(-len(t), int(c)) for _, c, t in titles if len(t) >= 4 and t.lower().replace("é", "e") in " ".join(path).replace("é", "e")]
+        if met:
+            want[i] = str(min(met)[1])
+    got = T.title_chapters(spark.createDataFrame(chunks, "chunk_id int, course_id string, heading_path array<string>"), spark.createDataFrame(titles, "course_id string, code string, title string"), 4)
+    assert {r.chunk_id: r.chapter_code for r in got.collect()} == want
+
+
+def test_searched_chunks_come_first(spark):
+    ranked = spark.createDataFrame([("l", c, i + 1) for i, c in enumerate("abcd")] + [("m", "a", 1)], "lo_id string, chunk_id string, rank int")
+    found = spark.createDataFrame([("l", "d", 1), ("l", "zz", 2), ("l", "b", 3)], "lo_id string, chunk_id string, rank int")
+    got = sorted((r.lo_id, r.rank, r.chunk_id) for r in T.reranked(ranked, found).collect())
+    assert got == [("l", 1, "d"), ("l", 2, "b"), ("l", 3, "a"), ("l", 4, "c"), ("m", 1, "a")]
+
+
+def test_whole_ranking_of_one_hot_key(spark):
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice(["x", None]), rng.randrange(7), i) for i in range(900)]
+    got = {r.i: r.rank for r in ranked(spark.createDataFrame(rows, "k string, o int, i int").repartition(7), ["k"], [F.col("o").desc(), F.col("i").asc()]).collect()}
+    for k in ("hot", "x", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_curriculum_rules(spark):
+    lo = spark.createDataFrame([("k", "L.O.1", None, "a"), ("k", "L.O.1.1", "L.O.1", "b"), ("k", "L.O.2.1", "L.O.2", "c"), ("k", "L.O.3", None, "d")], "course_id string, code string, parent_code string, statement_vi string")
+    ao = spark.createDataFrame([("k", "A.O.1", None), ("k", "A.O.2.1", "A.O.2")], "course_id string, code string, parent_code string")
+    ch = spark.createDataFrame([("k", "1", "One"), ("k", "2", " ")], "course_id string, code string, title string")
+    cl = spark.createDataFrame([("k", "1", "L.O.1.1"), ("k", "2", "L.O.9")], "course_id string, chapter_code string, lo_code string")
+    la = spark.createDataFrame([("k", "L.O.1.1", "A.O.1"), ("k", "L.O.8", "A.O.9")], "course_id string, lo_code string, ao_code string")
+    goals = spark.createDataFrame([("k", "L.O.1", "a "), ("k", "L.O.3", "other"), ("k", "L.O.7", "x")], "course_id string, code string, statement_vi string")
+    courses = spark.createDataFrame([("k",), ("empty",)], "course_id string")
+    got = sorted((r.course_id, r.issue, r.subject) for r in C.issues(courses, lo, ao, ch, cl, la, goals).collect())
+    assert got == sorted([
+        ("k", "ref.unknown_lo", "2>L.O.9"), ("k", "ref.unknown_lo", "L.O.8>A.O.9"), ("k", "ref.unknown_ao", "L.O.8>A.O.9"), ("k", "lo.orphan_parent", "L.O.2.1"), ("k", "assessment.orphan_parent", "A.O.2.1"),
+        ("k", "lo.not_taught", "L.O.2.1"), ("k", "lo.not_taught", "L.O.3"), ("k", "lo.not_assessed", "L.O.2.1"), ("k", "lo.not_assessed", "L.O.3"), ("k", "chapter.title_missing", "2"),
+        ("k", "goal.code_collision", "L.O.3"), ("k", "lo.bloom_inferred", ""), ("empty", "chapter.none_extracted", "")])
 
 
 def test_old_generations_are_left_out(spark):
