@@ -1,13 +1,22 @@
 """Problem 2: the k most similar vectors of every vector.
 
-A hierarchical k-means tree is fitted per model on at most ``fit_rows``
-vectors (those with the smallest hash, so the sample does not depend on the
-layout) and broadcast: at most ``fit_rows / 8`` leaves.  Every vector is put
-into a leaf.  A query walks the tree best bin first: a priority queue holds
-the open nodes by similarity to their centres, and the best is opened next,
-until ``visits`` leaves were met.  ``visits`` is calibrated: for at most
-``probes`` vectors the true neighbours are found by brute force over all
-rows, and visits are widened until their mean recall reaches ``recall``.
+A hierarchical k-means tree per model: its upper levels are fitted on at most
+``fit_rows`` vectors (those with the smallest hashes); leaves that hold more
+than ``leaf_rows`` of all rows are split further, level by level, each by a
+task that sees a bounded sample of the leaf's own rows, until leaves are small
+or the tree has ``most_leaves``.  So leaves do not grow with the data up to
+``most_leaves * leaf_rows`` vectors a model.  The tree is broadcast (bounded:
+at most ``1.1 * most_leaves`` centres), and every vector is put into a leaf.
+
+A query walks the tree best bin first: a priority queue holds the open nodes
+by the greatest similarity that a leaf below can have, and the best is opened
+next, until ``visits`` leaves were met.  With such keys leaves leave the queue
+in the order of their own similarity, so for a batch of queries the outcome of
+the queue is computed by one matrix product (``Tree.nearest``); the queue
+itself is ``Tree.visit``, and both give the same leaves.  ``visits`` is
+calibrated: for at most ``probes`` vectors the true neighbours are found by
+brute force over all rows, and visits are widened until their mean recall
+reaches ``recall``.
 
 Leaves are gathered into parts of about ``part_rows`` vectors (a leaf above
 that is cut into blocks, each in a part of its own), and a query is sent once
@@ -29,7 +38,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,7 +61,8 @@ class TreePolicy:
     recall: float = 0.96
     leaf_rows: int = 150
     branches: int = 16
-    part_rows: int = 8_192
+    most_leaves: int = 65_536
+    part_rows: int = 32_768
     part_queries: int = 16_384
 
 
@@ -65,6 +75,7 @@ class Tree:
     leaf: list = field(default_factory=list)
     leaves: int = 0
     matrix: np.ndarray | None = None
+    slack: np.ndarray | None = None
 
     def add(self, centre: np.ndarray) -> int:
         self.centres.append(centre)
@@ -72,19 +83,52 @@ class Tree:
         self.leaf.append(-1)
         return len(self.leaf) - 1
 
+    def close(self) -> Tree:
+        """Number the leaves and measure the nodes: ``slack`` is the greatest
+        angle between a node and a leaf below it."""
+        nodes = np.array(self.centres, np.float32)
+        below: list = [None] * len(nodes)
+        self.slack, self.leaves = np.zeros(len(nodes), np.float32), 0
+        flat: list = []
+        for n in range(len(nodes) - 1, -1, -1):  # children come after their parents
+            below[n] = [x for c in self.children[n] for x in below[c]] or [n]
+            self.slack[n] = np.arccos(np.clip((nodes[below[n]] @ nodes[n]).min(), -1, 1)) if self.children[n] else 0
+        for n in range(len(nodes)):
+            self.leaf[n] = -1
+        for n in below[0] if len(nodes) else []:  # neighbours in the tree get neighbouring numbers
+            self.leaf[n] = self.leaves
+            self.leaves += 1
+            flat.append(n)
+        self.matrix = nodes[flat]
+        return self
+
     def visit(self, q: np.ndarray, limit: int) -> list[list[int]]:
         """For each query, leaves best bin first, at most ``limit``."""
+        nodes = np.array(self.centres, np.float32)
         out = []
-        for at in range(0, len(q), 512):
-            for row in (q[at : at + 512] @ self.matrix.T).tolist():
-                queue, found = [(0.0, 0)], []
-                while queue and len(found) < limit:
-                    node = heapq.heappop(queue)[1]
-                    if self.leaf[node] >= 0:
-                        found.append(self.leaf[node])
-                    for c in self.children[node]:
-                        heapq.heappush(queue, (-row[c], c))
-                out.append(found)
+        for row in np.clip(q @ nodes.T, -1, 1):
+            hope = np.cos(np.maximum(np.arccos(row) - self.slack, 0))
+            queue, found = [(0.0, 0, 0)], []
+            while queue and len(found) < limit:
+                node = heapq.heappop(queue)[2]
+                if self.leaf[node] >= 0:
+                    found.append(self.leaf[node])
+                for c in self.children[node]:  # equal keys: inner nodes first, then by number
+                    heapq.heappush(queue, (-float(row[c] if self.leaf[c] >= 0 else hope[c] + 1e-6), self.leaf[c], c))
+            out.append(found)
+        return out
+
+    def nearest(self, q: np.ndarray, limit: int) -> np.ndarray:
+        """The same leaves for a batch, best first (one row a query)."""
+        n = min(limit, self.leaves)
+        out = np.empty((len(q), n), np.int32)
+        for at in range(0, len(q), 1024):
+            sim = q[at : at + 1024] @ self.matrix.T
+            if n == 1:
+                out[at : at + 1024, 0] = sim.argmax(1)
+                continue
+            best = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n < self.leaves else np.tile(np.arange(n), (len(sim), 1))
+            out[at : at + 1024] = np.take_along_axis(best, np.argsort(-np.take_along_axis(sim, best, 1), axis=1, kind="stable"), 1)
         return out
 
 
@@ -94,42 +138,92 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
+    """Centres of at most ``k`` clusters by direction; empty ones leave."""
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
         a = (x @ c.T).argmax(1)
-        s = np.zeros_like(c)
-        np.add.at(s, a, x)
-        empty = np.bincount(a, minlength=k) == 0
-        s[empty] = x[rng.choice(len(x), int(empty.sum()))]
-        c = _unit(s)
-    return c
+        order = np.argsort(a, kind="stable")
+        first = np.flatnonzero(np.diff(a[order], prepend=-1))
+        s = np.add.reduceat(x[order], first)
+        empty = k - len(first)
+        c = _unit(np.concatenate((s, x[rng.choice(len(x), empty)]))) if empty else _unit(s)
+    return c[np.unique((x @ c.T).argmax(1))]
+
+
+def _branches(rows: float, sampled: int, policy: TreePolicy) -> int:
+    return min(policy.branches, math.ceil(rows / policy.leaf_rows), sampled // 8)
 
 
 def fit(x: np.ndarray, rows: int, policy: TreePolicy) -> Tree:
     """A tree for ``rows`` vectors from the sample ``x`` of them."""
     rng = np.random.default_rng(0)
     tree = Tree()
-    todo = [(tree.add(_unit(x.mean(0, keepdims=True))[0]), x)]
+    todo = deque([(tree.add(_unit(x.mean(0, keepdims=True))[0]), x)])
     scale = rows / len(x)
     while todo:
-        node, own = todo.pop()
-        k = min(policy.branches, math.ceil(len(own) * scale / policy.leaf_rows), len(own) // 8)
-        parts = []
-        if k >= 2:
-            c = _kmeans(own, k, rng)
-            a = (own @ c.T).argmax(1)
-            parts = [(c[i], own[a == i]) for i in range(k) if (a == i).any()]
-        if len(parts) < 2:
-            tree.leaf[node] = tree.leaves
-            tree.leaves += 1
+        node, own = todo.popleft()
+        k = _branches(len(own) * scale, len(own), policy)
+        if k < 2:
             continue
-        for centre, sub in parts:
-            child = tree.add(centre)
+        c = _kmeans(own, k, rng)
+        if len(c) < 2:
+            continue
+        a = (own @ c.T).argmax(1)
+        for i in range(len(c)):
+            child = tree.add(c[i])
             tree.children[node].append(child)
-            todo.append((child, sub))
-    tree.matrix = np.array(tree.centres, np.float32)
-    tree.centres = []
-    return tree
+            todo.append((child, own[a == i]))
+    return tree.close()
+
+
+def _grown(tree: Tree, split: dict[int, np.ndarray]) -> Tree:
+    """The tree with centres added below some of its leaves."""
+    for node in [n for n in range(len(tree.leaf)) if tree.leaf[n] in split]:
+        for c in split[tree.leaf[node]]:
+            tree.children[node].append(tree.add(c))
+    return tree.close()
+
+
+def refine(classes: DataFrame, trees: dict, policy: TreePolicy, sampled: int = 2_048, rounds: int = 8) -> dict:
+    """Split leaves that hold more than twice ``leaf_rows``, in one task each,
+    which sees about ``sampled`` of the leaf's rows; the new centres are at
+    most ``most_leaves`` a tree.  Trees that are fine are left as they are."""
+    spark = classes.sparkSession
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(trees)
+        placed = _in_leaves(classes, shared)
+        counts = placed.groupBy("model", "dim", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * policy.leaf_rows)
+        room = {s: policy.most_leaves - t.leaves for s, t in trees.items()}
+        large = [r for r in counts.orderBy(F.desc("n")).limit(policy.most_leaves).collect() if room[r.model, r.dim] > 0]  # bounded by the leaves of a tree
+        if not large:
+            return trees
+        sizes = spark.sparkContext.broadcast({(r.model, r.dim, r.leaf): r.n for r in large})
+        share = F.broadcast(spark.createDataFrame([(r.model, r.dim, r.leaf, min(1.0, sampled / r.n)) for r in large], "model string, dim int, leaf int, share double"))
+        some = placed.join(share, ["model", "dim", "leaf"]).where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).drop("share")
+
+        def centres(key, table: pa.Table) -> pa.Table:
+            m, dim, leaf = (k.as_py() for k in key)
+            x = _matrix(table.column("vec"), dim)
+            k = _branches(sizes.value[m, dim, leaf], len(x), policy)
+            c = _kmeans(x, k, np.random.default_rng(leaf)) if k >= 2 else x[:0]
+            return pa.table([pa.array([m] * len(c), pa.string()), pa.array([dim] * len(c), pa.int32()), pa.array([leaf] * len(c), pa.int32()), pa.array([v.tobytes() for v in c], pa.binary())], names=["model", "dim", "leaf", "centre"])
+
+        made = defaultdict(lambda: defaultdict(list))
+        for r in some.groupBy("model", "dim", "leaf").applyInArrow(centres, "model string, dim int, leaf int, centre binary").orderBy("model", "dim", "leaf", "centre").toLocalIterator():
+            made[r.model, r.dim][r.leaf].append(np.frombuffer(r.centre, np.float32))
+        grew = False
+        for space, by_leaf in made.items():
+            split = {}
+            for leaf, cs in by_leaf.items():
+                if len(cs) >= 2 and room[space] >= len(cs) - 1:
+                    split[leaf] = cs
+                    room[space] -= len(cs) - 1
+            if split:
+                trees[space] = _grown(trees[space], split)
+                grew = True
+        if not grew:
+            return trees
+    return trees
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -147,19 +241,17 @@ def _classes(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            model, ids, vecs = b.column(0).to_pylist(), b.column(1), b.column(2)
-            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            ends = np.cumsum([0, *(len(v) for v in vecs)])
-            raw, cids, dims = [], [], []
-            for i, m in enumerate(model):
-                v = flat[ends[i] : ends[i + 1]]
-                v = v / np.abs(v).max()
-                u = (v / np.linalg.norm(v)).astype(np.float32).tobytes()
-                raw.append(u)
-                dims.append(len(v))
-                cids.append(int.from_bytes(hashlib.blake2b(f"{m}|".encode() + u, digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(dims, pa.int32()), ids, pa.array(cids, pa.int64()), pa.array(raw, pa.binary())], names=["model", "dim", "chunk_id", "cid", "vec"])
+            lists = b.column(2)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths):
+                part = b.take(pa.array(np.flatnonzero(lengths == dim)))
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                x = x / np.abs(x).max(1, keepdims=True)
+                raw = [v.tobytes() for v in (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)]
+                names = [f"{m}|".encode() for m in part.column(0).to_pylist()]
+                cids = [int.from_bytes(hashlib.blake2b(m + u, digest_size=8).digest(), "little", signed=True) for m, u in zip(names, raw)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([dim] * len(raw), pa.int32()), part.column(1), pa.array(cids, pa.int64()), pa.array(raw, pa.binary())], names=["model", "dim", "chunk_id", "cid", "vec"])
 
     return rows.select("model", "chunk_id", "vector").mapInArrow(run, "model string, dim int, chunk_id string, cid bigint, vec binary")
 
@@ -182,7 +274,7 @@ def _in_leaves(classes: DataFrame, trees) -> DataFrame:
         for b in batches:
             for (m, dim), own in _by_space(b):
                 part = b.take(pa.array(own))
-                leaves = [v[0] for v in trees.value[m, dim].visit(_matrix(part.column("vec"), dim), 1)]
+                leaves = trees.value[m, dim].nearest(_matrix(part.column("vec"), dim), 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([*part.select(["model", "dim", "cid", "vec"]).columns, pa.array(leaves, pa.int32())], names=["model", "dim", "cid", "vec", "leaf"])
 
     return classes.select("model", "dim", "cid", "vec").mapInArrow(run, "model string, dim int, cid bigint, vec binary, leaf int")
@@ -214,9 +306,9 @@ def _calibrate(index: DataFrame, samples: dict, trees: dict, policy: TreePolicy)
     rank = F.row_number().over(Window.partitionBy("model", "dim", "q").orderBy(F.desc("sim"), "leaf"))
     ranks = defaultdict(list)
     visits = {}
-    order = {s: t.visit(samples[s][1][: policy.probes], t.leaves) for s, t in trees.items()}
+    order = {s: np.argsort(t.nearest(samples[s][1][: policy.probes], t.leaves), axis=1) for s, t in trees.items()}  # place of each leaf
     for r in near.withColumn("rank", rank).where(F.col("rank") <= k).select("model", "dim", "q", "leaf").collect():  # at most k rows a probe
-        ranks[r.model, r.dim].append(order[r.model, r.dim][r.q].index(r.leaf))
+        ranks[r.model, r.dim].append(order[r.model, r.dim][r.q, r.leaf])
     for s, t in trees.items():
         met = np.sort(ranks[s]) if ranks[s] else np.array([0])
         visits[s] = int(met[min(len(met) - 1, math.ceil(policy.recall * len(met)) - 1)]) + 1
@@ -231,37 +323,41 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
     members = base.select("model", "chunk_id", "cid")
     classes = base.groupBy("model", "dim", "cid").agg(F.first("vec").alias("vec"))
     sizes = {(r.model, r.dim): r.n for r in classes.groupBy("model", "dim").agg(F.count("*").alias("n")).collect()}
-    draw = F.row_number().over(Window.partitionBy("model", "dim").orderBy(F.xxhash64("cid"), "cid"))
-    drawn = classes.withColumn("draw", draw).where(F.col("draw") <= policy.fit_rows).orderBy("draw").toPandas()
+    # by hash, from the counts: no task ranks a model; the cut is exact and on the driver
+    space = F.concat_ws("|", "model", F.col("dim").cast("string"))
+    share = F.create_map(*(x for (m, dim), n in sizes.items() for x in (F.lit(f"{m}|{dim}"), F.lit(min(1.0, 1.1 * policy.fit_rows / n + 64 / n))))) if sizes else None
+    if share is None:
+        return members, spark.createDataFrame([], "cid bigint, other bigint, sim float")
+    hashed = classes.withColumn("draw", F.pmod(F.xxhash64("cid"), F.lit(1 << 40)))
+    drawn = hashed.where(F.col("draw") < F.element_at(share, space) * (1 << 40)).toPandas().sort_values(["draw", "cid"])
     samples = {}
     for (m, dim), g in drawn.groupby(["model", "dim"], sort=False):
+        g = g.head(policy.fit_rows)
         samples[m, int(dim)] = (g["cid"].to_numpy(), _matrix(g["vec"], int(dim)))
-    trees = {s: fit(x, sizes[s], policy) for s, (_, x) in samples.items()}
-    if not trees:
-        return members, spark.createDataFrame([], "cid bigint, other bigint, sim float")
+    trees = refine(classes, {s: fit(x, sizes[s], policy) for s, (_, x) in samples.items()}, policy)
     shared = spark.sparkContext.broadcast(trees)
     index = materialize(_in_leaves(classes, shared), "leaves")
     visits = _calibrate(index, samples, trees, policy)
 
     # parts: runs of leaves of about part_rows vectors; large leaves in blocks
     parts_of: dict = {}  # (space, leaf) -> (first part, blocks)
-    part, filled, space = -1, 0, None
+    part, filled, last = -1, 0, None
     counts = index.groupBy("model", "dim", "leaf").agg(F.count("*").alias("n")).orderBy("model", "dim", "leaf").collect()
-    for r in counts:  # at most fit_rows / 8 rows a space
+    for r in counts:  # at most most_leaves rows a space
         s = (r.model, r.dim)
         blocks = math.ceil(r.n / policy.part_rows)
-        if blocks > 1 or s != space or filled + r.n > policy.part_rows:
+        if blocks > 1 or s != last or filled + r.n > policy.part_rows:
             part, filled = part + 1, 0
         parts_of[s, r.leaf] = (part, blocks)
         part += blocks - 1
         filled = policy.part_rows if blocks > 1 else filled + r.n
-        space = s
+        last = s
     met = defaultdict(float)
     for s, (_, x) in samples.items():
-        for leaves in trees[s].visit(x, visits[s]):
+        for leaves in trees[s].nearest(x[:2_048], visits[s]).tolist():
             for p in {parts_of[s, v] for v in leaves if (s, v) in parts_of}:
                 for j in range(p[1]):
-                    met[p[0] + j] += sizes[s] / len(x)
+                    met[p[0] + j] += sizes[s] / min(len(x), 2_048)
     salts = [max(1, math.ceil(met[p] / policy.part_queries)) for p in range(part + 1)]
     plan = spark.sparkContext.broadcast((parts_of, salts, visits))
 
@@ -282,26 +378,34 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
                 names=["part", "salt", "dim", "leaf", "cid", "vec"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries, once in each part they visit."""
+        """Queries, once in each part they visit, with the leaves there."""
         where, salt, limit = plan.value
+        first_of, blocks_of = {}, {}
+        for (s, v), (first, blocks) in where.items():
+            first_of.setdefault(s, {})[v] = first
+            blocks_of.setdefault(s, {})[v] = blocks
+        salt_of = np.array(salt, np.int64)
         for b in batches:
-            for (m, dim), own in _by_space(b):
+            for s, own in _by_space(b):
                 q = b.take(pa.array(own))
-                cids = q.column("cid").to_pylist()
-                take, parts, at, lists = [], [], [], []
-                for i, leaves in enumerate(shared.value[m, dim].visit(_matrix(q.column("vec"), dim), limit[m, dim])):
-                    mine = defaultdict(list)
-                    for v in leaves:
-                        first, blocks = where.get(((m, dim), v), (0, 0))
-                        for p in range(first, first + blocks):
-                            mine[p].append(v)
-                    for p, vs in mine.items():
-                        take.append(i)
-                        parts.append(p)
-                        at.append((cids[i] >> 7) % salt[p])
-                        lists.append(vs)
+                tree = shared.value[s]
+                cids = q.column("cid").to_numpy(zero_copy_only=False)
+                leaves = tree.nearest(_matrix(q.column("vec"), s[1]), limit[s])
+                first = np.array([first_of[s].get(v, -1) for v in range(tree.leaves)])
+                blocks = np.array([blocks_of[s].get(v, 0) for v in range(tree.leaves)])
+                who = np.repeat(np.arange(len(q)), leaves.shape[1])
+                nth = np.tile(np.arange(leaves.shape[1]), len(q))
+                flat = leaves.ravel()
+                times = blocks[flat]  # an empty leaf is in no part, a cut one in several
+                who, nth, leaf = np.repeat(who, times), np.repeat(nth, times), np.repeat(flat, times)
+                part = first[leaf] + (np.arange(len(leaf)) - np.repeat(np.cumsum(times) - times, times))
+                by = np.lexsort((nth, part, who))
+                who, part, leaf = who[by], part[by], leaf[by]
+                new = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+                ends = np.append(new, len(leaf)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts, pa.int32()), pa.array(at, pa.int32()), *q.take(pa.array(take, pa.int64())).select(["cid", "vec"]).columns, pa.array(lists, pa.list_(pa.int32()))],
+                    [pa.array(part[new].astype(np.int32)), pa.array(((cids[who[new]] >> 7) % salt_of[part[new]]).astype(np.int32)), *q.take(pa.array(who[new])).select(["cid", "vec"]).columns, lists],
                     names=["part", "salt", "cid", "vec", "leaves"])
 
     keep = policy.k + 2
@@ -309,52 +413,55 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
     def search(x: pa.Table, q: pa.Table) -> pa.Table:
         names = ["cid", "other", "sim"]
         if not x.num_rows or not q.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names=names)
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float32()))], names=names)
         dim = x.column("dim")[0].as_py()
         xs, qs = _matrix(x.column("vec"), dim), _matrix(q.column("vec"), dim)
         xc, qc, leaf = x.column("cid").to_numpy(), q.column("cid").to_numpy(), x.column("leaf").to_numpy()
+        rows_of = {int(leaf[r[0]]): r for r in np.split(np.argsort(leaf, kind="stable"), np.flatnonzero(np.diff(np.sort(leaf))) + 1)}
         lists = q.column("leaves").combine_chunks()
-        asked = lists.flatten().to_numpy()
-        who = np.repeat(np.arange(len(qc)), lists.value_lengths().to_numpy())
-        by = np.argsort(asked, kind="stable")
-        asked, who = asked[by], who[by]
-        # the best so far of each query; a leaf touches only queries it improves
+        lengths = lists.value_lengths().to_numpy()
+        asked, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(qc)), lengths)
+        nth = np.arange(len(asked)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        # the best so far of each query; a leaf touches only queries it improves,
+        # which are few once the nearest leaves of all have been seen
         top = np.full((len(qc), keep), -2, np.float32)
         at_row = np.zeros((len(qc), keep), np.int64)
-        order = np.argsort(leaf, kind="stable")
-        for rows_ in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
-            v = leaf[rows_[0]]
-            some = who[np.searchsorted(asked, v) : np.searchsorted(asked, v, "right")]
-            for begin in range(0, len(some), 2048):
-                w = some[begin : begin + 2048]
-                sim = qs[w] @ xs[rows_].T
-                better = sim.max(1) > top[w, 0]
-                w, sim = w[better], sim[better]
-                if not len(w):
-                    continue
-                own_row, own_column = np.nonzero(qc[w][:, None] == xc[rows_][None, :])
-                sim[own_row, own_column] = -2
-                n = min(keep, len(rows_))
-                best = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                both = np.concatenate((top[w], np.take_along_axis(sim, best, 1)), axis=1)
-                which = np.concatenate((at_row[w], rows_[best]), axis=1)
-                chosen = np.argpartition(both, n, axis=1)[:, n:]
-                both, which = np.take_along_axis(both, chosen, 1), np.take_along_axis(which, chosen, 1)
-                least = both.argmin(1)  # the worst of the best goes first
-                both[np.arange(len(w)), least], both[:, 0] = both[:, 0], both[np.arange(len(w)), least]
-                which[np.arange(len(w)), least], which[:, 0] = which[:, 0], which[np.arange(len(w)), least]
-                top[w], at_row[w] = both, which
-        w = np.repeat(np.arange(len(qc)), keep)
-        sim, o = top.ravel(), at_row.ravel()
-        ok = sim > -2
-        w, o, sim = w[ok], o[ok], sim[ok]
-        return pa.table([pa.array(qc[w]), pa.array(xc[o]), pa.array(sim, pa.float32())], names=names)
+        for near in (nth < 4, nth >= 4):
+            some, of = asked[near], who[near]
+            order = np.argsort(some, kind="stable")
+            some, of = some[order], of[order]
+            bounds = np.append(np.flatnonzero(np.diff(some, prepend=-1)), len(some))
+            for a, z in zip(bounds, bounds[1:]):
+                rows_ = rows_of[int(some[a])]
+                for begin in range(a, z, 2048):
+                    w = of[begin : min(z, begin + 2048)]
+                    sim = qs[w] @ xs[rows_].T
+                    better = sim.max(1) > top[w, 0]
+                    w, sim = w[better], sim[better]
+                    if not len(w):
+                        continue
+                    own_row, own_column = np.nonzero(qc[w][:, None] == xc[rows_][None, :])
+                    sim[own_row, own_column] = -2
+                    n = min(keep, len(rows_))
+                    best = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n < len(rows_) else np.tile(np.arange(n), (len(w), 1))
+                    both = np.concatenate((top[w], np.take_along_axis(sim, best, 1)), axis=1)
+                    which = np.concatenate((at_row[w], rows_[best]), axis=1)
+                    chosen = np.argsort(-both, axis=1, kind="stable")[:, keep - 1 :: -1]  # the worst of the best goes first
+                    top[w], at_row[w] = np.take_along_axis(both, chosen, 1), np.take_along_axis(which, chosen, 1)
+        ok = top > -2
+        ends = np.append(0, np.cumsum(ok.sum(1))).astype(np.int32)
+        some = np.flatnonzero(np.diff(ends))
+        ends = np.append(0, ends[some + 1]).astype(np.int32)
+        others, sims = xc[at_row[ok]], top[ok]
+        return pa.table([pa.array(qc[some]), pa.ListArray.from_arrays(pa.array(ends), pa.array(others)), pa.ListArray.from_arrays(pa.array(ends), pa.array(sims, pa.float32()))], names=names)
 
     left = index.mapInArrow(place, "part int, salt int, dim int, leaf int, cid bigint, vec binary").groupBy("part", "salt")
     right = index.mapInArrow(ask, "part int, salt int, cid bigint, vec binary, leaves array<int>").groupBy("part", "salt")
-    partial = left.cogroup(right).applyInArrow(search, "cid bigint, other bigint, sim float")
-    rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("sim"), "other"))
-    return members, partial.withColumn("rank", rank).where(F.col("rank") <= keep).select("cid", "other", "sim")
+    partial = left.cogroup(right).applyInArrow(search, "cid bigint, other array<bigint>, sim array<float>")
+    # a query has one list of at most ``keep`` finds for each part it visits
+    lists = partial.groupBy("cid").agg(F.collect_list(F.arrays_zip((F.transform("sim", lambda x: -x)).alias("d"), "other")).alias("c"))
+    best = F.slice(F.array_sort(F.flatten("c")), 1, keep)
+    return members, lists.select("cid", F.explode(best).alias("f")).select("cid", F.col("f.other").alias("other"), (-F.col("f.d")).alias("sim"))
 
 
 def neighbours(members: DataFrame, near: DataFrame, k: int = 10, least: float = -2.0) -> DataFrame:

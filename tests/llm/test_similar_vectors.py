@@ -57,3 +57,31 @@ def test_irregular_rows(spark):
     found = run(spark, rows)
     assert [tuple(r) for r in V.pairs(found).collect()] == [("a", "b")]
     assert run(spark, []).count() == 0
+
+
+def test_queue_and_batch_meet_the_same_leaves():
+    x = V._unit(data(900, 12, 7))
+    tree = V.fit(x, 4000, V.TreePolicy(leaf_rows=60, branches=5))
+    assert tree.leaves > 20 and sorted(v for v in tree.leaf if v >= 0) == list(range(tree.leaves))
+    q = V._unit(data(80, 12, 8))
+    for limit in (1, 7, tree.leaves):
+        assert [list(map(int, v)) for v in tree.nearest(q, limit)] == tree.visit(q, limit)
+
+
+def test_large_leaves_are_split_on_all_rows(spark):
+    x = data(1200, 8, 5)
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    rows = spark.createDataFrame([(i, v.tolist(), "m", 8, 0) for i, v in zip(ids, x)], COLS)
+    policy = V.TreePolicy(leaf_rows=30, fit_rows=40, branches=4, part_rows=400, probes=64)
+    classes = V._classes(V.usable(rows)).select("model", "dim", "cid", "vec")
+    few = V.fit(V._unit(x[:40]), len(x), policy)
+    trees = V.refine(classes, {("m", 8): few}, policy, sampled=200)
+    sizes = [r["count"] for r in V._in_leaves(classes, spark.sparkContext.broadcast(trees)).groupBy("leaf").count().collect()]
+    assert sum(sizes) == len(x) and max(sizes) <= 120 and trees["m", 8].leaves > few.leaves // 2 and trees["m", 8].leaves >= 20
+    bounded = V.refine(classes, {("m", 8): V.fit(V._unit(x[:40]), len(x), policy)}, V.TreePolicy(leaf_rows=30, fit_rows=40, branches=4, most_leaves=14), sampled=200)
+    assert bounded["m", 8].leaves <= 14
+    got: dict = {}
+    for r in run(spark, [(i, v.tolist(), "m", 8, 0) for i, v in zip(ids, x)], policy).collect():
+        got.setdefault(r.chunk_id, set()).add(r.other)
+    want = brute(x, ids)
+    assert np.mean([len(got.get(i, set()) & want[i]) / 10 for i in ids]) >= 0.9
