@@ -67,7 +67,7 @@ SQL = {
 b AS (SELECT course_id, code, first(p.l ORDER BY p.a, p.i) FILTER (p.a > 0) AS level FROM v GROUP BY 1, 2)
 SELECT o.course_id AS document_id, o.code, CASE WHEN len(string_split(o.code, '.')) > 3 THEN regexp_replace(o.code, '\\.[^.]+$', '') END AS parent_code, md5({_N.format('vi')}) AS vi_md5, md5({_N.format('en')}) AS en_md5, level AS bloom_level
 FROM o JOIN b ON b.course_id = o.course_id AND b.code = o.code""",
-    "syllabus_chapters": _W + " SELECT DISTINCT course_id AS document_id, chapter_code AS code, trim(title) AS title, CAST(chapter_code AS INT) AS sort_order FROM l",
+    "syllabus_chapters": _W + " SELECT DISTINCT course_id AS document_id, chapter_code AS code, trim(coalesce(title, '')) AS title, CAST(chapter_code AS INT) AS sort_order FROM l",
     "syllabus_links": _W + " SELECT DISTINCT course_id AS document_id, chapter_code, lo_code FROM l",
     "syllabus_pairs": _W + " SELECT DISTINCT course_id AS document_id, lo_code, unnest(['A.O.1', 'A.O.2']) AS ao_code, chapter_code FROM l",
     "syllabus_findings": _W + """, cs AS (SELECT DISTINCT course_id FROM courses WHERE course_id IS NOT NULL UNION SELECT course_id FROM o),
