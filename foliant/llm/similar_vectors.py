@@ -201,7 +201,7 @@ def refine(classes: DataFrame, trees: dict, policy: TreePolicy, sampled: int = 2
         share = F.broadcast(spark.createDataFrame([(r.model, r.dim, r.leaf, min(1.0, sampled / r.n)) for r in large], "model string, dim int, leaf int, share double"))
         some = placed.join(share, ["model", "dim", "leaf"]).where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).drop("share")
 
-        def centres(key, table: pa.Table) -> pa.Table:
+        def centres(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             m, dim, leaf = (k.as_py() for k in key)
             x = _matrix(table.column("vec"), dim)
             k = _branches(sizes.value[m, dim, leaf], len(x), policy)
