@@ -184,19 +184,22 @@ def _grown(tree: Tree, split: dict[int, np.ndarray]) -> Tree:
     return tree.close()
 
 
-def refine(classes: DataFrame, trees: dict, policy: TreePolicy, sampled: int = 2_048, rounds: int = 8) -> dict:
-    """Split leaves that hold more than twice ``leaf_rows``, in one task each,
+def refine(classes: DataFrame, trees: dict, policy: TreePolicy, sampled: int = 2_048, rounds: int = 8) -> tuple[dict, DataFrame]:
+    """The trees with large leaves split, and all rows in their leaves.
+
+    Leaves that hold more than twice ``leaf_rows`` are split in one task each,
     which sees about ``sampled`` of the leaf's rows; the new centres are at
     most ``most_leaves`` a tree.  Trees that are fine are left as they are."""
     spark = classes.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(trees)
-        placed = _in_leaves(classes, shared)
+    for turn in range(rounds + 1):
+        placed = materialize(_in_leaves(classes, spark.sparkContext.broadcast(trees)), "leaves")
+        if turn == rounds:
+            break
         counts = placed.groupBy("model", "dim", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * policy.leaf_rows)
         room = {s: policy.most_leaves - t.leaves for s, t in trees.items()}
         large = [r for r in counts.orderBy(F.desc("n")).limit(policy.most_leaves).collect() if room[r.model, r.dim] > 0]  # bounded by the leaves of a tree
         if not large:
-            return trees
+            break
         sizes = spark.sparkContext.broadcast({(r.model, r.dim, r.leaf): r.n for r in large})
         share = F.broadcast(spark.createDataFrame([(r.model, r.dim, r.leaf, min(1.0, sampled / r.n)) for r in large], "model string, dim int, leaf int, share double"))
         some = placed.join(share, ["model", "dim", "leaf"]).where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).drop("share")
@@ -222,8 +225,8 @@ def refine(classes: DataFrame, trees: dict, policy: TreePolicy, sampled: int = 2
                 trees[space] = _grown(trees[space], split)
                 grew = True
         if not grew:
-            return trees
-    return trees
+            break
+    return trees, placed
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -321,7 +324,7 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
     spark = rows.sparkSession
     base = materialize(_classes(usable(rows)), "unit-vectors")
     members = base.select("model", "chunk_id", "cid")
-    classes = base.groupBy("model", "dim", "cid").agg(F.first("vec").alias("vec"))
+    classes = materialize(base.groupBy("model", "dim", "cid").agg(F.first("vec").alias("vec")), "vector-classes")
     sizes = {(r.model, r.dim): r.n for r in classes.groupBy("model", "dim").agg(F.count("*").alias("n")).collect()}
     # by hash, from the counts: no task ranks a model; the cut is exact and on the driver
     space = F.concat_ws("|", "model", F.col("dim").cast("string"))
@@ -334,9 +337,8 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
     for (m, dim), g in drawn.groupby(["model", "dim"], sort=False):
         g = g.head(policy.fit_rows)
         samples[m, int(dim)] = (g["cid"].to_numpy(), _matrix(g["vec"], int(dim)))
-    trees = refine(classes, {s: fit(x, sizes[s], policy) for s, (_, x) in samples.items()}, policy)
+    trees, index = refine(classes, {s: fit(x, sizes[s], policy) for s, (_, x) in samples.items()}, policy)
     shared = spark.sparkContext.broadcast(trees)
-    index = materialize(_in_leaves(classes, shared), "leaves")
     visits = _calibrate(index, samples, trees, policy)
 
     # parts: runs of leaves of about part_rows vectors; large leaves in blocks

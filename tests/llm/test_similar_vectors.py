@@ -75,10 +75,10 @@ def test_large_leaves_are_split_on_all_rows(spark):
     policy = V.TreePolicy(leaf_rows=30, fit_rows=40, branches=4, part_rows=400, probes=64)
     classes = V._classes(V.usable(rows)).select("model", "dim", "cid", "vec")
     few = V.fit(V._unit(x[:40]), len(x), policy)
-    trees = V.refine(classes, {("m", 8): few}, policy, sampled=200)
+    trees = V.refine(classes, {("m", 8): few}, policy, sampled=200)[0]
     sizes = [r["count"] for r in V._in_leaves(classes, spark.sparkContext.broadcast(trees)).groupBy("leaf").count().collect()]
     assert sum(sizes) == len(x) and max(sizes) <= 120 and trees["m", 8].leaves > few.leaves // 2 and trees["m", 8].leaves >= 20
-    bounded = V.refine(classes, {("m", 8): V.fit(V._unit(x[:40]), len(x), policy)}, V.TreePolicy(leaf_rows=30, fit_rows=40, branches=4, most_leaves=14), sampled=200)
+    bounded = V.refine(classes, {("m", 8): V.fit(V._unit(x[:40]), len(x), policy)}, V.TreePolicy(leaf_rows=30, fit_rows=40, branches=4, most_leaves=14), sampled=200)[0]
     assert bounded["m", 8].leaves <= 14
     got: dict = {}
     for r in run(spark, [(i, v.tolist(), "m", 8, 0) for i, v in zip(ids, x)], policy).collect():
