@@ -11,13 +11,20 @@ agreement at the Jaccard similarity also for short records.  Then
    so a group of copies of any size is one row;
 2. classes that agree in all ``ROWS`` registers of at least ``least_bands``
    bands are candidates.  Pairs are formed inside a band's bucket only where
-   it has at most ``block`` classes; larger buckets are cut into blocks and
+   it has at most ``block`` classes.  Larger buckets are cut into blocks and
    every pair of blocks is compared in its own task by the registers, which
-   emits only pairs that pass;
+   emits only pairs that pass.  Buckets above ``huge`` classes (boilerplate)
+   are banded again: a candidate needs a second band anyway, so their classes
+   meet by pairs of bands, which are smaller by the chance of a band;
 3. the share of agreeing registers, less the expected number of accidental
    agreements at the two cardinalities, estimates the similarity; candidates
    well below the threshold end here;
-4. the rest is verified on the shingle hashes themselves.
+4. the rest is verified on the shingles themselves.
+
+Sizes of buckets come from one window over the bands.  Bands that hold a
+thousandth of all classes or more, as a sample of the classes shows, do not
+go through it: they are counted by an aggregation that combines in each task,
+and the counts are joined to them; the sample decides on the way only.
 
 At similarity 0.5 a pair agrees in a band with chance 1/16; of 96 bands at
 least two agree with chance 0.985, at 0.6 with chance 0.9999.
@@ -36,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.batches import spread
@@ -154,7 +161,7 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 
 def sketches(records: DataFrame, key: str, content: str, words: int) -> DataFrame:
-    """``(key, sig, n, regs, shingles)`` of each record that has a shingle."""
+    """``(key, sig, n, regs, text)`` of each record that has a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -165,17 +172,15 @@ def sketches(records: DataFrame, key: str, content: str, words: int) -> DataFram
                 n = part.num_rows
                 regs = registers(owner, s, n)
                 ends = np.searchsorted(owner, np.arange(n + 1))
-                keep = [i for i in range(n) if ends[i + 1] > ends[i]]
-                sets = [s[ends[i] : ends[i + 1]].tobytes() for i in keep]
-                sigs = [int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) for b in sets]
+                keep = np.flatnonzero(np.diff(ends))
+                sigs = [int.from_bytes(hashlib.blake2b(s[ends[i] : ends[i + 1]].tobytes(), digest_size=8).digest(), "little", signed=True) for i in keep]
+                some = part.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(keep, pa.int64())), pa.array(sigs, pa.int64()), pa.array([len(b) // 8 for b in sets], pa.int32()),
-                     pa.array([regs[i].tobytes() for i in keep], pa.binary()), pa.array(sets, pa.binary())],
-                    names=[key, "sig", "n", "regs", "shingles"],
-                )
+                    [some.column(0), pa.array(sigs, pa.int64()), pa.array(np.diff(ends)[keep].astype(np.int32)), pa.array([regs[i].tobytes() for i in keep], pa.binary()), some.column(1)],
+                    names=[key, "sig", "n", "regs", "text"])
 
     kind = dict(records.dtypes)[key]
-    return spread(records.select(key, content)).mapInArrow(run, f"`{key}` {kind}, sig bigint, n int, regs binary, shingles binary")
+    return spread(records.select(key, content)).mapInArrow(run, f"`{key}` {kind}, sig bigint, n int, regs binary, text string")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -197,21 +202,51 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("sig", "regs").mapInArrow(run, "band bigint, sig bigint")
 
 
-def candidates(classes: DataFrame, threshold: float, least_bands: int = 2, block: int = 128) -> DataFrame:
+#: Bands taken together before blocks are compared whatever their size.
+DEPTH = 2
+_SAMPLE, _SHARE = 64, 1_000
+
+
+def _hot_bands(keyed: DataFrame) -> DataFrame | None:
+    """Bands that hold at least about a thousandth of the keys' owners: at
+    most ``_SHARE`` times the bands of one owner, a proven bound."""
+    some = keyed.where(F.pmod(F.xxhash64("sig"), F.lit(_SAMPLE)) == 0)
+    owners = keyed.select("sig").where(F.pmod(F.xxhash64("sig"), F.lit(_SAMPLE)) == 0).agg(F.approx_count_distinct("sig")).collect()[0][0]
+    hot = some.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= max(_SAMPLE, owners // _SHARE)).select("band")
+    bands = [r.band for r in hot.limit(_SHARE * BANDS * 2).collect()]
+    return keyed.sparkSession.createDataFrame([(b,) for b in bands], "band bigint") if bands else None
+
+
+def _sized(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Keys with the size of their bucket, those with others in it only."""
+    every = F.count("*").over(Window.partitionBy("band"))
+    if hot is None:
+        return keyed.withColumn("size", every).where("size > 1")
+    wide = keyed.join(F.broadcast(hot), "band", "left_semi")
+    counts = wide.groupBy("band").agg(F.count("*").alias("size"))
+    rest = keyed.join(F.broadcast(hot), "band", "left_anti").withColumn("size", every)
+    return rest.where("size > 1").unionByName(wide.join(F.broadcast(counts), "band"))  # as many rows as ``hot``
+
+
+def candidates(classes: DataFrame, threshold: float, least_bands: int = 2, block: int = 128, huge: int = 16_384) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of classes to be verified."""
-    from pyspark.sql import Window
+    sample = classes.where(F.pmod(F.xxhash64("sig"), F.lit(_SAMPLE)) == 0)
+    return _paired(_sized(band_keys(classes), _hot_bands(band_keys(sample))), classes, threshold, least_bands, block, huge, 1)
+
 
-    sized = band_keys(classes).withColumn("size", F.count("*").over(Window.partitionBy("band")))
-    shared = materialize(sized.where("size > 1"), "bands")
+def _paired(sized: DataFrame, classes: DataFrame, threshold: float, least: int, block: int, huge: int, depth: int) -> DataFrame:
+    shared = materialize(sized, "bands")
     # small buckets: all pairs of at most `block` classes
     lists = shared.where(F.col("size") <= block).groupBy("band").agg(F.sort_array(F.collect_list("sig")).alias("s"))
     tails = F.transform("s", lambda x, i: F.struct(x.alias("a"), F.slice(F.col("s"), i + 2, F.size("s")).alias("bs")))
     pairs = lists.select(F.explode(tails).alias("t")).select(F.col("t.a").alias("a"), F.explode("t.bs").alias("b"))
-    often = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least_bands).select("a", "b")
-    # large buckets: pairs of blocks, compared by their registers
-    large = shared.where(F.col("size") > block)
-    if large.isEmpty():
+    often = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
+    largest = shared.agg(F.max("size")).collect()[0][0] or 0
+    if largest <= block:
         return often
+    # large buckets: pairs of blocks, compared by their registers
+    wide = F.col("size") > huge
+    large = shared.where((F.col("size") > block) & (F.lit(depth == DEPTH) | ~wide))
     blocks = F.ceil(F.col("size") / block).cast("int")
     large = large.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("sig", "band"), blocks).cast("int")})
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -238,29 +273,42 @@ def candidates(classes: DataFrame, threshold: float, least_bands: int = 2, block
         return pd.DataFrame({"a": flat(a_out), "b": flat(b_out)})
 
     met = placed.join(classes.select("sig", "n", "regs"), "sig").groupBy("band", "i", "j").applyInPandas(compare, "a bigint, b bigint")
-    return often.unionByName(met).distinct()
+    found = often.unionByName(met)
+    if largest > huge and depth < DEPTH:
+        # huge buckets: their classes meet where they share one more band
+        first = shared.where(wide).select("sig", F.col("band").alias("_b"))
+        again = first.join(shared.select("sig", "band"), "sig").where("_b <> band").select(F.xxhash64(F.least("_b", "band"), F.greatest("_b", "band")).alias("band"), "sig").distinct()
+        found = found.unionByName(_paired(_sized(again, _hot_bands(again)), classes, threshold, 1, block, huge, depth + 1))
+    return found.distinct()
 
 
-def verify(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, threshold: float, words: int) -> DataFrame:
     """Pairs whose similarity reaches the threshold, with the similarity."""
     margin = threshold - 5 * (0.25 / REGISTERS) ** 0.5
-    side = lambda c: classes.select(F.col("sig").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "regs", "shingles")))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "shingles_a", "shingles_b")
+    side = lambda c: classes.select(F.col("sig").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "regs", "text")))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                a, b, na, nb, ra, rb, sa, sb = (c.to_pylist() for c in batch.slice(at, 1024).columns)
-                grid = lambda r: np.frombuffer(b"".join(r), np.uint16).reshape(len(r), REGISTERS)
-                est = estimate(grid(ra), grid(rb), np.array(na), np.array(nb))
-                out: tuple[list, list, list] = ([], [], [])
-                for k in np.flatnonzero(est >= margin):
-                    both = len(np.intersect1d(np.frombuffer(sa[k], np.uint64), np.frombuffer(sb[k], np.uint64), assume_unique=True))
-                    union = na[k] + nb[k] - both
-                    if both >= threshold * union:
-                        for c, v in zip(out, (a[k], b[k], both / union)):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
+                part = batch.slice(at, 1024)
+                a, b, na, nb = (part.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+                grid = lambda c: np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(part.num_rows, REGISTERS)
+                near = np.flatnonzero(estimate(grid(4), grid(5), na, nb) >= margin)
+                if not len(near):
+                    continue
+                some = part.take(pa.array(near))
+                # shingles of both sides as (pair, hash): those that are there twice are shared
+                (po, ps), (qo, qs) = shingler(some.column(6).to_pylist()), shingler(some.column(7).to_pylist())
+                owner, s = np.concatenate((po, qo)), np.concatenate((ps, qs))
+                by = np.lexsort((s, owner))
+                owner, s = owner[by], s[by]
+                twice = (owner[1:] == owner[:-1]) & (s[1:] == s[:-1])
+                both = np.bincount(owner[1:][twice], minlength=len(near))
+                union = na[near] + nb[near] - both
+                ok = both >= threshold * union
+                yield pa.RecordBatch.from_arrays([pa.array(a[near][ok], pa.int64()), pa.array(b[near][ok], pa.int64()), pa.array(both[ok] / union[ok], pa.float64())], names=["a", "b", "similarity"])
 
     return joined.mapInArrow(run, "a bigint, b bigint, similarity double")
 
@@ -270,8 +318,8 @@ def near_duplicates(records: DataFrame, key: str = "chunk_id", content: str = "c
     made = materialize(sketches(records.select(key, content).where(F.col(content).isNotNull()), key, content, words), "sketches")
     members = made.select(key, "sig").distinct()
     # of equal rows, any one: partial aggregation leaves one a task of a class
-    classes = materialize(made.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "regs", "shingles"))), "classes")
-    links = materialize(verify(candidates(classes, threshold), classes, threshold), "links")
+    classes = materialize(made.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "regs", "text"))), "classes")
+    links = materialize(verify(candidates(classes, threshold), classes, threshold, words), "links")
     return members, links
 
 
@@ -284,13 +332,13 @@ def pairs_of_records(members: DataFrame, links: DataFrame, key: str) -> DataFram
     return within.unionByName(across).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``(sig, root)``: the smallest class id of each connected component, for
-    classes with a link.  Labels move along links and then along labels, so
-    the rounds needed grow with the logarithm of the longest chain."""
+    classes with a link.  Labels move along links and then along labels until
+    nothing moves; the rounds grow with the logarithm of the longest chain."""
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("sig"), F.least("a", "m").alias("root")), "labels")
-    for _ in range(rounds):
+    while True:
         to = labels.select(F.col("sig").alias("b"), F.col("root").alias("other"))
         near = edges.join(to, "b").groupBy(F.col("a").alias("sig")).agg(F.min("other").alias("other"))
         moved = labels.join(near, "sig").select("sig", F.least("root", "other").alias("next"), "root")
@@ -299,7 +347,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         labels = after.select("sig", "root")
         if after.where("root <> was").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def groups(members: DataFrame, links: DataFrame, key: str) -> DataFrame:

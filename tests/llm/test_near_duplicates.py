@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import near_duplicates as D
 
@@ -57,10 +57,35 @@ def test_large_buckets_are_compared_in_blocks(spark):
     rows += [(f"z{i}", t) for i, t in enumerate(corpus(40, 5))]
     df = spark.createDataFrame(rows, "chunk_id string, content string")
     made = D.sketches(df, "chunk_id", "content", 3)
-    classes = made.groupBy("sig").agg(*(__import__("pyspark.sql.functions", fromlist=["first"]).first(c).alias(c) for c in ("n", "regs", "shingles")))
-    small = {(r.a, r.b) for r in D.verify(D.candidates(classes, 0.5, block=7), classes, 0.5).collect()}
-    large = {(r.a, r.b) for r in D.verify(D.candidates(classes, 0.5, block=10_000), classes, 0.5).collect()}
-    assert small >= large and len(small) >= 60 * 59 / 2
+    classes = made.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "regs", "text")))
+    pairs = lambda **more: {(r.a, r.b) for r in D.verify(D.candidates(classes, 0.5, **more), classes, 0.5, 3).collect()}
+    large = pairs(block=10_000)
+    assert pairs(block=7) >= large and len(large) >= 60 * 59 / 2
+
+
+def test_boilerplate_is_banded_again(spark):
+    rng = random.Random(4)
+    shared = " ".join(f"b{k}" for k in range(26))
+    rows = [(f"c{i:03d}", shared + " " + " ".join(f"o{i}x{k}" for k in range(36))) for i in range(150)]
+    for i in range(0, 150, 3):
+        w = rows[i][1].split()
+        w[rng.randrange(30, 60)] = "new"
+        rows.append((f"d{i:03d}", " ".join(w)))
+    classes = D.sketches(spark.createDataFrame(rows, "chunk_id string, content string"), "chunk_id", "content", 3).groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "regs", "text")))
+    got = {n: {(r.a, r.b) for r in D.verify(D.candidates(classes, 0.5, block=4, huge=n), classes, 0.5, 3).collect()} for n in (5, 16_384)}
+    assert D._sized(D.band_keys(classes), None).where("size > 5").count() > 0
+    assert got[5] == got[16_384] and len(got[5]) == 50
+
+
+def test_hot_bands_take_another_way(spark, monkeypatch):
+    monkeypatch.setattr(D, "_SAMPLE", 2)
+    rows = [("c%03d" % i, " ".join([f"w{k}" for k in range(40)] + [f"u{i}"])) for i in range(80)] + [(f"z{i}", t) for i, t in enumerate(corpus(80, 6))]
+    classes = D.sketches(spark.createDataFrame(rows, "chunk_id string, content string"), "chunk_id", "content", 3).groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "regs", "text")))
+    keyed = D.band_keys(classes)
+    hot = D._hot_bands(keyed)
+    assert hot.count() > 0
+    rows_of = lambda df: sorted(tuple(r) for r in df.select("band", "sig", "size").collect())
+    assert rows_of(D._sized(keyed, hot).where("size > 1")) == rows_of(D._sized(keyed, None))
 
 
 def test_estimate_is_near_the_similarity():
@@ -84,8 +109,7 @@ def test_irregular_rows(spark):
     assert found(spark, [("only", "one two three four")])[0] == set()
 
 
-@pytest.mark.parametrize("rounds", [40])
-def test_components_of_a_chain(spark, rounds):
+def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(30)] + [(100, 101, 1.0)], "a bigint, b bigint, similarity double")
-    got = {r.sig: r.root for r in D.components(links, rounds).collect()}
+    got = {r.sig: r.root for r in D.components(links).collect()}
     assert all(got[i] == 0 for i in range(31)) and got[100] == got[101] == 100
