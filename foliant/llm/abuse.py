@@ -6,15 +6,15 @@ word pairs, and the text has its highest window's score.  The model is linear,
 so all windows of a text are differences of one running sum.
 
 It is fitted on at most ``FIT_ROWS`` reviewed texts (those with the smallest
-hash; of each the sentences up to ``FIT_WORDS`` words, while scoring always
-reads whole texts) and a few built-in sentences.  Reviews are of whole texts: the passage
+hash, each as a whole) and a few built-in sentences.  Reviews are of whole texts: the passage
 is found by alternating between choosing the window that carries the label of
 a flagged text, at first by the log-odds of its words and pairs, and fitting
 on these windows and all of the unflagged texts, each half of the texts judged
 by a model of the other; texts that contradict their review leave the sample
 (mistaken reviews).  *Counterfactual regularisation*: in every labelled window that
 names a group, the name is swapped for others and a change of score is
-penalised, so a mere mention of a group says little.
+penalised, so a mere mention of a group says little.  At most ``FIT_PAIRS``
+pairs, drawn by a hash of the sentence, take part in the fit.
 
 Before scoring, disguises are undone: compatibility forms, invisible
 characters, digits and signs for letters, spread and repeated letters; words
@@ -44,7 +44,7 @@ from foliant.functions.batches import spread
 DIM = 1 << 18
 WINDOW = 8
 FIT_ROWS = 6_000
-FIT_WORDS = 1_200
+FIT_PAIRS = 20_000
 SWAPS = 4
 CACHE = 300_000
 
@@ -78,7 +78,7 @@ SEED = {
             "cơ quan này tạo ra hormone và tế bào sinh dục", "hãy giết tiến trình rồi chạy lại", "tôi ghét bài tập này"]),
 }
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤︀-️﻿]")
-_QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«[^»\n]{1,300}»|‹[^›\n]{1,300}›|「[^」\n]{1,300}」")
+_QUOTED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|‹[^›\n]+›|「[^」\n]+」")
 _SPREAD = re.compile(r"(?<!\w)(?:[^\W_][ .\-_*·~/|]){2,}[^\W_](?!\w)")
 _BREAKS = re.compile(r"(?<=[.!?…])\s+|\n+")
 _REPEAT = re.compile(r"(.)\1{2,}")
@@ -254,8 +254,9 @@ def swapped(sentence: list[str], rng: random.Random) -> list[list[str]]:
     return []
 
 
-def train(reviews: list[tuple[str, int]], rounds: int = 40) -> Model:
-    """A model from ``(text, flagged)``; see the module."""
+def train(reviews: list[tuple[str, int]], rounds: int = 40, swaps: bool = True) -> Model:
+    """A model from ``(text, flagged)``; see the module.  ``swaps``: with the
+    penalty for changes by swapped groups."""
     rng = random.Random(0)
     texts, labels = [], []
     for lang, (bad, good) in SEED.items():
@@ -267,18 +268,15 @@ def train(reviews: list[tuple[str, int]], rounds: int = 40) -> Model:
                     labels.append(y)
     built_in = len(texts)
     for text, y in reviews:
-        sents, n = [], 0
-        for s in sentences(text):
-            if n < FIT_WORDS:
-                sents.append(s)
-                n += len(s)
+        sents = sentences(text)
         if sents:
             texts.append(sents)
             labels.append(int(bool(y)))
     sample, label = Sample(texts), np.array(labels)
     n_reviews = len(texts) - built_in
-    pairs = [(s, o) for t in texts for s in t for o in swapped(s, rng)][:20_000]
-    same = Sample([[x] for p in pairs for x in p]) if pairs else None
+    pairs = [(s, o) for t in texts for s in t for o in swapped(s, rng)]
+    pairs = sorted(pairs, key=lambda p: (crc32(" ".join(p[0]).encode()), p[1]))[:FIT_PAIRS]
+    same = Sample([[x] for p in pairs for x in p]) if pairs and swaps else None
     if same:  # both of a pair, by the whole sentence
         lengths = np.array([len(x) for p in pairs for x in p])
         same.end = np.cumsum(lengths)

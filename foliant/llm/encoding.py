@@ -20,7 +20,6 @@ import re
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from foliant.functions.batches import map_columns, spread
 
@@ -156,7 +155,3 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     return map_columns(spread(df.select(key, text)), f"`{key}` {dict(df.dtypes)[key]}, n_tokens int", start)
 
-
-def blank_rule(df: DataFrame, text: str = "text") -> F.Column:
-    """Texts whose id list is empty by definition."""
-    return F.coalesce(F.length(text), F.lit(0)) == 0

@@ -31,7 +31,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.batches import spread
@@ -41,6 +41,7 @@ L = len(LANGS)
 MIXED = 0.2
 FIT_ROWS = 2_000
 FIT_WORDS = 160
+FIT_CHARS = 20_000
 DIM = 1 << 16
 #: Words labelled at once, with their context on both sides.
 SPAN, CONTEXT = 120, 16
@@ -107,7 +108,9 @@ class Vocabulary:
         self.table = None
 
     def number(self, token: str) -> int:
-        word = bare(token) if len(token) <= 60 else ""
+        word = bare(token)
+        if len(token) > 60 and not word.replace("-", "").isalpha():
+            word = ""  # an address, a key or the like
         self.rows.append(self.weights[features(word)].sum(0) if word else np.zeros(L, np.float32))
         self.weight.append(len(word))
         last = token.rstrip("\"'»”)]")[-1:]
@@ -347,15 +350,22 @@ def label_code(c) -> F.Column:
 
 
 def fit(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model for a corpus, from its labelled texts."""
-    code = label_code(F.col(lang))
-    drawn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text")))
-    rows = (
-        documents.select(F.col(text).alias("text"), code.alias("label"))
-        .where(F.col("label").isin(*LANGS) & (F.length(F.btrim("text")) > 0))
-        .withColumn("n", drawn).where(F.col("n") <= FIT_ROWS // L).collect()
-    )
-    return train([(r.text, r.label) for r in sorted(rows, key=lambda r: (r.label, r.n))])
+    """The model for a corpus, from its labelled texts; of very long ones the
+    scan cuts a part of ``FIT_CHARS``.  The sample is drawn by hash from the
+    counts, so no task ranks a label; the cut is exact and on the driver."""
+    rows = documents.select(F.col(text).alias("text"), label_code(F.col(lang)).alias("label")).where(F.col("label").isin(*LANGS) & (F.length(F.btrim("text")) > 0))
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return train([])
+    each = FIT_ROWS // L
+    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * each / n + 64 / n)))))
+    hashed = rows.withColumn("at", F.pmod(F.xxhash64("text"), F.lit(1 << 40))).where(F.col("at") < F.element_at(share, "label") * (1 << 40))
+    begin = F.pmod(F.col("at"), F.greatest(F.length("text") - FIT_CHARS, F.lit(1))) + 1
+    drawn = hashed.select("label", "at", F.substring("text", begin.cast("int"), F.lit(FIT_CHARS)).alias("text")).collect()
+    by_label: dict[str, list] = {}
+    for r in sorted(drawn, key=lambda r: (r.at, r.text)):
+        by_label.setdefault(r.label, []).append(r.text)
+    return train([(t, k) for k in sorted(by_label) for t in by_label[k][:each]])
 
 
 COUNTS = [f"n_{x}" for x in LANGS] + [f"m_{x}" for x in LANGS]
@@ -413,20 +423,38 @@ def mislabelled(labelled: DataFrame) -> DataFrame:
     return labelled.where(wrong & F.col("row_key").isNotNull()).select("src_table", "row_key", "lang").distinct()
 
 
-def mixed_segments(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
-    """``(key, begin, end, lang, confidence)`` of the segments of mixed texts."""
+def mixed_segments(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
+    """``(keys, begin, end, lang, confidence)`` of the segments of mixed texts."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    kinds = dict(df.dtypes)
+    struct = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", begin bigint, end bigint, lang string, confidence double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                keys, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
+                part = batch.slice(at, 512)
+                texts = part.column(len(keys)).to_pylist()
                 out: list[tuple] = []
-                for k, t, d in zip(keys, texts, tagger.describe([running_text(t) for t in texts])):
+                for i, (t, d) in enumerate(zip(texts, tagger.describe([running_text(t) for t in texts]))):
                     if sorted(d[:L])[-2] >= MIXED * max(1, sum(d[:L])):
-                        out += [(k, *s) for s in tagger.segments(t)]
+                        out += [(i, *s) for s in tagger.segments(t)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[key, "begin", "end", "lang", "confidence"])
+                    row, *found = zip(*out)
+                    own = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*own.columns[: len(keys)], *(pa.array(c) for c in found)], names=[*keys, "begin", "end", "lang", "confidence"])
+
+    return spread(df.where(F.col(text).isNotNull()).select(*keys, text)).mapInArrow(run, struct)
+
+
+def segment_rows(documents: DataFrame, chunks: DataFrame, sections: DataFrame, model: Model) -> DataFrame:
+    """``(src_table, row_key, part, begin, end, lang, confidence)``: segments of
+    mixed documents, of mixed chunks, and of each mixed section (``part``: its
+    place) of a file; repeated rows once."""
+    def one(df: DataFrame, table: str, key: str, part, text: str) -> DataFrame:
+        named = df.select(F.col(key).cast("string").alias("row_key"), part.cast("int").alias("part"), F.col(text).alias("text"))
+        return mixed_segments(named, ["row_key", "part"], "text", model).select(F.lit(table).alias("src_table"), "row_key", "part", "begin", "end", "lang", "confidence")
 
-    return spread(df.where(F.col(text).isNotNull()).select(key, text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, begin bigint, end bigint, lang string, confidence double")
+    none = F.lit(None)
+    every = one(documents, "documents", "doc_id", none, "text").unionByName(one(chunks, "chunks", "chunk_id", none, "content"))
+    return every.unionByName(one(sections, "documents_meta", "document_id", F.col("ord"), "content")).distinct()

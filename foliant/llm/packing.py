@@ -1,10 +1,13 @@
 """Problem 8: fill containers of fixed capacity with items, by differencing.
 
-Items are dealt to groups of about ``group_items`` (a bound on a task's work;
-the waste it costs is under one container a group).  In a group, multiway
-differencing merges the two partial partitions with the widest spread, largest
-sums of one onto the smallest of the other, which ends in windows of nearly
-equal sums; if one exceeds the capacity, the number of windows rises by one.
+Items are dealt to groups of about ``group_items`` by a hash of key and size
+(a bound on a task's work; the waste it costs is under one container a group),
+so a rerun on another layout gives the same containers.  Repeated rows are
+counted first and dealt ``COPIES`` at a time, so a repeated row is no skew.
+In a group, multiway differencing merges the two partial partitions with the
+widest spread, largest sums of one onto the smallest of the other, which ends
+in windows of nearly equal sums; if one exceeds the capacity, the number of
+windows rises by one.
 
 Only an item larger than the capacity is divided: into full containers of its
 own and a rest that is packed like any other item.
@@ -19,52 +22,57 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Windows of a group have ids below this.
 STRIDE = 1 << 24
+#: Copies of a row that are dealt together.
+COPIES = 64
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Item numbers in ``k`` windows with sums as equal as the method makes them."""
-    # a partial partition: its non-empty windows as (sum, node), largest first;
-    # node: an item, or an index into `pairs` from len(sizes) on
-    pairs: list[tuple[int, int]] = []
+    # a partial partition: its non-empty windows as sums, largest first, and
+    # their nodes; a node is an item, or from len(sizes) on a pair of nodes
     n = len(sizes)
-    heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes)]
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    made = 0
+    items = np.array(sizes, np.int64)
+    heap = [(-s, i, items[i : i + 1], np.array([i])) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     stamp = n
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
+        _, _, a, an = heapq.heappop(heap)
+        _, _, b, bn = heapq.heappop(heap)
         if len(a) < len(b):
-            a, b = b, a
+            a, an, b, bn = b, bn, a, an
         over = len(a) + len(b) - k
-        if over <= 0:
-            merged = a + b
-        else:
-            # the smallest `over` of a receive the largest... of b in opposite order
-            keep, low = a[: len(a) - over], a[len(a) - over :]
-            merged = keep + b[over:]
-            for (x, p), (y, q) in zip(reversed(low), b[:over]):
-                pairs.append((p, q))
-                merged.append((x + y, n + len(pairs) - 1))
-        merged.sort(reverse=True)
-        spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
-        heapq.heappush(heap, (-spread, stamp, merged))
+        if over > 0:  # the smallest `over` of a receive the largest of b, in opposite order
+            low = len(a) - over
+            left[made : made + over], right[made : made + over] = an[low:][::-1], bn[:over]
+            a, an = np.concatenate((a[:low], a[low:][::-1] + b[:over])), np.concatenate((an[:low], np.arange(n + made, n + made + over)))
+            b, bn = b[over:], bn[over:]
+            made += over
+        sums, nodes = np.concatenate((a, b)), np.concatenate((an, bn))
+        order = np.lexsort((-nodes, -sums))
+        sums, nodes = sums[order], nodes[order]
+        spread = sums[0] - (sums[-1] if len(sums) == k else 0)
+        heapq.heappush(heap, (-int(spread), stamp, sums, nodes))
         stamp += 1
     out: list[list[int]] = []
-    for _, node in heap[0][2] if heap else []:
-        items, todo = [], [node]
+    lefts, rights = left.tolist(), right.tolist()
+    for node in heap[0][3].tolist() if heap else []:
+        own, todo = [], [node]
         while todo:
             x = todo.pop()
             if x < n:
-                items.append(x)
+                own.append(x)
             else:
-                todo.extend(pairs[x - n])
-        out.append(items)
+                todo += (lefts[x - n], rights[x - n])
+        out.append(own)
     return out
 
 
@@ -86,16 +94,20 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, group_item
         raise ValueError("capacity must be positive")
     kind = dict(items.dtypes)[key]
     groups = max(1, math.ceil(items.count() / group_items))
-    whole = F.floor(F.col(size) / capacity).cast("int")
-    whole = F.when(F.col(size) <= capacity, 0).otherwise(whole)
-    # dealt in turn, from a start that differs by partition: equal keys do not meet
-    group = F.pmod(F.monotonically_increasing_id() + F.xxhash64(F.spark_partition_id()), F.lit(groups)).cast("int")
-    dealt = items.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("int").alias(size)).withColumns({"grp": group, "whole": whole})
+    # equal rows in runs of at most COPIES; a run's place depends on nothing but its content
+    once = items.groupBy(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("int").alias(size)).agg(F.count("*").alias("c"))
+    runs = once.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("c") - 1) / COPIES).cast("bigint"))))
+    copies = F.least(F.col("c") - F.col("run") * COPIES, F.lit(COPIES)).cast("int")
+    at = F.xxhash64(F.col(key), F.col(size), F.col("run"))
+    dealt = runs.select(F.col(key), size, copies.alias("copies"), at.alias("at")).withColumn("grp", F.pmod(F.col("at"), F.lit(groups)).cast("int"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at").reset_index(drop=True)
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
         base = int(pdf["grp"].iloc[0]) * STRIDE
         keys, rows, loose, at = pdf[key].tolist(), [], [], 0
-        for i, (total, full) in enumerate(zip(pdf[size].tolist(), pdf["whole"].tolist())):
+        for i, total in enumerate(pdf[size].tolist()):
+            full = total // capacity if total > capacity else 0
             for p in range(full):
                 rows.append((keys[i], p, p * capacity, capacity, base + at, capacity))
                 at += 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import abuse, encoding, languages, near_duplicates, packing, scans, similar_vectors, splitting
@@ -27,9 +29,28 @@ def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(sections, scans.decisions(sections, load(spark, d, "documents_meta")))
 
 
+_models: dict[tuple, object] = {}
+
+
+def _fitted(spark: SparkSession, fit: Callable[..., object], *tables: DataFrame) -> object:
+    """A model fitted once for the files of its tables; later queries of the
+    application take it from here.  Files are known by name, size and time."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = []
+    for f in sorted(x for t in tables for x in t.inputFiles()):
+        path = fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        files.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, fit.__module__, tuple(files))
+    if key not in _models:
+        _models[key] = fit(*tables)
+    return _models[key]
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     documents, metas, chunks, sections = (load(spark, d, t) for t in ("documents", "documents_meta", "chunks", "sections"))
-    return languages.label_rows(documents, metas, chunks, sections, languages.fit(documents))
+    return languages.label_rows(documents, metas, chunks, sections, _fitted(spark, languages.fit, documents))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,8 +62,8 @@ def p4_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_segments(spark: SparkSession, d: str) -> DataFrame:
-    documents = load(spark, d, "documents")
-    return languages.mixed_segments(documents, "doc_id", "text", languages.fit(documents))
+    documents, chunks, sections = (load(spark, d, t) for t in ("documents", "chunks", "sections"))
+    return languages.segment_rows(documents, chunks, sections, _fitted(spark, languages.fit, documents))
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +113,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str, *keys: str) -> DataFrame:
     documents = load(spark, d, "documents")
-    return abuse.score(documents, abuse.fit(documents, load(spark, d, "review_labels")), list(keys))
+    return abuse.score(documents, _fitted(spark, abuse.fit, documents, load(spark, d, "review_labels")), list(keys))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -127,4 +148,5 @@ QUERIES = {
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
 }
+#: Results that SQL can state; p8_fill by its sums, which no packing changes.
 SQL = {"p6_found": "SELECT DISTINCT document_id, ord FROM sections WHERE length(content) > 1500"}

@@ -66,18 +66,19 @@ _MISREAD_DIGITS = str.maketrans("lIi|!oOsSzZbBg", "11111005522889")
 INSTITUTION = "khoa bộ_môn trường đại_học học_viện viện faculty school department university institute college faculté école département université institut fakultät abteilung lehrstuhl fachbereich universität hochschule fachschule schule akademie"
 #: Most frequent words that need no second look: a bound on what is broadcast.
 KNOWN_WORDS = 30_000
-LONGEST = 25
+#: Characters from which a token must be letters for the most part to be a word: not an address or a key.
+LONG = 25
 
 
 def parts_of(token: str) -> list[str]:
     """The words of a token, composed and in lower case: between apostrophes,
     and if hyphenated both the whole and its parts."""
     t = unicodedata.normalize("NFC", token).strip(_STRIP).lower()
-    if not t or len(t) > 60 or not _LETTER.search(t):
+    if not t or not _LETTER.search(t):
         return []
     out = []
     for w in re.split(r"['’]", t):
-        if len(w) > LONGEST or "_" in w and "|_" not in w or not _LETTER.search(w):
+        if len(w) > LONG and sum(c.isalpha() or c == "-" for c in w) < 0.85 * len(w) or "_" in w and "|_" not in w or not _LETTER.search(w):
             continue
         out.append(w)
         if "-" in w.strip("-"):
@@ -161,7 +162,7 @@ def roman(n: int) -> str:
 def page_number(line: str, page: int | None, edge: bool, table: bool) -> bool:
     """Is the line nothing but a page number?  ``edge``: first or last line."""
     s = line.strip()
-    if not s or len(s) > 24:
+    if not s or len(s) > 24 and sum(c.isalnum() for c in s) > 16:
         return False
     m = _PAGE.match(s)
     if not m:
@@ -196,7 +197,7 @@ def _running_core(line: str) -> str:
 def may_run(line: str) -> bool:
     """Could the line be a running title?"""
     core = _running_core(line)
-    return 8 <= len(core) <= 140 and core[-1] not in ".;,?!…:" and core[-1] not in HYPHENS and not _NUMBERED.match(core) and "...." not in core and len(core.split()) >= 2 and (
+    return len(core) >= 8 and core[-1] not in ".;,?!…:" and core[-1] not in HYPHENS and not _NUMBERED.match(core) and "...." not in core and len(core.split()) >= 2 and (
         core[0].isupper() or not core[0].isalpha() or core != line.strip())
 
 

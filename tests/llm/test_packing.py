@@ -37,3 +37,11 @@ def test_irregular_rows(spark):
     assert P.pack(df.limit(0), "doc_id", "n_tokens").count() == 0
     with pytest.raises(ValueError):
         P.pack(df, "doc_id", "n_tokens", 0)
+
+
+def test_same_containers_whatever_the_layout(spark):
+    rows = [(i % 400, i * 37 % 900) for i in range(900)] + [(7, 500)] * 700 + [(None, 3)] * 5
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens int")
+    one = sorted(map(tuple, P.pack(df.repartition(1), "doc_id", "n_tokens", 2048, 200).fillna(-1).collect()))
+    assert one == sorted(map(tuple, P.pack(df.repartition(7, "n_tokens"), "doc_id", "n_tokens", 2048, 200).fillna(-1).collect()))
+    assert len(one) == len(rows) and len({r[4] >> 24 for r in one if r[0] == 7 and r[3] == 500}) > 3
