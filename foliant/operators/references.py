@@ -9,16 +9,21 @@ time of a version (infinity if it lives), that is an as-of question::
 so no pairs of reference and version are ever formed.  References are split by
 skew:
 
-* they are pre-aggregated per key and month; keys above ``heavy_share`` of all
-  references (at most ``1 / heavy_share`` of them) are *heavy*;
-* heavy keys with at most ``broadcast_versions`` target versions each are
-  resolved against a broadcast step function, whose size is thereby proven to
-  be at most ``broadcast_versions / heavy_share`` entries, without a shuffle;
-* heavy keys with longer histories are cut into salted (key, hour) cells, each
-  seeded with the running state at its start;
+* they are pre-aggregated per key and month; keys with at least
+  ``heavy_rows`` references, or ``heavy_share`` of all where that is more, are
+  *heavy*: at most ``1 / heavy_share`` keys, and no other key has more rows
+  than a small part of a task;
+* heavy keys are resolved against a broadcast step function, those with the
+  shortest histories first, as long as all steps together are at most
+  ``broadcast_steps``, without a shuffle;
+* the other heavy keys are cut into salted (key, hour) cells, each seeded with
+  the running state at its start;
 * all other keys are shuffled once, references together with versions, and
   resolved by one running maximum per key.
 
+The report needs no single references: those of equal target, key, time and
+origin are counted first, and the counts are resolved.
+
 Definitions for irregular input: a null reference is no reference; an empty
 key (after trimming) is one and is ``missing``; a reference without time can
 not resolve, and is ``missing`` or ``deleted``; a version without created_at
@@ -30,6 +35,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -46,12 +52,12 @@ HOUR = 3_600_000_000
 @dataclass(frozen=True)
 class SkewPolicy:
     """heavy_share: share of all references from which a key is heavy;
-    heavy_rows: rows below which no key is; broadcast_versions: see module;
-    salts: parts of a heavy cell."""
+    heavy_rows: rows below which no key is; broadcast_steps: steps that are
+    broadcast at most, of all heavy keys together; salts: parts of a heavy cell."""
 
-    heavy_share: float = 0.01
+    heavy_share: float = 0.00001
     heavy_rows: int = 20_000
-    broadcast_versions: int = 256
+    broadcast_steps: int = 200_000
     salts: int = 32
 
 
@@ -129,13 +135,13 @@ def _running(rows: DataFrame, part: list[str]) -> DataFrame:
     )
 
 
-_OUT = ["src_table", "src_field", "src_key", "t", "kind"]
+_OUT = ["src_table", "src_field", "src_key", "t", "refs", "kind"]
 
 
 def _ref_rows(refs: DataFrame, *more: str) -> DataFrame:
     return refs.select(
         "target", "key", *more, F.unix_micros("t").alias("at"), F.lit(1).alias("is_ref"), F.lit(None).cast("long").alias("stop"),
-        F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("dated"), "src_table", "src_field", "src_key", "t",
+        F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("dated"), "src_table", "src_field", "src_key", "t", "refs",
     )
 
 
@@ -149,18 +155,27 @@ def _version_rows(vers: DataFrame, *more: str) -> DataFrame:
 
 
 def heavy_keys(refs: DataFrame, policy: SkewPolicy) -> list[tuple[str, str]]:
-    """Keys that hold at least ``heavy_share`` of the references: a list of at
-    most ``1 / heavy_share`` entries, whatever the input's size."""
+    """Keys with very many rows: a list of at most ``1 / heavy_share`` entries,
+    whatever the input's size."""
     per_month = refs.groupBy("target", "key", utc_month(F.col("t")).alias("month")).agg(F.count("*").alias("n"))
     per_key = per_month.groupBy("target", "key").agg(F.sum("n").alias("n"))
     total = refs.count()
-    least = max(policy.heavy_rows, int(total * policy.heavy_share))
+    least = max(policy.heavy_rows, math.ceil(total * policy.heavy_share))
     return [(r.target, r.key) for r in per_key.where(F.col("n") >= least).collect()]
 
 
+def counted(refs: DataFrame) -> DataFrame:
+    """References of equal target, key, time and origin as one row with their
+    number, counted in each task first."""
+    return refs.groupBy("target", "key", "t", "src_table", "src_field").agg(F.count("*").alias("refs")).withColumn("src_key", F.lit(None).cast("string"))
+
+
 def resolve(refs: DataFrame, vers: DataFrame, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """Every reference row with its ``kind`` (null where it resolves)."""
+    """Every reference row (or counted row) with its ``kind`` (null where it
+    resolves) and the references it stands for."""
     spark = refs.sparkSession
+    if "refs" not in refs.columns:
+        refs = refs.withColumn("refs", F.lit(1).cast("long"))
     heavy = heavy_keys(refs, policy)
     light_refs, light_vers = refs, vers
     parts = []
@@ -170,11 +185,15 @@ def resolve(refs: DataFrame, vers: DataFrame, policy: SkewPolicy = SkewPolicy())
         light_refs, light_vers = (x.join(hot, ["target", "key"], "left_anti") for x in (refs, vers))
         hot_refs, hot_vers = (x.join(hot, ["target", "key"], "left_semi") for x in (refs, vers))
         steps = hot_vers.groupBy("target", "key", "start").agg(F.max("stop").alias("stop"))
-        sizes = {(r.target, r.key): r.n for r in steps.groupBy("target", "key").agg(F.count("*").alias("n")).collect()}
-        for some, how in (
-            ([k for k in heavy if sizes.get(k, 0) <= policy.broadcast_versions], _by_steps),
-            ([k for k in heavy if sizes.get(k, 0) > policy.broadcast_versions], _by_cells),
-        ):
+        sizes = {(r.target, r.key): r.n for r in steps.groupBy("target", "key").agg(F.count("*").alias("n")).collect()}  # at most 1 / heavy_share rows
+        short, total = [], 0
+        for k in sorted(heavy, key=lambda k: (sizes.get(k, 0), k)):
+            total += sizes.get(k, 0)
+            if total > policy.broadcast_steps:
+                break
+            short.append(k)
+        known = set(short)
+        for some, how in ((short, _by_steps), ([k for k in heavy if k not in known], _by_cells)):
             if some:
                 mine = F.broadcast(spark.createDataFrame(some, "target string, key string"))
                 parts.append(how(
@@ -246,9 +265,9 @@ def unresolved(resolved: DataFrame) -> DataFrame:
 
 def report(resolved: DataFrame) -> DataFrame:
     """References and orphans of every kind per table, field and month."""
-    count = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(k)
+    count = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("refs"))), F.lit(0)).alias(k)
     return (
         resolved.groupBy("src_table", "src_field", utc_month(F.col("t")).alias("ref_month"))
-        .agg(F.count("*").alias("refs"), count("missing"), count("late"), count("deleted"))
+        .agg(F.sum("refs").alias("refs"), count("missing"), count("late"), count("deleted"))
         .withColumn("orphan_share", F.round((F.col("missing") + F.col("late") + F.col("deleted")) / F.col("refs"), 6))
     )

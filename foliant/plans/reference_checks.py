@@ -8,9 +8,10 @@ from foliant.operators import references as R
 from foliant.session import load
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str, counts: bool = False) -> DataFrame:
     chunks = load(spark, sf_dir, "chunks")
     refs = R.references(chunks, load(spark, sf_dir, "chunk_lo_mappings"))
+    refs = R.counted(refs) if counts else refs
     vers = R.versions(load(spark, sf_dir, "documents_meta"), chunks, load(spark, sf_dir, "learning_outcomes"))
     return R.resolve(refs, vers)
 
@@ -20,7 +21,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.report(_resolved(spark, sf_dir))
+    return R.report(_resolved(spark, sf_dir, counts=True))
 
 
 _RESOLVED_SQL = """

@@ -37,7 +37,7 @@ def frames(spark, refs, vers):
 
 
 @pytest.mark.parametrize("policy", [
-    R.SkewPolicy(), R.SkewPolicy(heavy_share=0.01, heavy_rows=5), R.SkewPolicy(heavy_share=0.01, heavy_rows=5, broadcast_versions=2, salts=3)])
+    R.SkewPolicy(), R.SkewPolicy(heavy_share=0.01, heavy_rows=5), R.SkewPolicy(heavy_share=0.01, heavy_rows=5, broadcast_steps=4, salts=3), R.SkewPolicy(heavy_share=0.01, heavy_rows=5, broadcast_steps=0)])
 def test_all_paths_agree_with_brute_force(spark, policy):
     rng = random.Random(7)
     when = lambda: T0 + timedelta(hours=rng.randrange(200), minutes=rng.randrange(3))
@@ -50,6 +50,8 @@ def test_all_paths_agree_with_brute_force(spark, policy):
     r, v = frames(spark, refs, vers)
     got = sorted(((x.src_key, x.kind) for x in R.resolve(r, v, policy).collect()), key=str)
     assert got == brute(refs, vers)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(R.report(R.resolve(R.counted(r.unionByName(r)), v, policy))) == rows(R.report(R.resolve(r.unionByName(r), v, policy)))
 
 
 def test_keys_and_irregular_rows(spark):
