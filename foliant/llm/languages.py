@@ -359,7 +359,7 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         return train([])
     each = FIT_ROWS // L
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * each / n + 64 / n)))))
-    hashed = rows.withColumn("at", F.pmod(F.xxhash64("text"), F.lit(1 << 40))).where(F.col("at") < F.element_at(share, "label") * (1 << 40))
+    hashed = rows.withColumn("at", F.pmod(F.xxhash64("text"), F.lit(1 << 40))).where(F.col("at") < F.element_at(share, F.col("label")) * (1 << 40))
     begin = F.pmod(F.col("at"), F.greatest(F.length("text") - FIT_CHARS, F.lit(1))) + 1
     drawn = hashed.select("label", "at", F.substring("text", begin.cast("int"), F.lit(FIT_CHARS)).alias("text")).collect()
     by_label: dict[str, list] = {}

@@ -88,3 +88,15 @@ def test_irregular_rows(spark, model):
     assert got == {("documents", "4", "en"), ("documents", "5", "mixed"), ("documents", "7", "de"), ("chunks", "c", "fr"), ("documents_meta", "d", "vi")}
     e = [x.limit(0) for x in (docs, metas, chunks, secs)]
     assert G.mislabelled(G.label_rows(*e, G.fit(e[0]))).count() == 0
+
+
+def test_sample_is_even_and_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(G, "train", lambda samples, **_: samples)
+    monkeypatch.setattr(G, "FIT_ROWS", 80)
+    rows = [(f"{SAMPLES[k]} {i}", k.upper() if i % 2 else k) for k, n in (("en", 400), ("fr", 15), ("de", 60)) for i in range(n)] + [(" ", "en"), (None, "en"), ("x", "??"), (SAMPLES["en"] * 400, "vi-VN")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = G.fit(df.repartition(1))
+    assert got == G.fit(df.repartition(6, "text"))
+    assert {k: sum(x == k for _, x in got) for k in G.LANGS} == {"vi": 1, "en": 20, "fr": 15, "de": 20}
+    assert max(len(t) for t, _ in got) == G.FIT_CHARS
+    assert G.fit(df.limit(0)) == []
