@@ -216,6 +216,11 @@ class Sample:
         by_word = self._in_texts(self.flat, self.n_words, every)
         return np.bincount(self.cols, by_word[self.rows], DIM) + self._in_texts(self.pairs, DIM, every) >= least
 
+    def keep(self, features: np.ndarray) -> None:
+        """Forget features whose weights stay zero."""
+        some = features[self.cols]
+        self.rows, self.cols = self.rows[some], self.cols[some]
+
     def log_odds(self, label: np.ndarray, smooth: float = 4.0) -> np.ndarray:
         """Sum over each window of the log-odds of its words and pairs."""
         share = label.mean().clip(0.01, 0.99)
@@ -241,17 +246,23 @@ class Sample:
         return np.bincount(self.cols, per_word[self.rows], DIM) + np.bincount(self.pairs, per_pair, DIM)
 
 
+_LISTED = [[n.split("_") for n in names.split()] for names in GROUPS.values()]
+_BY_FIRST: dict[str, list[tuple[int, int]]] = {}
+for _l, _names in enumerate(_LISTED):
+    for _g, _n in enumerate(_names):
+        _BY_FIRST.setdefault(_n[0], []).append((_l, _g))
+
+
 def swapped(sentence: list[str], rng: random.Random) -> list[list[str]]:
-    """The sentence with the group it names replaced, for some other groups."""
+    """The sentence with the group it names replaced, for some other groups;
+    of several names the one listed first."""
     low = [t.lower().strip(".,;:!?()\"'") for t in sentence]
-    for names in GROUPS.values():
-        listed = [n.split("_") for n in names.split()]
-        for g in listed:
-            for i in range(len(low) - len(g) + 1):
-                if low[i : i + len(g)] == g:
-                    others = rng.sample([o for o in listed if o != g], SWAPS)
-                    return [sentence[:i] + o + sentence[i + len(g) :] for o in others]
-    return []
+    met = [(l, g, i) for i, t in enumerate(low) for l, g in _BY_FIRST.get(t, ()) if low[i : i + len(_LISTED[l][g])] == _LISTED[l][g]]
+    if not met:
+        return []
+    l, g, i = min(met)
+    name = _LISTED[l][g]
+    return [sentence[:i] + o + sentence[i + len(name) :] for o in rng.sample([o for o in _LISTED[l] if o != name], SWAPS)]
 
 
 def train(reviews: list[tuple[str, int]], rounds: int = 40, swaps: bool = True) -> Model:
@@ -282,6 +293,9 @@ def train(reviews: list[tuple[str, int]], rounds: int = 40, swaps: bool = True)
         same.end = np.cumsum(lengths)
         same.begin = same.end - lengths
     trained = sample.frequent(3)
+    for x in (sample, same):
+        if x:
+            x.keep(trained)
     flagged = label[sample.owner] == 1
     # halves of the texts; built-in sentences belong to both
     half = np.arange(len(texts)) % 2

@@ -77,13 +77,36 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Fewest windows, from the lower bound on, that differencing can fill."""
-    k = max(1, math.ceil(sum(sizes) / capacity))
-    while True:
+    """Fewest windows that differencing can fill.
+
+    The count rises from the lower bound whenever the capacity is exceeded.
+    How far the fullest window is above the mean hardly changes with the count,
+    so the first rise goes to the count at which it would fit, and from there
+    down as long as it fits, or up until it does."""
+    total = sum(sizes)
+
+    def fill(k: int) -> tuple[list[list[int]], int]:
         out = differencing(sizes, k)
-        if all(sum(sizes[i] for i in w) <= capacity for w in out):
-            return out
-        k += 1
+        return out, max((sum(sizes[i] for i in w) for w in out), default=0)
+
+    least = max(1, math.ceil(total / capacity))
+    out, fullest = fill(least)
+    if fullest <= capacity:
+        return out
+    above = fullest - total / least
+    k = max(least + 1, math.ceil(total / (capacity - above)) if above < capacity else 0)
+    out, fullest = fill(k)
+    if fullest > capacity:
+        while fullest > capacity:
+            k += 1
+            out, fullest = fill(k)
+        return out
+    while k - 1 > least:
+        fewer, fullest = fill(k - 1)
+        if fullest > capacity:
+            break
+        out, k = fewer, k - 1
+    return out
 
 
 def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, group_items: int = 4096) -> DataFrame:
