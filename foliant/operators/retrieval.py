@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,37 +197,6 @@ def path_matches(path: Column, expected: Column) -> Column:
     return F.coalesce(F.slice(path, F.lit(1), F.greatest(n, F.lit(1))) == F.slice(expected, F.lit(1), F.greatest(n, F.lit(1))), F.lit(False))
 
 
-def paired_bootstrap(scores: DataFrame, resamples: int = 10_000, seed: int = 0, parts: int = 20) -> DataFrame:
-    """Mean difference of two variants' scores, its 95 % interval by paired
-    resampling, and the exact McNemar test of their hits.
-
-    Resamples are spread over tasks; a task holds the questions' differences
-    (one number each), which are checked to be at most a million.
-    """
-    pdf = scores.select("base", "other").limit(1_000_001).toPandas()
-    if len(pdf) > 1_000_000:
-        raise ValueError("too many questions to resample")
-    diff = (pdf["other"] - pdf["base"]).to_numpy()
-    shared = scores.sparkSession.sparkContext.broadcast(diff)
-
-    def run(batches):
-        import numpy as np
-
-        for b in batches:
-            for part in b["part"]:
-                rng = np.random.default_rng([seed, int(part)])
-                d = shared.value
-                yield pd.DataFrame({"mean": [d[rng.integers(0, len(d), len(d))].mean() if len(d) else 0.0 for _ in range(resamples // parts)]})
-
-    means = scores.sparkSession.range(parts, numPartitions=parts).withColumnRenamed("id", "part").mapInPandas(run, "mean double")
-    won, lost = int(((pdf["other"] > 0) & (pdf["base"] == 0)).sum()), int(((pdf["base"] > 0) & (pdf["other"] == 0)).sum())
-    n = won + lost
-    p = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(won, lost) + 1)) / 2**n) if n else 1.0
-    return means.agg(
-        F.lit(len(diff)).alias("questions"), F.lit(float(diff.mean()) if len(diff) else 0.0).alias("difference"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"),
-        F.lit(won).alias("won"), F.lit(lost).alias("lost"), F.lit(p).alias("mcnemar_p"))
-
-
 def size_statistics(chunks: DataFrame, small: int = 200, large: int = 1500) -> DataFrame:
     """Counts and nearest-rank percentiles of chunk sizes by type."""
     n = F.length("content")

@@ -79,6 +79,8 @@ SELECT document_id, ord, (b OR e) AND max(CASE WHEN b THEN 1 ELSE 0 END) OVER (P
 SELECT document_id, ord, coalesce(n, 0) AS sentences FROM k LEFT JOIN n ON n.row = k.row""",
     "repaired_paragraphs": r"""SELECT document_id, ord, md5(trim(regexp_replace(regexp_replace(content, '(\p{Ll})-\r?\n(\p{Ll})', '\1\2', 'g'), '\s+', ' ', 'g'))) AS text_md5,
 len(regexp_extract_all(content, '[\p{L}\p{N}\p{M}_]+')) AS words FROM (SELECT DISTINCT document_id, ord, content FROM sections WHERE content IS NOT NULL)""",
+    "concept_keys": """SELECT substring(trim(regexp_replace(regexp_replace(replace(replace(strip_accents(lower(title)), 'đ', 'd'), 'ß', 'ss'), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 120) AS concept, count(*) AS titles
+FROM (SELECT DISTINCT title FROM documents_meta WHERE title IS NOT NULL) GROUP BY 1""",
     "section_paths": f"""WITH s AS (SELECT document_id, ord, max(heading) AS heading, max(heading_level) AS heading_level FROM sections WHERE document_id IS NOT NULL AND ord IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT document_id, ord, {_H(1)}, {_H(2)}, {_H(3)} FROM s WINDOW w AS (PARTITION BY document_id ORDER BY ord ROWS UNBOUNDED PRECEDING))
 SELECT document_id, ord, concat_ws(' > ', h1, CASE WHEN a1 IS NULL OR a1 <= a2 THEN h2 END, CASE WHEN (a1 IS NULL OR a1 <= a3) AND (a2 IS NULL OR a2 <= a3) THEN h3 END) AS path FROM x""",

@@ -217,6 +217,9 @@ h2 AS (SELECT *, 2 AS hop FROM rel WHERE (source_key IN (SELECT key FROM f) OR t
   ORDER BY created_at, relation_id LIMIT (SELECT 60 - count(*) FROM h1))
 SELECT relation_id, hop, row_number() OVER (ORDER BY hop, created_at, relation_id) AS rank FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)""",
 }
+SQL["heading_graph_without_document"] = f"""WITH gone AS (SELECT min(document_id) AS g FROM chunks WHERE document_id IS NOT NULL), n AS ({SQL['heading_graph_nodes']}), e AS ({SQL['heading_graph_edges']})
+SELECT 'node' AS what, heading_id AS id FROM n WHERE document_id <> (SELECT g FROM gone)
+UNION ALL SELECT kind, source || ' -> ' || target FROM e WHERE source <> (SELECT g FROM gone) AND NOT starts_with(source, (SELECT g FROM gone) || ':') AND NOT starts_with(target, (SELECT g FROM gone) || ':')"""
 QUERIES = {f.__name__: f for f in (
     chunk_snapshot_replace, soft_deleted_chunks, mapping_upsert, mappings_without_inferred, concept_upsert, outbox_replace, event_validation, job_dedupe, event_histogram,
     usage_by_user, heading_graph_nodes, heading_graph_edges, heading_graph_without_document, mention_projection, node_degrees, relations_1hop, relations_2hop)}

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import vectors as V
+from foliant.operators import evaluation as E
 from foliant.operators import reads as R
 from foliant.operators import retrieval as T
 from foliant.plans import curriculum as K
@@ -210,7 +211,7 @@ def retrieval_paired(s, d):
     def rr(r, name):
         return of.join(r, "query_id").groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("label") == F.col("wanted"), 1 / F.col("rank"))), F.lit(0.0)).alias(name))
 
-    return T.paired_bootstrap(rr(base, "base").join(rr(ranked, "other"), "query_id"))
+    return E.paired_bootstrap(rr(base, "base").join(rr(ranked, "other"), "query_id"))
 
 
 def path_eval(s, d):

@@ -150,6 +150,12 @@ FROM pairs p JOIN c ON c.chunk_id = p.chunk_id WHERE c.deleted_at IS NULL AND c.
     "outcome_chunks": WITH + """, m AS (SELECT chunk_id, lo_id, max(confidence) AS confidence FROM chunk_lo_mappings WHERE lo_id IS NOT NULL GROUP BY 1, 2)
 SELECT m.lo_id, m.chunk_id, m.confidence, v.role, row_number() OVER (PARTITION BY m.lo_id ORDER BY coalesce(v.role = 'reference', false), m.confidence DESC NULLS LAST, c.sort_order NULLS LAST, m.chunk_id) AS rank
 FROM m JOIN c ON c.chunk_id = m.chunk_id JOIN visible v ON v.document_id = c.document_id WHERE c.deleted_at IS NULL""",
+    "chunk_ids": """WITH c AS (SELECT DISTINCT chunk_id, document_id, content_hash, content FROM chunks),
+u AS (SELECT *, lower(replace(document_id, '-', '')) AS hx, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(document_id)) AS hd, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_id)) AS hc FROM c)
+SELECT chunk_id, CASE WHEN document_id IS NULL THEN NULL WHEN regexp_full_match(document_id, '[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}') THEN concat_ws('-', hx[1:8], hx[9:12], hx[13:16], hx[17:20], hx[21:32])
+ELSE concat_ws('-', hd[1:8], hd[9:12], '5' || hd[14:16], translate(hd[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || hd[18:20], hd[21:32]) END AS document_uuid,
+CASE WHEN chunk_id IS NOT NULL THEN concat_ws('-', hc[1:8], hc[9:12], '5' || hc[14:16], translate(hc[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || hc[18:20], hc[21:32]) END AS name_uuid,
+md5(content) AS content_md5, sha1(content) AS content_sha1, sha256(content) AS content_sha256 FROM u""",
     "job_ids": """SELECT document_id || '-g' || processing_generation AS job_id, count(*) AS deliveries, min(created_at) AS first_at
 FROM documents_meta WHERE document_id IS NOT NULL AND processing_generation >= 0 GROUP BY 1""",
     "outcome_codes": """SELECT lo_id, code, CASE WHEN len(string_split(code, '.')) > 3 THEN regexp_replace(code, '\\.[^.]+$', '') END AS derived_parent, len(string_split(code, '.')) AS parts,
