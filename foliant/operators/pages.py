@@ -223,3 +223,61 @@ def toc_sections(scored: DataFrame) -> DataFrame:
     begins = F.min("idx").over(Window.partitionBy("document_id", "run"))
     last = F.greatest(F.lit(3), F.floor(F.col("total") * 0.25)) + 5
     return marked.withColumn("begins", begins).where(F.col("begins") <= last).select("document_id", "ord", "score")
+
+
+# Bands at the top and bottom of a page that are its margin.
+MARGIN_BAND = 0.07
+
+
+def lines_of(spans: DataFrame) -> DataFrame:
+    """Lines from spans ``(document_id, page, height, ord, span, text, size,
+    flags, bbox)``: their texts joined, the style of the longest span (bold:
+    flag 16, italic: flag 2), and whether the line lies wholly in a margin;
+    blank lines leave."""
+    longest = F.max_by(F.struct("size", "flags"), F.struct(F.length("text"), -F.col("span")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), "")
+    lines = spans.where("text IS NOT NULL").groupBy("document_id", "page", "ord").agg(
+        F.btrim(text).alias("text"), longest.alias("style"), F.max("height").alias("height"), F.min("bbox.y0").alias("y0"), F.max("bbox.y1").alias("y1"))
+    in_margin = (F.col("y1") <= F.col("height") * MARGIN_BAND) | (F.col("y0") >= F.col("height") * (1 - MARGIN_BAND))
+    flag = lambda n: F.col("style.flags").bitwiseAND(F.lit(n)) > 0
+    return lines.where("text <> ''").select("document_id", "page", "ord", "text", F.col("style.size").alias("size"), flag(16).alias("bold"), flag(2).alias("italic"), in_margin.alias("margin"))
+
+
+def measured(lines: DataFrame, areas: DataFrame, layout: DataFrame) -> DataFrame:
+    """Metrics of pages for ``classify``: characters and lines outside the
+    margins; drawings count only where there is little text and no image that
+    covers the page, columns and tables only where there is enough text.
+    ``areas (document_id, page, image_area_ratio, drawing_count)``; ``layout
+    (document_id, page, multi_column, table_count)``."""
+    keys = ["document_id", "page"]
+    text = lines.where(~F.coalesce("margin", F.lit(False))).groupBy(*keys).agg(F.sum(F.length("text")).cast("int").alias("char_count"), F.count("*").cast("int").alias("line_count"))
+    every = areas.join(text, keys, "full").join(layout, keys, "left")
+    chars, ratio = F.coalesce("char_count", F.lit(0)), F.coalesce("image_area_ratio", F.lit(0.0))
+    enough = chars >= MIN_CHARS
+    return every.select(
+        *keys, chars.alias("char_count"), F.coalesce("line_count", F.lit(0)).alias("line_count"), ratio.alias("image_area_ratio"),
+        F.when(~enough & (ratio < SCAN_COVERAGE), F.coalesce("drawing_count", F.lit(0))).otherwise(0).alias("drawing_count"),
+        (enough & F.coalesce("multi_column", F.lit(False))).alias("multi_column"), F.when(enough, F.coalesce("table_count", F.lit(0))).otherwise(0).alias("table_count"))
+
+
+def report_rows(assessed: DataFrame, backend: str) -> DataFrame:
+    """Rows of the page report after the first reader: it holds a page if it
+    has characters and needs no other reading."""
+    held = (F.col("char_count") > 0) & (F.col("status") != "needs_ocr")
+    return assessed.select("document_id", "page", "status", F.col("char_count").alias("chars"), "reasons", F.array(F.lit(backend)).alias("attempts"), F.when(held, F.lit(backend)).alias("parsed_by"), F.lit(False).alias("layout_aware"))
+
+
+def images_within(images: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Images of each document in order, as long as all before and itself are
+    within the budget; the rest is left out without an error."""
+    run = F.sum(F.coalesce("bytes", F.lit(0))).over(Window.partitionBy("document_id").orderBy("page", "nth"))
+    return images.withColumn("run", run).where(F.col("run") <= most_bytes).drop("run")
+
+
+def placed_in_range(sections: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections that a reader made of ranges of pages, on their pages: blank
+    ones leave, those without a page belong to the first of their range, those
+    outside come back apart.  ``ranges (document_id, range_no, first, last)``."""
+    met = sections.where(F.btrim(F.coalesce("content", F.lit(""))) != "").join(ranges, ["document_id", "range_no"]).withColumn("page_number", F.coalesce("page_number", "first"))
+    inside = F.col("page_number").between(F.col("first"), F.col("last"))
+    return met.where(inside).drop("first", "last"), met.where(~inside).drop("first", "last")

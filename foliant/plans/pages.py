@@ -119,6 +119,25 @@ def pages_at(s, d):
     return P.pages_at(asked, spans)
 
 
+def page_measures(s, d):
+    """Spans from the lines of sections, three words each; two thirds of a
+    page's images cover it."""
+    lines = _lines(s, d).where("length(text) < 4000")
+    words = F.split(F.btrim("text"), " ")
+    spans = lines.select("document_id", "page", (F.col("ord") * 100_000 + F.col("pos")).alias("ord"), F.posexplode(words).alias("span", "text"), "size", F.when(F.col("bold"), 16).otherwise(0).alias("flags"),
+                         F.lit(100.0).alias("height"), F.struct(F.lit(0.0).alias("x0"), F.when(F.col("margin"), 1.0).otherwise(40.0).alias("y0"), F.lit(9.0).alias("x1"), F.when(F.col("margin"), 5.0).otherwise(50.0).alias("y1")).alias("bbox"))
+    sec = load(s, d, "sections").where("page_number IS NOT NULL").select("document_id", "ord", "page_number", "element_type", F.size(F.coalesce("images", F.array())).alias("images")).distinct()
+    areas = sec.groupBy("document_id", F.col("page_number").alias("page")).agg(F.least(F.sum("images") * 0.3, F.lit(1.0)).alias("image_area_ratio"), F.count_if(F.col("element_type") == "code").cast("int").alias("drawing_count"))
+    layout = sec.groupBy("document_id", F.col("page_number").alias("page")).agg((F.count("*") > 2).alias("multi_column"), F.count_if(F.col("element_type") == "table").cast("int").alias("table_count"))
+    rows = P.report_rows(P.classify(P.measured(P.lines_of(spans), areas, layout)), "text")
+    return rows.select("document_id", "page", "status", "chars", F.array_join("reasons", ",").alias("reasons"), "parsed_by")
+
+
+def images_in_budget(s, d):
+    sec = load(s, d, "sections").where("document_id IS NOT NULL").groupBy("document_id", "ord").agg(F.max("images").alias("images"), F.max(F.length("content")).alias("n"))
+    return P.images_within(sec.select("document_id", F.col("ord").alias("page"), F.posexplode("images").alias("nth", "name"), (F.col("n") * 10).alias("bytes")), 9_000).select("document_id", "page", "nth", "name")
+
+
 _R = """r AS (SELECT document_id, page, max(status) AS status, max(chars) AS chars, max(attempts) AS attempts, max(parsed_by) AS parsed_by, max(layout_aware) AS layout_aware FROM page_report GROUP BY 1, 2)"""
 _RANGES = f"""{_R}, n AS (SELECT document_id, page, page - row_number() OVER (PARTITION BY document_id ORDER BY page) AS run FROM r WHERE status = 'needs_ocr' AND page IS NOT NULL),
 ranges AS (SELECT document_id, min(page) AS first, max(page) AS last FROM n GROUP BY document_id, run)"""
@@ -192,6 +211,16 @@ SELECT document_id, ord, md5(CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.document_
     "toc_score": f"WITH {_TOC} SELECT document_id, ord, score FROM scored",
     "toc_sections": f"""WITH {_TOC}, a AS (SELECT *, sum(CASE WHEN score >= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY idx) AS run FROM scored),
 b AS (SELECT *, min(idx) OVER (PARTITION BY document_id, run) AS begins FROM a WHERE score >= 2) SELECT document_id, ord, score FROM b WHERE begins <= greatest(3, floor(total * 0.25)) + 5""",
+    "page_measures": f"""WITH {_LINES}, t AS (SELECT document_id, page, sum(length(replace(trim(text), ' ', ''))) AS chars FROM lines WHERE NOT margin AND length(text) < 4000 GROUP BY 1, 2),
+sec2 AS (SELECT DISTINCT document_id, ord, page_number AS page, element_type, coalesce(len(images), 0) AS images FROM sections WHERE page_number IS NOT NULL),
+g AS (SELECT document_id, page, least(sum(images) * 0.3, 1.0) AS ratio, count(*) FILTER (element_type = 'code') AS drawings, count(*) > 2 AS cols, count(*) FILTER (element_type = 'table') AS tables FROM sec2 GROUP BY 1, 2),
+px AS (SELECT g.document_id, g.page, coalesce(chars, 0) AS chars, ratio, cols, tables, CASE WHEN coalesce(chars, 0) < 40 AND ratio < 0.5 THEN drawings ELSE 0 END AS drawings, coalesce(chars, 0) >= 40 AS enough FROM g LEFT JOIN t ON t.document_id = g.document_id AND t.page = g.page),
+py AS (SELECT *, CASE WHEN enough AND (cols OR tables > 0) THEN 'complex_layout' WHEN enough THEN 'text' WHEN ratio > 0 OR drawings > 0 THEN 'needs_ocr' WHEN chars > 0 THEN 'text' ELSE 'empty' END AS status FROM px)
+SELECT document_id, page, status, CAST(chars AS INT) AS chars, concat_ws(',', CASE WHEN enough AND cols THEN 'multi_column' END, CASE WHEN enough AND tables > 0 THEN 'table_detected' END, CASE WHEN NOT enough AND ratio >= 0.5 THEN 'image_page' END,
+CASE WHEN NOT enough AND ratio < 0.5 AND (ratio > 0 OR drawings > 0) THEN 'no_text_layer' END, CASE WHEN NOT enough AND ratio = 0 AND drawings = 0 AND chars > 0 THEN 'sparse_text' END) AS reasons,
+CASE WHEN chars > 0 AND status <> 'needs_ocr' THEN 'text' END AS parsed_by FROM py""",
+    "images_in_budget": """WITH s AS (SELECT document_id, ord, max(images) AS images, max(length(content)) AS n FROM sections WHERE document_id IS NOT NULL GROUP BY 1, 2), i AS (SELECT document_id, ord AS page, unnest(images) AS name, generate_subscripts(images, 1) - 1 AS nth, coalesce(n * 10, 0) AS b FROM s),
+r AS (SELECT *, sum(b) OVER (PARTITION BY document_id ORDER BY page, nth) AS run FROM i) SELECT document_id, page, nth, name FROM r WHERE run <= 9000""",
     "pages_at": """WITH sec AS (SELECT document_id, ord, max(length(content)) AS n, max(page_number) AS page FROM sections GROUP BY 1, 2 HAVING max(length(content)) > 0),
 sp AS (SELECT document_id, page, sum(n) OVER (PARTITION BY document_id ORDER BY ord) - n AS s, sum(n) OVER (PARTITION BY document_id ORDER BY ord) - 1 AS e FROM sec),
 o AS (SELECT document_id, unnest(range(0, CAST(max(e) + 1 AS BIGINT), 1000)) AS "offset" FROM sp GROUP BY document_id)
@@ -199,4 +228,4 @@ SELECT o.document_id, o."offset", sp.page FROM o JOIN sp ON sp.document_id = o.d
 }
 QUERIES = {f.__name__: f for f in (
     coverage_report, missing_text, page_sets, page_ranges, page_ranges_capped, page_ranges_text, page_classification, running_marginals, lines_without_marginals, weighted_median_size,
-    heading_levels, slide_decks, merged_pages, toc_score, toc_sections, pages_at)}
+    heading_levels, slide_decks, merged_pages, page_measures, images_in_budget, toc_score, toc_sections, pages_at)}

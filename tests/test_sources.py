@@ -70,5 +70,39 @@ def test_tables_commit_together(spark, tmp_path):
 
 def test_records(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id": "1", "question": "q", "evidence": [{"document": "d", "page": 2}]}\n\nnot json\n')
-    rows = records.read(spark, str(tmp_path), records.QUESTIONS).collect()
-    assert len(rows) == 1 and rows[0].evidence[0].page == 2
+    good, bad = records.read(spark, str(tmp_path), records.QUESTIONS)
+    rows = good.collect()
+    assert len(rows) == 1 and rows[0].evidence[0].page == 2 and [(r.line, r.file) for r in bad.collect()] == [("not json", "q.jsonl")]
+
+
+def test_objects_are_put_found_and_deleted(spark, tmp_path):
+    from foliant.sources import objects
+
+    root = str(tmp_path / "store")
+    objects.put(spark, root, "a/one.pdf", b"1")
+    objects.put(spark, root, "/a/one.pdf", b"22")
+    objects.put(spark, root, "b.txt", b"x")
+    objects.put(spark, root, "empty", b"")
+    assert objects.exists(spark, root, "a/one.pdf") and not objects.exists(spark, root, "c")
+    assert {(r.key, r.length) for r in objects.objects(spark, root).collect()} == {("a/one.pdf", 2), ("b.txt", 1)} and objects.exists(spark, root, "empty")
+    files = spark.createDataFrame([("a/one.pdf",), ("gone",)], "storage_key string")
+    assert {tuple(r) for r in objects.missing(files, objects.objects(spark, root)).collect()} == {("gone", "lost"), ("b.txt", "unknown")}
+    assert objects.delete(spark, root, "b.txt") and not objects.delete(spark, root, "b.txt")
+    for bad in ("", "..", "../x", "/"):
+        with pytest.raises(ValueError):
+            objects.path_of(root, bad)
+    sizes = spark.createDataFrame([(1, 10, None), (300 << 20, 10, 1), (1, 9999, 1), (None, None, 99 << 20)], "size_bytes bigint, page_count int, image_bytes bigint")
+    assert [r.error for r in objects.within_budget(sizes).collect()] == [None, "too many bytes", "too many pages", "too many image bytes"]
+
+
+def test_bad_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"id": "1", "question": "x"}\n\n{"id": \n{"id": "2", "question": "y", "more": 1}\n[1]\n')
+    good, bad = records.read(spark, str(tmp_path), "id string, question string")
+    assert sorted(map(tuple, good.collect())) == [("1", "x"), ("2", "y")] and sorted(r.line for r in bad.collect()) == ["[1]", '{"id": ']
+
+
+@pytest.mark.parametrize("text, want", [
+    ("````\n```\n# no\n````\n# A #\nx", ["code", "heading", "paragraph"]), ("| a |\n|---|\n| 1 |\n- x\n  y\n\ny", ["table", "list", "paragraph"]), ("~~~\nopen", ["code"]), ("---\na: 1\n---\n1. x\nz", ["list", "paragraph"]),
+    ("a | b\nc", ["paragraph"]), ("\r\n# T\r\n\r\nx\ry", ["heading", "paragraph"]), ("", []), (None, []), ("    indented only", ["paragraph"])])
+def test_blocks_of_markdown(text, want):
+    assert [k for k, *_ in markdown.parse(text)] == want
