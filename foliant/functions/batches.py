@@ -42,6 +42,44 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[..., li
     return df.mapInArrow(run, struct)
 
 
+def map_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, step: Callable[[list[dict]], list[tuple]]) -> DataFrame:
+    """``step`` on the rows of each group of equal keys, in order, as dicts; it
+    returns rows of ``schema``.
+
+    Rows are dealt by key, sorted in each task and streamed, so a task holds
+    one group at a time, and many small groups cost no call each."""
+    struct = _parse_datatype_string(schema)
+    assert isinstance(struct, StructType)
+    arrow = to_arrow_schema(struct)
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        key, out = None, []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = tuple(row[k] for k in keys)
+                if mine != key and held:
+                    out += step(held)
+                    held = []
+                key = mine
+                held.append(row)
+                if len(out) >= 2048:
+                    yield made()
+                    out = []
+        if held:
+            out += step(held)
+        if out:
+            yield made()
+
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, struct)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan whose files give fewer tasks than there are cores (few or small
     files), dealt to all of them; larger scans stay as they are.  Only for

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.batches import map_groups
 from foliant.functions.ids import chunk_uuid
 from foliant.functions.text import nfc, split_sentences
 from foliant.operators import structural as S
@@ -186,37 +187,30 @@ def stretches(sections: DataFrame, detect: bool = True) -> DataFrame:
 
 def _pieces(placed: DataFrame, cut: Callable[[list[dict]], list[tuple[str, int | None]]]) -> DataFrame:
     """``(document_id, stretch, piece, content, page_number, path, kind)``."""
-    schema = "document_id string, stretch bigint, piece int, content string, page_number int, path array<string>, kind string"
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        rows = [{"content": c, "page_number": None if pd.isna(p) else int(p)} for c, p in zip(pdf["content"], pdf["page_number"])]
-        head = pdf.iloc[0]
-        made = pd.DataFrame([(head["document_id"], head["stretch"], i, t, page, head["path"], head["kind"]) for i, (t, page) in enumerate(cut(rows))], columns=names)
-        made["page_number"] = made["page_number"].astype("Int32")
-        return made
+    def step(rows: list[dict]) -> list[tuple]:
+        head = rows[0]
+        return [(head["document_id"], head["stretch"], i, t, page, head["path"], head["kind"]) for i, (t, page) in enumerate(cut(rows))]
 
-    return placed.select("document_id", "stretch", "ord", "content", "page_number", "path", "kind").groupBy("document_id", "stretch").applyInPandas(run, schema)
+    schema = "document_id string, stretch bigint, piece int, content string, page_number int, path array<string>, kind string"
+    return map_groups(placed.select("document_id", "stretch", "ord", "content", "page_number", "path", "kind"), ["document_id", "stretch"], ["ord"], schema, step)
 
 
 def _pairs(pieces: DataFrame, cfg: HeadingConfig) -> DataFrame:
     """Short pieces joined to the next one below the same parent, once: of a
-    run of pieces that could join their next, the first, third, ... do.  Only
-    lengths and paths decide; slides and contents stay alone."""
+    run of pieces that could join their next, the first, third, ... do.
+    Slides and contents stay alone."""
     order = Window.partitionBy("document_id").orderBy("stretch", "piece")
     n, after = F.length("content"), lambda c: F.lead(c).over(order)
     parent = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
     can = (F.col("kind") == "text") & (after("kind") == "text") & (n < cfg.least) & (parent(F.col("path")) == parent(after("path"))) & (n + after(n) <= cfg.most)
-    light = pieces.select("document_id", "stretch", "piece", F.coalesce(can, F.lit(False)).alias("can"))
-    run = F.sum((~F.col("can")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    place = F.row_number().over(Window.partitionBy("document_id", "run", "can").orderBy("stretch", "piece"))
-    joins = light.withColumn("run", F.coalesce(run, F.lit(0))).withColumn("joins", F.col("can") & (place % 2 == 1))
-    second = F.coalesce(F.lag("joins").over(order), F.lit(False))
-    numbered = joins.withColumn("nth", F.sum((~second).cast("int")).over(order) - 1)
-    parts = pieces.join(numbered.select("document_id", "stretch", "piece", "nth"), ["document_id", "stretch", "piece"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "piece", "content"))), lambda x: x["content"]), "\n\n")
-    first = F.min_by(F.struct("page_number", "path", "kind"), F.struct("stretch", "piece"))
+    # one order serves all: how long the run before is, which pieces are taken in, numbers of what is left
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = pieces.withColumns({"can": F.coalesce(can, F.lit(False)), "row": F.row_number().over(order)})
+    place = F.col("row") - F.coalesce(F.max(F.when(~F.col("can"), F.col("row"))).over(so_far), F.lit(0))
+    joins = marked.withColumn("joins", F.col("can") & (place % 2 == 1)).withColumn("second", F.coalesce(F.lag("joins").over(order), F.lit(False)))
+    parts = joins.withColumn("nth", F.sum((~F.col("second")).cast("int")).over(so_far) - 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "content"))), lambda x: x["content"]), "\n\n")
+    first = F.min_by(F.struct("page_number", "path", "kind"), "row")
     return parts.groupBy("document_id", "nth").agg(text.alias("content"), first.alias("f")).select("document_id", "nth", "content", "f.*")
 
 
@@ -318,26 +312,19 @@ def structural_chunks(sections: DataFrame, cfg: S.StructuralConfig = S.Structura
     root = F.try_element_at("path", F.lit(1))
     new = ~F.col("slides") & ~root.eqNullSafe(F.lag(root).over(_doc()))
     placed = placed.withColumn("top", F.sum(new.cast("int")).over(_doc()))
-    names = [x.split(" ")[0] for x in _MADE.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        counter, head = _counter(tokenizer), pdf.iloc[0]
-        rows = pdf.to_dict("records")
-        if head["slides"]:
-            with_paths = S.deck(rows, head["deck_title"], counter.count, 12)
-        else:
-            with_paths = [(tuple(r["path"]), r) for r in rows]
+
+    def step(rows: list[dict]) -> list[tuple]:
+        counter, head = _counter(tokenizer), rows[0]
+        with_paths = S.deck(rows, head["deck_title"], counter.count, 12) if head["slides"] else [(tuple(r["path"]), r) for r in rows]
         blocks = []
         for path, r in with_paths:
-            page, images = None if pd.isna(r["page_number"]) else int(r["page_number"]), tuple(r["images"]) if r["images"] is not None else ()
-            given = r["blocks"] if r["blocks"] is not None and len(r["blocks"]) and head["slides"] else None
-            body = [(b["kind"], b["text"] or "") for b in given] if given is not None else [(r["element_type"] or "", r["content"] if r["content"].strip() != (r["heading"] or "") else "")]
+            given = r["blocks"] if head["slides"] else None
+            body = [(b["kind"], b["text"] or "") for b in given] if given else [(r["element_type"] or "", r["content"] if r["content"].strip() != (r["heading"] or "") else "")]
             for i, (kind, text) in enumerate(body):
                 kind = S.infer_kind(text, kind if kind in ("table", "list", "code") else "text")
                 text = S.cleaned(text, kind, bool(r["pdf"]))
                 shown = "toc" if r["toc"] else kind if text else "slide" if head["slides"] else kind
-                blocks.append((path, S.Block(text, shown, page, int(r["ord"]) * 1000 + i, images if i == 0 else ())))
+                blocks.append((path, S.Block(text, shown, r["page_number"], r["ord"] * 1000 + i, tuple(r["images"] or ()) if i == 0 else ())))
         out, before = [], None
         for i, c in enumerate(S.chunks_of(blocks, counter, cfg)):
             text, units = c.text(), c.units()
@@ -346,12 +333,10 @@ def structural_chunks(sections: DataFrame, cfg: S.StructuralConfig = S.Structura
             out.append((head["document_id"], head["top"], i, text, S.embedding_input(c, before, text, counter, cfg), list(c.path), list(S.cited_path(c, page)), page, min(pages, default=None), max(pages, default=None),
                         kinds.pop() if len(kinds) == 1 else "mixed", counter.count(text), images))
             before = c
-        made = pd.DataFrame(out, columns=names)
-        for c in ("page_number", "page_start", "page_end"):
-            made[c] = made[c].astype("Int32")
-        return made
+        return out
 
-    made = placed.select("document_id", "top", "ord", "content", "element_type", "heading", "page_number", "toc", "images", "blocks", "path", "slides", "deck_title", "pdf").groupBy("document_id", "top").applyInPandas(run, _MADE)
+    rows = placed.select("document_id", "top", "ord", "content", "element_type", "heading", "page_number", "toc", "images", "blocks", "path", "slides", "deck_title", "pdf")
+    made = map_groups(rows, ["document_id", "top"], ["ord"], _MADE, step)
     order = Window.partitionBy("document_id").orderBy("top", "nth")
     numbered = made.withColumn("nth", F.row_number().over(order) - 1)
     of = Window.partitionBy("document_id", "top", "common")
