@@ -37,10 +37,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Lineage ends at the written files, so a lost executor costs a re-read and
     not a recomputation; unlike a cached frame, nothing lives on one executor.
+    The files are deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
