@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,23 +13,46 @@ from foliant.functions.text import outcome_code, unmarked
 
 
 def payload_filter(
-    doc_types: list[str] | None = None, document_ids: list[str] | None = None, language: str | None = None, course_id: str | None = None,
-    exclude_types: tuple[str, ...] = ("toc",), exclude_documents: list[str] | None = None,
+    doc_types: list[str] | None = None, document_ids: list[str] | None = None, language: str | None = None, course_id: str | None = None, owner_id: str | None = None,
+    exclude_types: tuple[str, ...] = ("toc",), exclude_documents: list[str] | None = None, uploaded_after: datetime | None = None, uploaded_before: datetime | None = None, heading_contains: str | None = None,
 ) -> Column:
-    """Conjunction of the given conditions; unknown values are not excluded."""
+    """Conjunction of the given conditions; unknown values are not excluded,
+    but do not meet a condition either.  Contents are left out unless
+    ``exclude_types`` says otherwise, also where no condition is given."""
     c = F.lit(True)
     for name, given in (("doc_type", doc_types), ("document_id", document_ids)):
         if given:
             c = c & F.col(name).isin(given)
-    for name, given in (("language", language), ("course_id", course_id)):
+    for name, given in (("language", language), ("course_id", course_id), ("owner_id", owner_id)):
         if given is not None:
             c = c & (F.col(name) == given)
     for name, given in (("content_type", exclude_types), ("document_id", exclude_documents)):
         if given:
             c = c & ~F.coalesce(F.col(name).isin(list(given)), F.lit(False))
+    if uploaded_after is not None:
+        c = c & (F.col("uploaded_at") >= F.lit(uploaded_after))
+    if uploaded_before is not None:
+        c = c & (F.col("uploaded_at") < F.lit(uploaded_before))
+    if heading_contains is not None:
+        c = c & F.exists("heading_path", lambda h: F.contains(F.lower(h), F.lit(heading_contains.lower())))
     return c
 
 
+def has_conditions(**given) -> bool:
+    """Is any condition given?"""
+    return any(v not in (None, [], ()) for v in given.values())
+
+
+def search(points: DataFrame, hidden: DataFrame, query: list[float], k: int = 10, threshold: float = 0.0, **conditions) -> DataFrame:
+    """The k visible points most similar to the query that meet the
+    conditions.  Hidden documents leave before ranking, so k are found if
+    there are k; if the look-up of hidden ones fails, so does the search."""
+    if not 1 <= k <= 100 or not 0 <= threshold <= 1:
+        raise ValueError("k must be 1 to 100 and threshold 0 to 1")
+    seen = points.join(hidden.select("document_id").distinct(), "document_id", "left_anti").where(payload_filter(**conditions))
+    return top_k(seen, query, k, threshold)
+
+
 def top_k(rows: DataFrame, query: list[float], k: int = 10, threshold: float = 0.0, key: str = "chunk_id") -> DataFrame:
     """The k rows most similar to one vector, ranked; exact, one pass."""
     scored = rows.withColumn("score", V.cosine(F.col("vector"), F.lit([float(x) for x in query])))

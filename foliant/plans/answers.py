@@ -70,6 +70,7 @@ c AS (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS choice FROM lineitem)
 o AS (SELECT k.*, target % n AS tg, row_number() OVER (PARTITION BY k.p_partkey, correct ORDER BY sha256(k.p_partkey || ':' || choice), choice) - 1 AS drawn FROM k JOIN t ON t.p_partkey = k.p_partkey)
 SELECT p_partkey, choice, correct, CAST(CASE WHEN correct THEN tg WHEN drawn >= tg THEN drawn + 1 ELSE drawn END AS INT) AS place FROM o""",
     "parsed_answers": """SELECT event_type, CASE WHEN event_id % 3 = 2 THEN 'no JSON' ELSE '-' END AS error, count(*) AS n, sum(CASE WHEN event_id % 3 <> 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS k FROM events GROUP BY 1, 2""",
+    "title_embeddings": "SELECT DISTINCT sha1(title) AS sha1, CASE WHEN trim(title) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents_meta WHERE title IS NOT NULL",
     "column_gutters": f"""WITH {_B}, t AS (SELECT *, 100.0 * (0.3 + (0.7 - 0.3) * i / 32) AS pos FROM bb, (SELECT unnest(range(0, 33)) AS i)),
 p AS (SELECT document_id, page, i, count(*) FILTER (NOT x1 <= pos AND NOT x0 >= pos) AS crossing, count(*) FILTER (x1 <= pos) AS nl, count(*) FILTER (x0 >= pos) AS nr,
   min(y0) FILTER (x1 <= pos) AS lt, max(y1) FILTER (x1 <= pos) AS lb, min(y0) FILTER (x0 >= pos) AS rt, max(y1) FILTER (x0 >= pos) AS rb FROM t GROUP BY 1, 2, 3)

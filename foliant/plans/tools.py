@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -10,12 +11,13 @@ from foliant.functions.text import doc_type
 from foliant.operators import chunking as K
 from foliant.operators import ingest as I
 from foliant.operators import reads as R
+from foliant.operators import retrieval as X
 from foliant.operators import tools as T
 from foliant.operators import vector_store as V
 from foliant.operators import writes as W
 from foliant.plans.curriculum import COURSE
 from foliant.plans.mutations import _DEG, _REL, _now, _relations, _seed_sql
-from foliant.plans.search import _E, _of_model
+from foliant.plans.search import _E, QUERY, _of_model
 from foliant.plans.store import CHUNKS_SQL, DOCS_SQL, TYPE_SQL, chunks, docs
 from foliant.session import load, shared_dir
 from foliant.sources import tables
@@ -35,6 +37,12 @@ def vector_points(s, d):
     return _points(s, d).select("chunk_id", "document_id", "document_name", "doc_type", "course_id", "owner_id", "content_type", F.size("vector").alias("dimension"))
 
 
+def vector_search(s, d):
+    """A search in the collection with every kind of condition."""
+    found = X.search(_points(s, d), R.hidden_documents(docs(s, d)), QUERY, 20, doc_types=["pdf", "docx"], heading_contains="The", uploaded_after=datetime(2023, 1, 1), uploaded_before=datetime(2026, 1, 1))
+    return found.select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def vector_stale(s, d):
     """Points of documents sent again without every third chunk."""
     kept = chunks(s, d).where("sort_order % 3 <> 0 AND document_id IS NOT NULL")
@@ -137,6 +145,9 @@ _P = WITH + f""", {_E}, f AS (SELECT document_id, title, {TYPE_SQL} AS doc_type,
 p AS (SELECT e.chunk_id, c.document_id, f.title AS document_name, f.doc_type, f.course_id, c.content_type, c.sort_order, f.role, len(e.vector) AS dimension FROM e JOIN c ON c.chunk_id = e.chunk_id JOIN f ON f.document_id = c.document_id WHERE e.model = 'course-embed-64')"""
 SQL = {
     "vector_points": _P + " SELECT chunk_id, document_id, document_name, doc_type, nullif(trim(course_id), '') AS course_id, CAST(NULL AS VARCHAR) AS owner_id, content_type, dimension FROM p",
+    "vector_search": _P + """ SELECT chunk_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, chunk_id) AS rank FROM (SELECT p.chunk_id, list_cosine_similarity(e.vector, qv) AS s FROM p JOIN e ON e.chunk_id = p.chunk_id AND e.model = 'course-embed-64' JOIN c ON c.chunk_id = p.chunk_id
+JOIN d ON d.document_id = p.document_id, q WHERE p.doc_type IN ('pdf', 'docx') AND coalesce(p.content_type <> 'toc', true) AND len(list_filter(c.heading_path, lambda h: contains(lower(h), 'the'))) > 0
+AND d.created_at >= TIMESTAMPTZ '2023-01-01 00:00:00+00' AND d.created_at < TIMESTAMPTZ '2026-01-01 00:00:00+00' AND d.deleted_at IS NULL AND coalesce(d.lms_published, true) ORDER BY s DESC, chunk_id LIMIT 20)""",
     "vector_stale": _P + ", k AS (SELECT document_id, chunk_id FROM c WHERE sort_order % 3 <> 0 AND document_id IS NOT NULL) SELECT document_id, chunk_id FROM p WHERE document_id IN (SELECT document_id FROM k) AND chunk_id NOT IN (SELECT chunk_id FROM k)",
     "vector_counts": _P + """ SELECT 'all' AS what, count(*) AS points FROM p UNION ALL SELECT 'lectures', count(*) FROM p WHERE coalesce(role <> 'reference', true) AND document_id NOT IN (SELECT document_id FROM d WHERE document_id IS NOT NULL AND (deleted_at IS NOT NULL OR lms_published IS FALSE))
 UNION ALL SELECT 'pdf', count(*) FROM p WHERE doc_type = 'pdf'""",
@@ -167,4 +178,4 @@ _EVERY = _REL.format(course="").replace("rel AS (SELECT md5", "rel AS (SELECT md
 SQL["relations_replaced"] = WITH + f""", {_EVERY}, r AS (SELECT md5(concat_ws('|', chunk_id, source_key, relation_type, target_key)) AS relation_id, * FROM rel0), k AS (SELECT chunk_id FROM c WHERE sort_order % 2 = 0)
 SELECT relation_id, source_key, target_key FROM r WHERE chunk_id NOT IN (SELECT chunk_id FROM k) UNION ALL SELECT 'r' || relation_id, target_key, source_key FROM r WHERE chunk_id IN (SELECT chunk_id FROM k)"""
 QUERIES = {f.__name__: f for f in (
-    vector_points, vector_stale, vector_counts, vector_upsert, ingest_statuses, ingest_repeated, chunk_languages, document_lookups, tool_documents, tool_page, tool_relations, mentions_replaced, relations_replaced, enrichment)}
+    vector_points, vector_search, vector_stale, vector_counts, vector_upsert, ingest_statuses, ingest_repeated, chunk_languages, document_lookups, tool_documents, tool_page, tool_relations, mentions_replaced, relations_replaced, enrichment)}

@@ -45,12 +45,6 @@ def accepted_and_rejected(events: DataFrame, types: list[str] = EVENT_TYPES) ->
     return checked.where("error IS NULL").drop("error"), checked.where("error IS NOT NULL")
 
 
-def event_counts(events: DataFrame, window: str = "10 minutes", delay: str = "30 minutes") -> DataFrame:
-    """Events of every type in tumbling windows; later ones are dropped."""
-    return events.withWatermark("at", delay).groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("n")).select(
-        F.col("window.start").alias("start"), "event_type", "n")
-
-
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     generation, stage = state.get if state.exists else (-1, -1)
     out = []

@@ -117,6 +117,19 @@ def test_hidden_vector_does_not_take_a_place(spark):
     assert [r.chunk_id for r in T.top_k(df.where("chunk_id <> 'a'"), [1.0, 0.0, 0.0], 2).orderBy("rank").collect()] == ["b", "c"]
 
 
+def test_search_leaves_hidden_ones_and_contents_out(spark):
+    points = spark.createDataFrame([("a", "d1", [1.0, 0.0], "text", "o", T0, ["Index"]), ("b", "d2", [0.9, 0.1], None, "o", T0, ["The Tree"]), ("c", "d2", [0.8, 0.2], "toc", "o", T0, None), ("e", "d2", [0.1, 0.9], "text", None, None, ["tree"])],
+                                   "chunk_id string, document_id string, vector array<double>, content_type string, owner_id string, uploaded_at timestamp, heading_path array<string>")
+    hidden = spark.createDataFrame([("d1",), ("d1",)], "document_id string")
+    ids = lambda **more: [r.chunk_id for r in T.search(points, hidden, [1.0, 0.0], 3, **more).orderBy("rank").collect()]
+    assert ids() == ["b", "e"] and ids(exclude_types=()) == ["b", "c", "e"] and ids(owner_id="o") == ["b"] and ids(heading_contains="TREE") == ["b", "e"]
+    assert ids(uploaded_after=T0) == ["b"] and ids(uploaded_before=T0) == [] and ids(exclude_documents=["d2"]) == [] and ids(threshold=0.5) == ["b"]
+    assert T.has_conditions(a=None, b=[]) is False and T.has_conditions(a="x") is True
+    for bad in ({"k": 0}, {"k": 101}, {"threshold": 2.0}):
+        with pytest.raises(ValueError):
+            T.search(points, hidden, [1.0, 0.0], **bad)
+
+
 def test_many_queries_are_ranked_in_blocks(spark):
     rng = random.Random(3)
     rows = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(60)], "chunk_id int, vector array<double>")
