@@ -6,6 +6,7 @@ it never fails the job."""
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -141,3 +142,48 @@ def read(spark: SparkSession, path: str, most_bytes: int = 256 << 20) -> DataFra
             yield out
 
     return fits.mapInPandas(run, SCHEMA).unionByName(large)
+
+
+def pictures(data: bytes) -> list[tuple[str, int | None, bytes]]:
+    """``(name, slide, content)`` of the pictures that a document or a deck
+    shows: of a deck each with the first slide that shows it, in order."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    known = set(z.namelist())
+    shown: dict[str, int | None] = {}
+    for rel in sorted((n for n in known if re.fullmatch(r"(?:word|ppt/slides)/_rels/[^/]+\.rels", n)), key=lambda n: int("0" + re.sub(r"\D", "", n))):
+        base = rel.split("/_rels/")[0]
+        slide = int(re.sub(r"\D", "", rel) or 0) if base == "ppt/slides" else None
+        for r in ET.fromstring(z.read(rel)):
+            if r.get("Type", "").endswith("/image") and r.get("TargetMode") != "External":
+                name = posixpath.normpath(posixpath.join(base, r.get("Target", "")))
+                if name in known:
+                    shown.setdefault(name, slide)
+    return [(name.rsplit("/", 1)[1], slide, z.read(name)) for name, slide in shown.items()]
+
+
+def read_pictures(spark: SparkSession, path: str, most_bytes: int = 256 << 20, most_image_bytes: int = 64 << 20) -> DataFrame:
+    """``(document_id, page, nth, name, bytes, content)``: pictures of all DOCX
+    and PPTX files below a path, one row each, in order as far as those of a
+    file are within ``most_image_bytes``; a file that can not be read has none
+    (its error is a row of ``read``)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(docx|pptx)$") & (F.col("length") <= most_bytes)).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            for p, data in zip(pdf["path"], pdf["content"]):
+                total = 0
+                try:
+                    found = pictures(data)
+                except Exception:  # noqa: BLE001 - the sections of the file tell the error
+                    continue
+                for i, (name, slide, content) in enumerate(found):
+                    total += len(content)
+                    if total > most_image_bytes:
+                        break
+                    rows.append((p, slide, i, name, len(content), content))
+            out = pd.DataFrame(rows, columns=["document_id", "page", "nth", "name", "bytes", "content"])
+            out["page"] = out["page"].astype("Int32")
+            yield out
+
+    return files.mapInPandas(run, "document_id string, page int, nth int, name string, bytes bigint, content binary")

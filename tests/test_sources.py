@@ -106,3 +106,17 @@ def test_bad_lines_are_kept_apart(spark, tmp_path):
     ("a | b\nc", ["paragraph"]), ("\r\n# T\r\n\r\nx\ry", ["heading", "paragraph"]), ("", []), (None, []), ("    indented only", ["paragraph"])])
 def test_blocks_of_markdown(text, want):
     assert [k for k, *_ in markdown.parse(text)] == want
+
+
+def test_pictures_of_documents_and_decks(spark, tmp_path):
+    rels = lambda *targets: '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(
+        f'<Relationship Id="r{i}" Type="http://x/relationships/{kind}" Target="{t}"{mode}/>' for i, (kind, t, mode) in enumerate(targets)) + "</Relationships>"
+    outside = ' TargetMode="External"'
+    deck = zipped({"ppt/slides/_rels/slide10.xml.rels": rels(("image", "../media/b.png", ""), ("image", "../media/a.png", "")), "ppt/slides/_rels/slide2.xml.rels": rels(("image", "../media/a.png", ""), ("image", "http://x/y.png", outside), ("image", "../media/none.png", "")),
+                   "ppt/media/a.png": "AAAA", "ppt/media/b.png": "BB", "ppt/media/unused.png": "C"})
+    (tmp_path / "x.pptx").write_bytes(deck)
+    (tmp_path / "y.docx").write_bytes(zipped({"word/_rels/document.xml.rels": rels(("image", "media/i.png", ""), ("styles", "styles.xml", "")), "word/media/i.png": "I"}))
+    (tmp_path / "z.docx").write_bytes(b"broken")
+    got = {(r.document_id.rsplit("/", 1)[1], r.page, r.nth, r.name, r.bytes, bytes(r.content)) for r in office.read_pictures(spark, str(tmp_path)).collect()}
+    assert got == {("x.pptx", 2, 0, "a.png", 4, b"AAAA"), ("x.pptx", 10, 1, "b.png", 2, b"BB"), ("y.docx", None, 0, "i.png", 1, b"I")}
+    assert {r.name for r in office.read_pictures(spark, str(tmp_path), most_image_bytes=4).collect()} == {"a.png", "i.png"}
