@@ -11,7 +11,7 @@ from foliant.session import load, materialize
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    members, near = similar_vectors.nearest(load(spark, d, "chunk_embeddings"))
+    members, near = similar_vectors.nearest(load(spark, d, "chunk_embeddings"), least=similar_vectors.LEAST)
     return similar_vectors.pairs(similar_vectors.neighbours(members, near))
 
 

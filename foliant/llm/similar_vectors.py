@@ -22,6 +22,13 @@ Leaves are gathered into parts of about ``part_rows`` vectors (a leaf above
 that is cut into blocks, each in a part of its own), and a query is sent once
 to each part it visits, so a part is one task with matrix products.  Parts
 that many queries visit are salted by the visits seen in the fitted sample.
+Where queries visit most parts, parts and their queries are gathered up to four
+at a time, so that fewer copies are sent.
+
+The search goes in rounds, each for a share of the queries, so that a round
+sends about one copy of the index and half as many queries, however many parts
+a query visits.  Tables and shuffle files are deleted when the next step has
+its own, so disk holds a few copies of the vectors at a time.
 
 Equal unit vectors are one class in all of this, so a group of copies of any
 size is indexed and searched once and expanded only to its own rows.
@@ -48,7 +55,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.session import materialize
+from foliant.session import discard, written
+
+LEAST = 0.88  # similarity of pairs
 
 
 @dataclass(frozen=True)
@@ -64,6 +73,7 @@ class TreePolicy:
     most_leaves: int = 65_536
     part_rows: int = 32_768
     part_queries: int = 16_384
+    round_rows: int = 1_000_000
 
 
 @dataclass
@@ -191,8 +201,11 @@ def refine(classes: DataFrame, trees: dict, policy: TreePolicy, sampled: int = 2
     which sees about ``sampled`` of the leaf's rows; the new centres are at
     most ``most_leaves`` a tree.  Trees that are fine are left as they are."""
     spark = classes.sparkSession
+    placed = None
     for turn in range(rounds + 1):
-        placed = materialize(_in_leaves(classes, spark.sparkContext.broadcast(trees)), "leaves")
+        if placed is not None:
+            discard(placed)
+        placed = written([_in_leaves(classes, spark.sparkContext.broadcast(trees))], "leaves")
         if turn == rounds:
             break
         counts = placed.groupBy("model", "dim", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * policy.leaf_rows)
@@ -212,8 +225,10 @@ def refine(classes: DataFrame, trees: dict, policy: TreePolicy, sampled: int = 2
             return pa.table([pa.array([m] * len(c), pa.string()), pa.array([dim] * len(c), pa.int32()), pa.array([leaf] * len(c), pa.int32()), pa.array([v.tobytes() for v in c], pa.binary())], names=["model", "dim", "leaf", "centre"])
 
         made = defaultdict(lambda: defaultdict(list))
-        for r in some.groupBy("model", "dim", "leaf").applyInArrow(centres, "model string, dim int, leaf int, centre binary").orderBy("model", "dim", "leaf", "centre").toLocalIterator():
+        new = written([some.groupBy("model", "dim", "leaf").applyInArrow(centres, "model string, dim int, leaf int, centre binary")], "centres")
+        for r in sorted(new.collect()):  # bounded by the leaves of a tree
             made[r.model, r.dim][r.leaf].append(np.frombuffer(r.centre, np.float32))
+        discard(new)
         grew = False
         for space, by_leaf in made.items():
             split = {}
@@ -318,13 +333,43 @@ def _calibrate(index: DataFrame, samples: dict, trees: dict, policy: TreePolicy)
     return visits
 
 
-def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFrame, DataFrame]:
+def _parts(counts: list, seen: dict, sizes: dict, rows: int) -> tuple[dict, list[int], list[float]]:
+    """``(space, leaf)`` to its first part and number of blocks: runs of leaves
+    of about ``rows`` vectors, large leaves in blocks.  And of each part its
+    vectors and expected queries, from the leaves ``seen`` in each space."""
+    parts_of: dict = {}
+    held: list[int] = []
+    last = None
+    for r in counts:
+        s = (r.model, r.dim)
+        blocks = math.ceil(r.n / rows)
+        if blocks > 1 or s != last or held[-1] + r.n > rows:
+            held.append(0)
+        parts_of[s, r.leaf] = (len(held) - 1, blocks)
+        held += [0] * (blocks - 1)
+        if blocks > 1:
+            held[-blocks:] = [rows] * blocks
+        else:
+            held[-1] += r.n
+        last = s
+    met = [0.0] * len(held)
+    for s, found in seen.items():
+        for leaves in found:
+            for p, blocks in {parts_of[s, v] for v in leaves if (s, v) in parts_of}:
+                for j in range(blocks):
+                    met[p + j] += sizes[s] / len(found)
+    return parts_of, held, met
+
+
+def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy(), least: float = -2.0) -> tuple[DataFrame, DataFrame]:
     """``members (model, chunk_id, cid)`` and ``near (cid, other, sim)``: for
-    each class the k + 2 most similar other classes that were found."""
+    each class the k + 2 most similar other classes that were found, without
+    those below ``least``."""
     spark = rows.sparkSession
-    base = materialize(_classes(usable(rows)), "unit-vectors")
-    members = base.select("model", "chunk_id", "cid")
-    classes = materialize(base.groupBy("model", "dim", "cid").agg(F.first("vec").alias("vec")), "vector-classes")
+    base = written([_classes(usable(rows))], "unit-vectors")
+    members = written([base.select("model", "chunk_id", "cid")], "vector-members")
+    classes = written([base.groupBy("model", "dim", "cid").agg(F.first("vec").alias("vec"))], "vector-classes")
+    discard(base)
     sizes = {(r.model, r.dim): r.n for r in classes.groupBy("model", "dim").agg(F.count("*").alias("n")).collect()}
     # by hash, from the counts: no task ranks a model; the cut is exact and on the driver
     space = F.concat_ws("|", "model", F.col("dim").cast("string"))
@@ -338,63 +383,37 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
         g = g.head(policy.fit_rows)
         samples[m, int(dim)] = (g["cid"].to_numpy(), _matrix(g["vec"], int(dim)))
     trees, index = refine(classes, {s: fit(x, sizes[s], policy) for s, (_, x) in samples.items()}, policy)
+    discard(classes)
     shared = spark.sparkContext.broadcast(trees)
     visits = _calibrate(index, samples, trees, policy)
 
-    # parts: runs of leaves of about part_rows vectors; large leaves in blocks
-    parts_of: dict = {}  # (space, leaf) -> (first part, blocks)
-    part, filled, last = -1, 0, None
-    counts = index.groupBy("model", "dim", "leaf").agg(F.count("*").alias("n")).orderBy("model", "dim", "leaf").collect()
-    for r in counts:  # at most most_leaves rows a space
-        s = (r.model, r.dim)
-        blocks = math.ceil(r.n / policy.part_rows)
-        if blocks > 1 or s != last or filled + r.n > policy.part_rows:
-            part, filled = part + 1, 0
-        parts_of[s, r.leaf] = (part, blocks)
-        part += blocks - 1
-        filled = policy.part_rows if blocks > 1 else filled + r.n
-        last = s
-    met = defaultdict(float)
-    for s, (_, x) in samples.items():
-        for leaves in trees[s].nearest(x[:2_048], visits[s]).tolist():
-            for p in {parts_of[s, v] for v in leaves if (s, v) in parts_of}:
-                for j in range(p[1]):
-                    met[p[0] + j] += sizes[s] / min(len(x), 2_048)
-    salts = [max(1, math.ceil(met[p] / policy.part_queries)) for p in range(part + 1)]
-    plan = spark.sparkContext.broadcast((parts_of, salts, visits))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Index rows, in their part once for each salt."""
-        where, salt, _ = plan.value
-        for b in batches:
-            take, parts, at = [], [], []
-            for i, (m, dim, cid, leaf) in enumerate(zip(*(b.column(c).to_pylist() for c in ("model", "dim", "cid", "leaf")))):
-                first, blocks = where[(m, dim), leaf]
-                p = first + cid % blocks
-                for z in range(salt[p]):
-                    take.append(i)
-                    parts.append(p)
-                    at.append(z)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int32()), pa.array(at, pa.int32()), *b.take(pa.array(take, pa.int64())).select(["dim", "leaf", "cid", "vec"]).columns],
-                names=["part", "salt", "dim", "leaf", "cid", "vec"])
+    counts = index.groupBy("model", "dim", "leaf").agg(F.count("*").alias("n")).orderBy("model", "dim", "leaf").collect()  # at most most_leaves rows a space
+    seen = {s: trees[s].nearest(x[:2_048], visits[s]).tolist() for s, (_, x) in samples.items()}
+    total, gathered = sum(sizes.values()), 1
+    while True:
+        parts_of, held, met = _parts(counts, seen, sizes, gathered * policy.part_rows)
+        if gathered == 4 or sum(met) <= 8 * total or len(held) < 4 * spark.sparkContext.defaultParallelism:
+            break
+        gathered *= 2
+    queries = gathered * policy.part_queries
+    copies = sum(n * max(1, math.ceil(m / queries)) for n, m in zip(held, met))
+    rounds = math.ceil(copies / total) if copies + sum(met) > max(2 * total, policy.round_rows) else 1
+    salts = [max(1, round(m / queries / rounds) if rounds > 1 else math.ceil(m / queries)) for m in met]
+    places = F.broadcast(spark.createDataFrame([(*s, leaf, first, salts[first : first + blocks]) for (s, leaf), (first, blocks) in parts_of.items()], "model string, dim int, leaf int, first int, salts array<int>"))
+    where = {}  # of each space, by leaf: first part and blocks, an empty leaf has none
+    for (s, leaf), place in parts_of.items():
+        where.setdefault(s, np.zeros((2, trees[s].leaves), np.int64))[:, leaf] = place
+    plan = spark.sparkContext.broadcast((where, np.array(salts, np.int64), visits))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries, once in each part they visit, with the leaves there."""
-        where, salt, limit = plan.value
-        first_of, blocks_of = {}, {}
-        for (s, v), (first, blocks) in where.items():
-            first_of.setdefault(s, {})[v] = first
-            blocks_of.setdefault(s, {})[v] = blocks
-        salt_of = np.array(salt, np.int64)
-        for b in batches:
+        where, salt_of, limit = plan.value
+        for b in (x.slice(at, 2_048) for x in batches for at in range(0, x.num_rows, 2_048)):
             for s, own in _by_space(b):
                 q = b.take(pa.array(own))
-                tree = shared.value[s]
                 cids = q.column("cid").to_numpy(zero_copy_only=False)
-                leaves = tree.nearest(_matrix(q.column("vec"), s[1]), limit[s])
-                first = np.array([first_of[s].get(v, -1) for v in range(tree.leaves)])
-                blocks = np.array([blocks_of[s].get(v, 0) for v in range(tree.leaves)])
+                leaves = shared.value[s].nearest(_matrix(q.column("vec"), s[1]), limit[s])
+                first, blocks = where[s]
                 who = np.repeat(np.arange(len(q)), leaves.shape[1])
                 nth = np.tile(np.arange(leaves.shape[1]), len(q))
                 flat = leaves.ravel()
@@ -407,10 +426,11 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
                 ends = np.append(new, len(leaf)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[new].astype(np.int32)), pa.array(((cids[who[new]] >> 7) % salt_of[part[new]]).astype(np.int32)), *q.take(pa.array(who[new])).select(["cid", "vec"]).columns, lists],
+                    [pa.array(part[new].astype(np.int32)), pa.array(((cids[who[new]] >> 7) // rounds % salt_of[part[new]]).astype(np.int32)), *q.take(pa.array(who[new])).select(["cid", "vec"]).columns, lists],
                     names=["part", "salt", "cid", "vec", "leaves"])
 
     keep = policy.k + 2
+    floor = max(np.float32(-2), np.nextafter(np.float32(least), np.float32(-3)))  # finds must be above
 
     def search(x: pa.Table, q: pa.Table) -> pa.Table:
         names = ["cid", "other", "sim"]
@@ -426,7 +446,7 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
         nth = np.arange(len(asked)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         # the best so far of each query; a leaf touches only queries it improves,
         # which are few once the nearest leaves of all have been seen
-        top = np.full((len(qc), keep), -2, np.float32)
+        top = np.full((len(qc), keep), floor, np.float32)
         at_row = np.zeros((len(qc), keep), np.int64)
         for near in (nth < 4, nth >= 4):
             some, of = asked[near], who[near]
@@ -450,20 +470,31 @@ def nearest(rows: DataFrame, policy: TreePolicy = TreePolicy()) -> tuple[DataFra
                     which = np.concatenate((at_row[w], rows_[best]), axis=1)
                     chosen = np.argsort(-both, axis=1, kind="stable")[:, keep - 1 :: -1]  # the worst of the best goes first
                     top[w], at_row[w] = np.take_along_axis(both, chosen, 1), np.take_along_axis(which, chosen, 1)
-        ok = top > -2
+        ok = top > floor
         ends = np.append(0, np.cumsum(ok.sum(1))).astype(np.int32)
         some = np.flatnonzero(np.diff(ends))
         ends = np.append(0, ends[some + 1]).astype(np.int32)
         others, sims = xc[at_row[ok]], top[ok]
         return pa.table([pa.array(qc[some]), pa.ListArray.from_arrays(pa.array(ends), pa.array(others)), pa.ListArray.from_arrays(pa.array(ends), pa.array(sims, pa.float32()))], names=names)
 
-    left = index.mapInArrow(place, "part int, salt int, dim int, leaf int, cid bigint, vec binary").groupBy("part", "salt")
-    right = index.mapInArrow(ask, "part int, salt int, cid bigint, vec binary, leaves array<int>").groupBy("part", "salt")
-    partial = left.cogroup(right).applyInArrow(search, "cid bigint, other array<bigint>, sim array<float>")
-    # a query has one list of at most ``keep`` finds for each part it visits
-    lists = partial.groupBy("cid").agg(F.collect_list(F.arrays_zip((F.transform("sim", lambda x: -x)).alias("d"), "other")).alias("c"))
-    best = F.slice(F.array_sort(F.flatten("c")), 1, keep)
-    return members, lists.select("cid", F.explode(best).alias("f")).select("cid", F.col("f.other").alias("other"), (-F.col("f.d")).alias("sim"))
+    # index rows in their part, once for each salt
+    block = F.pmod("cid", F.size("salts"))
+    placed = index.join(places, ["model", "dim", "leaf"]).select(
+        (F.col("first") + block).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.element_at("salts", (block + 1).cast("int")) - 1)).alias("salt"), "dim", "leaf", "cid", "vec")
+
+    def found(turn: int) -> DataFrame:
+        left = placed.groupBy("part", "salt")
+        asking = index.where(F.pmod(F.shiftright("cid", 7), F.lit(rounds)) == turn)
+        right = asking.mapInArrow(ask, "part int, salt int, cid bigint, vec binary, leaves array<int>").groupBy("part", "salt")
+        partial = left.cogroup(right).applyInArrow(search, "cid bigint, other array<bigint>, sim array<float>")
+        # a query has one list of at most ``keep`` finds for each part it visits
+        lists = partial.groupBy("cid").agg(F.collect_list(F.arrays_zip((F.transform("sim", lambda x: -x)).alias("d"), "other")).alias("c"))
+        best = F.slice(F.array_sort(F.flatten("c")), 1, keep)
+        return lists.select("cid", F.explode(best).alias("f")).select("cid", F.col("f.other").alias("other"), (-F.col("f.d")).alias("sim")).where(F.col("sim") >= least)
+
+    near = written((found(turn) for turn in range(rounds)), "near-vectors")
+    discard(index)
+    return members, near
 
 
 def neighbours(members: DataFrame, near: DataFrame, k: int = 10, least: float = -2.0) -> DataFrame:
@@ -471,7 +502,7 @@ def neighbours(members: DataFrame, near: DataFrame, k: int = 10, least: float =
     below ``least`` left out after ranking."""
     first = F.row_number().over(Window.partitionBy("cid").orderBy("chunk_id"))
     ids = members.select("cid", "chunk_id").distinct().withColumn("n", first).where(F.col("n") <= k + 1)
-    ids = materialize(ids.groupBy("cid").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids")), "class-ids")
+    ids = written([ids.groupBy("cid").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))], "class-ids")
     own = ids.select("cid", F.col("ids"), F.lit(1.0).cast("float").alias("sim"))
     others = near.join(ids.withColumnRenamed("cid", "other"), "other").select("cid", "ids", "sim")
     # at most 1 + k + 2 lists of at most k + 1 ids a class
@@ -484,7 +515,7 @@ def neighbours(members: DataFrame, near: DataFrame, k: int = 10, least: float =
     ).where(F.col("sim") >= least)
 
 
-def pairs(found: DataFrame, least: float = 0.88) -> DataFrame:
+def pairs(found: DataFrame, least: float = LEAST) -> DataFrame:
     """Unordered pairs at or above ``least`` with one among the other's nearest."""
     return found.where(F.col("sim") >= least).select(
         F.least("chunk_id", "other").alias("chunk_a"), F.greatest("chunk_id", "other").alias("chunk_b")).distinct()

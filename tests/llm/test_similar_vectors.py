@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import time
+from pathlib import Path
+
 import numpy as np
 
+from foliant import session
 from foliant.llm import similar_vectors as V
 
 COLS = "chunk_id string, vector array<float>, model string, dimension int, sim int"
@@ -85,3 +89,52 @@ def test_large_leaves_are_split_on_all_rows(spark):
         got.setdefault(r.chunk_id, set()).add(r.other)
     want = brute(x, ids)
     assert np.mean([len(got.get(i, set()) & want[i]) / 10 for i in ids]) >= 0.9
+
+
+def test_rounds_find_the_same_and_leave_no_copies(spark, monkeypatch):
+    x = data(1500, 16, 2)
+    rows = spark.createDataFrame([(f"c{i:05d}", v.tolist(), "m", 16, 0) for i, v in enumerate(x)], COLS)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    turns: dict = {}
+
+    def written(frames, label):
+        frames = list(frames)
+        turns.setdefault(label, []).append(len(frames))
+        return session.written(frames, label)
+
+    monkeypatch.setattr(V, "written", written)
+    got = []
+    for bound in (1_000_000, 0):
+        policy = V.TreePolicy(leaf_rows=40, part_rows=300, part_queries=200, fit_rows=1500, probes=128, round_rows=bound)
+        tables = set(shared.iterdir())
+        members, near = V.nearest(rows, policy)
+        assert {p.name.rpartition("-")[0] for p in set(shared.iterdir()) - tables} == {"vector-members", "near-vectors"}
+        got.append({(r.chunk_id, r.other) for r in V.neighbours(members, near).collect()})
+    assert turns["near-vectors"][0] == 1 and turns["near-vectors"][1] > 2
+    assert got[0] == got[1] and len(got[0]) == 15_000
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    frames = (spark.range(1000).selectExpr(f"id % 7 + {n} AS k").groupBy("k").count() for n in range(3))
+    table = session.written(frames, "counts")
+    for _ in range(100):  # they are deleted behind the query
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and len(table.collect()) == 21
+
+
+def test_pairs_need_only_the_similar(spark):
+    x = data(600, 16, 4)
+    rows = spark.createDataFrame([(f"c{i:05d}", v.tolist(), "m", 16, 0) for i, v in enumerate(x)], COLS)
+    of = {least: V.nearest(rows, least=least) for least in (-2.0, V.LEAST)}
+    found = [{tuple(r) for r in V.pairs(V.neighbours(members, near)).collect()} for members, near in of.values()]
+    assert found[0] and found[0] == found[1]
+    assert of[V.LEAST][1].agg({"sim": "min"}).first()[0] >= V.LEAST > of[-2.0][1].agg({"sim": "min"}).first()[0]
